@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, exact_dedup, line_dedup, mixing, secret_scan
+from palaver.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, secret_scan, simhash, toxicity
 from palaver.llm.common import load
 
 
@@ -118,11 +118,36 @@ FROM m GROUP BY conv_id
 """
 
 
+def third(doc_id):
+    """crc32 of the id as text, modulo 3; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), usable=lambda i: third(i) != 1)
+    held_out = F.coalesce(third(F.col("doc_id")) == 1, F.lit(False))
+    scored = toxicity.score_documents(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_boilerplate(load(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -149,13 +174,21 @@ SELECT doc_id, n_dropped, len(kept) AS n_chars_kept, sha256(kept) AS text_sha256
 """
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicate_groups(load(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op4_chat_format": op4_chat_format,
+        "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
+        "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
+        "op10_simhash": op10_simhash,
     }
 
 
