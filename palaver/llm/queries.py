@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, secret_scan, simhash, toxicity
+from palaver.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, secret_scan, simhash, toxicity
 from palaver.llm.common import load
 
 
@@ -61,6 +61,18 @@ FROM d LEFT JOIN per USING (doc)
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+    parts = F.transform("found", lambda s: F.concat_ws(":", s["license"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
+        F.round(F.coalesce(F.array_max("found.coverage"), F.lit(0.0)), 6).alias("best_coverage"),
+        F.array_join(parts, ",").alias("spans"),
+    )
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -174,6 +186,11 @@ SELECT doc_id, n_dropped, len(kept) AS n_chars_kept, sha256(kept) AS text_sha256
 """
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(load(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -183,11 +200,13 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_secret_scan": op2_secret_scan,
+        "op3_license_scan": op3_license_scan,
         "op4_chat_format": op4_chat_format,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
+        "op9_html_extraction": op9_html_extraction,
         "op10_simhash": op10_simhash,
     }
 
