@@ -341,7 +341,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(w) for w in benchmark_blocks(benchmark, window, block_bytes)]
     hits = fresh("n_hit_words", docs)
-    at = docs.columns.index(text_col)
+    names = [*docs.columns, hits]
+    at = names.index(text_col)
 
     def clean(texts: list[str | None]) -> list[tuple[str | None, int]]:
         out = [(t, 0) for t in texts]
@@ -362,7 +363,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             cleaned = clean(batch.column(at).to_pylist())
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[at] = pa.array([t for t, _ in cleaned], pa.string())
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in cleaned], pa.int64())], names=[*docs.columns, hits])
+            out = pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in cleaned], pa.int64())], names=names)
             keep = [not n or bool(word_bytes(t).split()) for t, n in cleaned]
             yield out.filter(pa.array(keep, pa.bool_()))
 
