@@ -1,0 +1 @@
+"""Conversation-memory analytics on Spark DataFrames."""
