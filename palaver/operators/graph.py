@@ -8,21 +8,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver import schemas as S
-from palaver.operators.timeline import FORWARD
+from palaver.operators.timeline import forward
 
 INLINE_DEPTH = 5
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """The cluster's checkpoint folder; only where none is set, one of our own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-checkpoint-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a loop's state to the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,7 +38,7 @@ def derive_edges(events: DataFrame) -> DataFrame:
     outputs and replies; both are running maxima over one sort of the session.
     """
     place = F.struct("ts", "event_id", "type")
-    before = FORWARD.rowsBetween(W.unboundedPreceding, -1)
+    before = forward().rowsBetween(W.unboundedPreceding, -1)
     last = lambda a, b: F.max(F.when(F.col("type").isin(a, b), place)).over(before)
     rows = events.withColumns({"call": last("tool_call", "tool_output"), "output": last("tool_output", "assistant_message")})
     answers = (F.col("type") == "tool_output") & (F.col("call.type") == "tool_call")

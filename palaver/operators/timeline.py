@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from palaver import schemas as S
 from palaver.functions.text import clip, is_switch
 
-SESSION = W.partitionBy("session_id")
-FORWARD = SESSION.orderBy("ts", "event_id")
-BACKWARD = SESSION.orderBy(F.col("ts").desc(), F.col("event_id").desc())
 SO_FAR = (W.unboundedPreceding, 0)
 
 
+def session():
+    return W.partitionBy("session_id")
+
+
+def forward():
+    return session().orderBy("ts", "event_id")
+
+
+def backward():
+    return session().orderBy(F.col("ts").desc(), F.col("event_id").desc())
+
+
 def type_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Events by type as a map, from two aggregations on the same keys."""
     per = rows.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +73,7 @@ def segment_manifest(events: DataFrame, history: DataFrame, limit: int | None =
     )
     base = base.join(type_counts(events, ["session_id", "segment_id"]), ["session_id", "segment_id"])
     with_goal = asof_latest(base, history, ["session_id"], "last_ts", "ts", "id", "goal", "goal_at_end")
-    rank = F.row_number().over(SESSION.orderBy(F.col("last_ts").desc(), F.col("segment_id").desc()))
+    rank = F.row_number().over(session().orderBy(F.col("last_ts").desc(), F.col("segment_id").desc()))
     out = with_goal.withColumn("rank", rank)
     out = out.filter(F.col("rank") <= limit) if limit else out
     return out.withColumns({"first_user": F.left("first_user", F.lit(200)), "last_user": F.left("last_user", F.lit(200))})
@@ -84,13 +93,13 @@ def segment_skeleton(events: DataFrame, most: int = 15, head: int = 5) -> DataFr
 
 def recent_events(events: DataFrame, n: int) -> DataFrame:
     """The last n of each session."""
-    return events.withColumn("back", F.row_number().over(BACKWARD)).filter(F.col("back") <= n)
+    return events.withColumn("back", F.row_number().over(backward())).filter(F.col("back") <= n)
 
 
 def recent_turns(events: DataFrame, turns: int) -> DataFrame:
     """Events of the last turns, numbered from 1; a turn starts with a user message."""
     user = (F.col("type") == "user_message").cast("int")
-    numbered = events.withColumn("turn", F.sum(user).over(FORWARD.rowsBetween(*SO_FAR))).withColumn("turns", F.sum(user).over(SESSION))
+    numbered = events.withColumn("turn", F.sum(user).over(forward().rowsBetween(*SO_FAR))).withColumn("turns", F.sum(user).over(session()))
     kept = numbered.filter((F.col("turn") > 0) & (F.col("turn") > F.col("turns") - turns))
     index = F.col("turn") - F.greatest(F.lit(0), F.col("turns") - turns)
     return kept.withColumn("turn_index", index).withColumn("content", clip(F.col("content"), 600, "…")).drop("turn", "turns")
@@ -117,35 +126,35 @@ def phantom_sessions(registry: DataFrame, events: DataFrame) -> DataFrame:
 def recent_unique_goals(history: DataFrame, n: int) -> DataFrame:
     """The last n different goals, each with its latest row, oldest first."""
     per = history.filter(F.coalesce("goal", F.lit("")) != "").groupBy("session_id", "goal").agg(F.max(F.struct("id", "ts")).alias("x"))
-    back = F.row_number().over(SESSION.orderBy(F.col("x.id").desc()))
+    back = F.row_number().over(session().orderBy(F.col("x.id").desc()))
     kept = per.withColumn("back", back).filter(F.col("back") <= n)
-    return kept.select("session_id", "goal", F.col("x.id").alias("id"), F.col("x.ts").alias("ts"), F.row_number().over(SESSION.orderBy("x.id")).alias("pos"))
+    return kept.select("session_id", "goal", F.col("x.id").alias("id"), F.col("x.ts").alias("ts"), F.row_number().over(session().orderBy("x.id")).alias("pos"))
 
 
 def goal_history(history: DataFrame, n: int) -> DataFrame:
     """The last n snapshots, oldest first."""
-    kept = history.withColumn("back", F.row_number().over(SESSION.orderBy(F.col("id").desc()))).filter(F.col("back") <= n)
-    return kept.withColumn("pos", F.row_number().over(SESSION.orderBy("id"))).drop("back")
+    kept = history.withColumn("back", F.row_number().over(session().orderBy(F.col("id").desc()))).filter(F.col("back") <= n)
+    return kept.withColumn("pos", F.row_number().over(session().orderBy("id"))).drop("back")
 
 
 def segment_ordinals(messages: DataFrame) -> DataFrame:
     """W2, ST8 (hard cuts): the segment number of each message; a switch phrase opens the next one."""
     cut = ((F.col("role") == "user") & is_switch(F.col("content"), S.SEGMENT_PHRASES)).cast("int")
-    order = SESSION.orderBy("msg_index").rowsBetween(*SO_FAR)
+    order = session().orderBy("msg_index").rowsBetween(*SO_FAR)
     return messages.withColumn("segment", 1 + F.sum(cut).over(order))
 
 
 def change_log(history: DataFrame) -> DataFrame:
     """Snapshots that differ from the one before, null-safe."""
     now = F.struct("goal", "current_step", "intent_label")
-    before = F.lag(now).over(SESSION.orderBy("id"))
-    first = F.row_number().over(SESSION.orderBy("id")) == 1
+    before = F.lag(now).over(session().orderBy("id"))
+    first = F.row_number().over(session().orderBy("id")) == 1
     return history.withColumn("differs", first | ~now.eqNullSafe(before)).filter("differs").drop("differs")
 
 
 def memory_streaks(calls: DataFrame, memory: Column, least: int = S.CHECKPOINT_CALLS) -> DataFrame:
     """Consecutive memory calls; any other call ends the streak, firing does not."""
-    island = F.sum((~F.col("memory")).cast("int")).over(FORWARD.rowsBetween(*SO_FAR))
+    island = F.sum((~F.col("memory")).cast("int")).over(forward().rowsBetween(*SO_FAR))
     in_island = W.partitionBy("session_id", "island").orderBy("ts", "event_id").rowsBetween(*SO_FAR)
     rows = calls.withColumn("memory", memory).withColumn("island", island)
     streak = F.sum(F.col("memory").cast("int")).over(in_island)
@@ -155,7 +164,7 @@ def memory_streaks(calls: DataFrame, memory: Column, least: int = S.CHECKPOINT_C
 def running_overhead(usage: DataFrame, start: int = S.OVERHEAD_START) -> DataFrame:
     """The largest prompt overhead seen so far."""
     extra = F.greatest(F.lit(0), F.col("prompt_tokens") - F.col("content_tokens"))
-    return usage.withColumn("overhead", F.greatest(F.lit(start), F.max(extra).over(FORWARD.rowsBetween(*SO_FAR))))
+    return usage.withColumn("overhead", F.greatest(F.lit(start), F.max(extra).over(forward().rowsBetween(*SO_FAR))))
 
 
 def anchors(events: DataFrame, last: int) -> DataFrame:
@@ -172,5 +181,5 @@ def active_since(sessions: DataFrame, events: DataFrame, at: str) -> DataFrame:
 
 def enrichment_runs(messages: DataFrame, every: int = S.ENRICH_EVERY) -> DataFrame:
     """With one user turn per commit, every n-th user turn."""
-    turn = F.row_number().over(SESSION.orderBy("msg_index"))
+    turn = F.row_number().over(session().orderBy("msg_index"))
     return messages.filter("role = 'user'").withColumn("turn", turn).filter(F.col("turn") % every == 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from palaver.operators import state as st
 from palaver.operators import timeline as tl
 from palaver.sources import fixtures as fx
 from palaver.sources import messages as ms
+from palaver.streaming import pipelines as pipes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -759,5 +761,43 @@ def fetch_event(spark, sf_dir):
     return row.select("event_id", "ts", "type", F.left("content", F.lit(4000)).alias("content"), (n > 4000).alias("truncated"), n.cast("long").alias("original_chars"))
 
 
+# -- streaming ------------------------------------------------------------------------------------
+
+
+def stream_folder(spark) -> str:
+    """A folder for a stream's offsets and output on the storage that all executors share."""
+    gr.shared_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, user_id, ts FROM events")
+def stream_ingest(spark, sf_dir):
+    """The event table read as a stream, each event twice, ends up in the log once."""
+    folder, schema = stream_folder(spark), fx.table(spark, sf_dir, "events").schema
+    stream = pipes.read_events(spark, f"{sf_dir}/{{events}}.parquet", schema).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    pipes.start_ingest(stream, f"{folder}/log", f"{folder}/offsets").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/log").select("event_id", "user_id", "ts")
+
+
+@query(
+    """SELECT session_id::VARCHAR AS session_id, left(arg_min(content, seq) FILTER (type = 'user_message'), 500) AS goal, arg_max(tool_name, seq) FILTER (type = 'tool_call') AS last_tool,
+      sum((type = 'user_message')::INT)::BIGINT AS turn_count FROM ev GROUP BY session_id""",
+    EV,
+)
+def stream_live_state(spark, sf_dir):
+    """ST1 as a stateful stream over the event log, written once; the last state of each session."""
+    folder = stream_folder(spark)
+    fx.event_log(spark, sf_dir).select("session_id", "event_id", "ts", "type", "content", "tool_name").write.parquet(f"{folder}/events")
+    source = spark.read.parquet(f"{folder}/events")
+    states = pipes.live_states(pipes.read_events(spark, f"{folder}/events", source.schema))
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/batch={number}-part")
+
+    states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/states/*")
+    return ms.latest_by_key(rows, ["session_id"], ["turn_count"]).select("session_id", "goal", "last_tool", "turn_count")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_pack(spark, sf_dir)
