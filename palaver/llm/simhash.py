@@ -32,8 +32,11 @@ from palaver.llm.common import fresh, materialize, text_or_empty
 SEED = 42
 SHINGLE = 4
 MAX_DISTANCE = 4
-#: Points that a shard is meant to hold, and fingerprints that the routing tree is fitted on at most.
-SHARD_POINTS = 8_000
+#: Points that a shard is meant to hold (a fingerprint goes to about 1.7 times as many shards with each level
+#: of the tree, so shards are large), levels that small inputs get for parallel work, and
+#: fingerprints that the routing tree is fitted on at least.
+SHARD_POINTS = 65_536
+LEAST_DEPTH, LEAST_POINTS = 3, 2_048
 TREE_SAMPLE = 32_768
 LEAF = 384
 BLOCK = 1 << 16
@@ -205,7 +208,8 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, shard_points: i
     """(a, b) with a > b: a spanning forest, per shard, of all pairs of fingerprints within max_distance."""
     spark = distinct.sparkSession
     n = distinct.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard_points)))))
+    levels = lambda size: int(np.ceil(np.log2(max(1, n / size))))
+    depth = max(levels(shard_points), min(LEAST_DEPTH, levels(min(LEAST_POINTS, shard_points))))
     fitted = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(max(sample, 8 << depth)).collect()  # bounded
     points = np.array([x[0] for x in fitted], np.int64).view(np.uint64)
     tree = build_tree(points, depth, max_distance, np.random.default_rng(SEED))
