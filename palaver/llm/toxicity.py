@@ -1,13 +1,13 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  A window, one lower-cased
-word between line breaks, is compressed with either; the bytes that the toxic dictionary saves over the
+word between line breaks or its head, is compressed with either; the bytes that the toxic dictionary saves over the
 ordinary one are its evidence.  A document's evidence is that of its strongest windows, and a calibrated
 threshold maps it to a score.
 
-Training is contrastive, since most text of a toxic document is ordinary: the toxic dictionary takes
-those parts of toxic windows whose character sequences' document frequencies tell the classes apart, the
-ordinary one the most frequent windows of ordinary documents.  Dictionaries are trained on one
+Training is contrastive, since most text of a toxic document is ordinary: the toxic dictionary takes those
+parts of toxic windows whose character sequences' document frequencies tell the classes apart; the
+ordinary one the most frequent windows of ordinary documents that hold none of them.  Dictionaries are trained on one
 half of the training rows and calibrated on the other, then trained again on all of them.
 
 The model is fitted on a bounded sample: at most ``TRAIN_TOXIC`` and ``TRAIN_ORDINARY`` labelled documents of up to
@@ -48,6 +48,8 @@ TOXIC_BYTES = 65_536
 PREAMBLE, PADDING = b"<window of text>", b"0123456789ABCDEF"
 #: A match takes this many bytes at least, so that a chance syllable is none.
 MIN_MATCH = 6
+#: Longer words are compressed a second time up to here.
+HEAD_BYTES = 7
 GRAM_BYTES = (MIN_MATCH, MIN_MATCH + 1, MIN_MATCH + 2)
 CACHE_WORDS = 400_000
 #: Nats of surprise below which a character sequence is chance.
@@ -62,10 +64,6 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
-def window(word: bytes) -> bytes:
-    return PREAMBLE + bounded(word) + PADDING
-
-
 def bounded(word: bytes) -> bytes:
     return b"\n\n\n" + word + b"\n"
 
@@ -102,13 +100,25 @@ class Scorer:
     """Scores texts; keeps the evidence of words it has met, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.heads = model, {}, {}
         self.toxic, self.ordinary = model.compressors()
 
-    def evidence(self, word: bytes) -> int:
-        w = window(word)
+    def saved(self, part: bytes) -> int:
+        w = PREAMBLE + part + PADDING
         return len(self.ordinary(w)) - len(self.toxic(w))
 
+    def evidence(self, word: bytes) -> int:
+        """Of the word's windows: the whole word, and its head, which no common ending shortens."""
+        whole = self.saved(bounded(word))
+        if len(word) <= HEAD_BYTES:
+            return whole
+        head = bounded(word)[: -1 - len(word) + HEAD_BYTES]
+        if head not in self.heads:
+            if len(self.heads) > CACHE_WORDS:
+                self.heads.clear()
+            self.heads[head] = self.saved(head)
+        return max(whole, self.heads[head])
+
     def top(self, text: str | None) -> list[int]:
         """The evidence of the strongest windows, falling, whole text."""
         seen, out = self.seen, []
@@ -257,6 +267,9 @@ def fit_dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Mod
         return b"".join(reversed(chosen)) + PREAMBLE
 
     by_rank = lambda c: [k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
+    # a word of ordinary text that holds a telling sequence by chance would hide it
+    held = re.compile(b"|".join(re.escape(t) for t in sorted(telling)))
+    common = Counter({w: n for w, n in common.items() if not held.search(bounded(w))})
     return Model(
         content((s + b"\0" for s in by_rank(telling)), TOXIC_BYTES), content(map(bounded, by_rank(common)), ORDINARY_BYTES)
     )
