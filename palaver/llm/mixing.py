@@ -73,9 +73,10 @@ def pareto_rank(u: Column, p: Column) -> Column:
     return F.when(p > 0, (u / (1 - u)) * ((1 - p) / p)).otherwise(F.lit(float("inf")))
 
 
-def uniform(seed: int, *cols: Column) -> Column:
-    """In (0, 1), from the row's own values: the same on every run."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) + F.lit(0.5)) / F.lit(float(2**53))
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """In (0, 1), from the row's own values by SHA-256 (52 bits): the same on every run."""
+    said = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return (F.conv(F.substring(F.sha2(said, 256), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def mix(
@@ -93,7 +94,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text").cast("string")).alias("size"),
-            uniform(seed, F.col(id_col), F.xxhash64(F.col("text").cast("string"))).alias("u"),
+            uniform(seed, F.col(id_col), F.col("text").cast("string")).alias("u"),
         )
     )
     targets = materialize(source_targets(rows, weights, share, most))

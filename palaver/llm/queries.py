@@ -148,6 +148,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+# Sources by how soon they reach their stop for each unit of weight; all before the water level are capped.  Within
+# a source the Pareto rank rises with u, so the order of u is the order of the ranks.
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(sha256('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / pow(2, 52) AS u FROM documents),
+s AS (SELECT *, source_size * {mixing.MOST_COPIES}::DOUBLE AS stop, [{', '.join(f'{w}::DOUBLE' for w in mixing.WEIGHTS)}][1 + pos % {len(mixing.WEIGHTS)}] AS weight FROM
+    (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source)),
+l AS (SELECT *, stop / weight AS level, (sum(source_size) OVER ()) * {mixing.SHARE}::DOUBLE - sum(stop) OVER w + stop AS rest_budget,
+    sum(weight) OVER () - sum(weight) OVER w + weight AS shares FROM s WINDOW w AS (ORDER BY stop / weight, pos)),
+c AS (SELECT *, rest_budget * weight >= stop * shares AS capped FROM l),
+t AS (SELECT source, source_size, CASE WHEN capped OR unit IS NULL THEN stop ELSE least(stop, unit * weight) END AS target
+    FROM c, (SELECT arg_min(rest_budget / shares, struct_pack(level, pos)) AS unit FROM c WHERE NOT capped)),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole,
+    sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM r)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (whole + CASE WHEN rest > 0 AND run - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -160,6 +179,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, words, least({decontaminate.WINDOW}, len(words)) AS m FROM (SELECT item_id, {_WORDS} AS words FROM benchmark)),
+win AS (SELECT DISTINCT m, array_to_string(words[k:k + m - 1], ' ') AS g, item_id FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS k FROM b WHERE m > 0)),
+grams AS (SELECT doc, m, p, array_to_string(words[p:p + m - 1], ' ') AS g FROM (SELECT doc, words, m, unnest(range(1, len(words) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(words) >= m)),
+found AS (SELECT doc, p, m, item_id FROM grams JOIN win USING (m, g)),
+h AS (SELECT doc, count(DISTINCT w) AS n_hit FROM (SELECT doc, unnest(range(p, p + m)) AS w FROM (SELECT DISTINCT doc, p, m FROM found)) GROUP BY doc),
+i AS (SELECT doc, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc, item_id FROM found) GROUP BY doc)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc) LEFT JOIN i USING (doc)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_boilerplate(load(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -216,5 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": OP1_SQL,
         "op2_secret_scan": _op2_sql(),
         "op4_chat_format": OP4_SQL,
+        "op6_mixing": OP6_SQL,
+        "op7_decontamination": OP7_SQL,
         "op8_line_dedup": OP8_SQL,
     }
