@@ -32,7 +32,7 @@ def embeddable(text: Column) -> Column:
 
 def matches_any(text: Column, phrases) -> Column:
     """any phrase, whatever the case."""
-    return F.coalesce(text, F.lit("")).rlike("(?iu)" + "|".join(p.replace("'", "'") for p in phrases))
+    return F.coalesce(text, F.lit("")).rlike("(?iu)" + "|".join(phrases))
 
 
 def holds_any(text: Column, words) -> Column:

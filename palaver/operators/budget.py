@@ -94,15 +94,12 @@ def resolve_collision(blocks: DataFrame, effective: int) -> DataFrame:
     blocks: session_id, kind ('fixed', 'retrieved', 'tail'), place (1 = goes last), cost.  What goes before a
     row is exactly the rows of its kind with a larger place, so running sums give each row's fate.
     """
-    by = W.partitionBy("session_id")
-    total = F.sum("cost").over(by)
-    ends = by.orderBy(F.col("kind") == "tail", F.col("place").desc()).rowsBetween(W.unboundedPreceding, -1)
+    ends = W.partitionBy("session_id").orderBy(F.col("kind") == "tail", F.col("place").desc()).rowsBetween(W.unboundedPreceding, -1)
     movable = (F.col("kind") == "retrieved") | ((F.col("kind") == "tail") & (F.col("place") > 2))
     fixed, moving = blocks.filter(~movable | (F.col("kind") == "fixed")), blocks.filter(movable)
     totals = blocks.groupBy("session_id").agg(F.sum("cost").alias("total"))
     gone = F.coalesce(F.sum("cost").over(ends), F.lit(0))
     kept = moving.join(totals, "session_id").withColumn("gone", gone).filter(F.col("total") - F.col("gone") <= effective).drop("gone", "total")
-    del total
     return fixed.unionByName(kept)
 
 

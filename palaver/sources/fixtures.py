@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Weights of vector similarity tests need a session: the label stands in for it.
+#: The pinned time of recency scores: just after the data ends.
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -54,6 +54,7 @@ ev AS (SELECT event_id, session_id, ts, type, k, token_estimate, row_number() OV
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label stands in for the session."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("event_id"), "embedding", F.col("label").cast("long").alias("session_id"), F.lit("m0").alias("embedding_model_id")
     )

@@ -17,6 +17,12 @@ def event_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def json_value(text: Column) -> Column:
+    """A string as a JSON literal."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
     """One event for a user, tool or plain assistant message, one for each tool call, none for other roles."""
     if "tool_calls" not in messages.columns:
@@ -34,10 +40,8 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     )
     # the call's function as JSON text with a space after each colon and comma
     function = F.concat(
-        F.lit('{"name": '), F.to_json(F.array(F.col("call.function.name"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("call.function.name")))) - 2),
-        F.lit(', "arguments": '), F.to_json(F.array(F.col("call.function.arguments"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("call.function.arguments")))) - 2),
-        F.lit("}"),
-    )
+        F.lit('{"name": '), json_value(F.col("call.function.name")), F.lit(', "arguments": '), json_value(F.col("call.function.arguments")), F.lit("}")
+    )
     content = F.when(called, function).otherwise(F.col("content"))
     sub = F.coalesce("pos", F.lit(0))
     estimate = F.when(called, F.floor(tokens(F.col("content")) / F.size("tool_calls"))).otherwise(tokens(F.col("content")))

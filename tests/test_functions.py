@@ -85,7 +85,7 @@ def test_parse_messages(spark):
         ("s", 3, "assistant", "done", None, None),
         ("s", 4, "system", "no event", None, None),
     ]
-    got = ms.parse_messages(spark.createDataFrame(rows, S.MESSAGES.replace("session_id string, msg_index int, role string, content string, name string,", "session_id string, msg_index int, role string, content string, name string,"))).orderBy("msg_index", "sub_index").collect()
+    got = ms.parse_messages(spark.createDataFrame(rows, S.MESSAGES)).orderBy("msg_index", "sub_index").collect()
     assert [(r.type, r.tool_name) for r in got] == [("user_message", None), ("tool_call", "web"), ("tool_call", "calc"), ("tool_output", "web"), ("assistant_message", None)]
     assert [r.token_estimate for r in got] == [2, 1, 1, 0, 1] and len({r.event_id for r in got}) == 5
     assert json.loads(got[1].content) == {"name": "web", "arguments": '{"q": 1}'} and got[2].tool_input == "{}"
