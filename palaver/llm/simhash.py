@@ -284,6 +284,8 @@ def near_duplicate_groups(
     per_fp = distinct.join(of_fp, F.col("fp") == F.col("l_fp"), "left").select(
         F.col("fp").alias("p_fp"), F.coalesce("named", "least").alias("component_id")
     )
+    # written, so that the last join reads two plain shuffles and a hot fingerprint's rows can be split
+    per_fp = materialize(per_fp)
     return rows.join(per_fp, F.col("fp") == F.col("p_fp")).drop("p_fp")
 
 
