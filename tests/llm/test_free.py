@@ -265,6 +265,8 @@ def test_wrapper_finds_the_template():
         (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b<b>c</p>d", "a\nbc\nd"), ("<article><header><h1>T</h1></header>x</article><footer>f", "T\nx"),
         ("<header>h</header><main><p>m</p><nav>n</nav></main>", "m"), ("<p>a</p><script>var x='</p>'</script><style>s", "a"), ("a<!-- x --> b<![CDATA[c]]><p", "a bc"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<div class='ad-banner'>x</div><p>y &copy; &#65; &am", "y © A &am"), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a\nb\nc"),
+        ("<body class='has-sidebar'><div class='sidebar-wrap'><article class='post comments-open'>x</article></div><div id=sidebar>s</div>", "x"),
+        ("<article>x<article class=comment>c</article></article>", "x"),
     ],
 )
 def test_broken_and_marked_up_html(html, want):
