@@ -62,12 +62,12 @@ def token_budgets(messages: DataFrame, total: int, system_tokens: int, overhead:
     )
 
 
-def pack_tail(messages: DataFrame, tail_budget: int, effective: int, floor_n: int = S.TAIL_FLOOR, other_tokens: int = 0) -> DataFrame:
+def pack_tail(messages: DataFrame, tail_budget: int, effective: int, floor_n: int = S.TAIL_FLOOR, other: Column | None = None) -> DataFrame:
     """The protected tail of each session and the older messages that extend it.
 
     The last user message is the current one and not part of the tail.  Of the last floor_n messages the
     oldest go while their sum is over the tail budget, but never the last two; older messages than the
-    floor are added newest first while the whole stays within the effective budget less a margin.
+    floor are added newest first while the whole, with *other* tokens, stays within the effective budget less a margin.
     """
     back = W.partitionBy("session_id").orderBy(F.col("msg_index").desc())
     rows = messages.withColumn("back", F.row_number().over(back))
@@ -79,7 +79,7 @@ def pack_tail(messages: DataFrame, tail_budget: int, effective: int, floor_n: in
     tail = rows.withColumn("run", run).withColumn("kept", in_floor & ((F.col("run") <= tail_budget) | (F.col("back") <= 2)))
     used = F.sum(F.when(F.col("kept"), F.col("cost"))).over(W.partitionBy("session_id"))
     older = F.sum(F.when(~in_floor, F.col("cost")).otherwise(0)).over(back.rowsBetween(*SO_FAR))
-    room = effective - S.SAFETY_TOKENS - other_tokens
+    room = F.lit(effective - S.SAFETY_TOKENS) - (F.lit(0) if other is None else other)
     sized = tail.withColumns({"held": F.coalesce(used, F.lit(0)), "older": older})
     added = ~in_floor & (F.col("held") + tokens(F.col("current")) + F.col("older") <= room)
     return sized.withColumn("extended", added).filter(F.col("kept") | F.col("extended")).select(

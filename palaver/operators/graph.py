@@ -1,7 +1,7 @@
 """The dependency graph and session lineage.
 
-Closures are bounded loops of joins from a frontier, with known nodes removed by an anti-join; a loop's
-state is checkpointed where the caller gives a depth beyond ``INLINE_DEPTH``.
+Closures are bounded loops of joins from a frontier, with known nodes removed by an anti-join, or double their
+reach; a loop's state is checkpointed between rounds.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from palaver import schemas as S
 from palaver.operators.timeline import forward
 
-INLINE_DEPTH = 5
-
-
 def shared_folder(spark: SparkSession) -> None:
     """The cluster's checkpoint folder; only where none is set, one of our own."""
     sc = spark.sparkContext
@@ -61,19 +58,19 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def bounded_closure(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth): what is reached from each seed (its own node at 0) over links (a, b), shortest first."""
-    known = seeds.select("seed", F.col("node"), F.lit(0).alias("depth"))
+    """(seed, node, depth): what is reached from each seed (its own node at 0) over links (a, b), shortest first.
+
+    Links and each round's new nodes are written, so a round computes only its own step.
+    """
+    known = cut(seeds.select("seed", F.col("node"), F.lit(0).alias("depth")))
+    links = cut(links.select("a", "b")) if depth > 0 else links
     front = known
     for d in range(1, depth + 1):
         reached = front.join(links, front["node"] == links["a"]).select("seed", F.col("b").alias("node")).distinct()
-        front = reached.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
-        if d > INLINE_DEPTH:
-            front = cut(front)
-            if front.isEmpty():
-                break
+        front = cut(reached.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
         known = known.unionByName(front)
-        if d > INLINE_DEPTH:
-            known = cut(known)
     return known
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver import schemas as S
+from palaver.config import Settings
 from palaver.functions import enrichment as enr
 from palaver.functions import text as tx
 from palaver.functions import vector as vc
@@ -19,6 +20,7 @@ from palaver.operators import retrieval as rt
 from palaver.operators import sessions as ss
 from palaver.operators import state as st
 from palaver.operators import timeline as tl
+from palaver.plans import assembly as asm
 from palaver.sources import fixtures as fx
 from palaver.sources import messages as ms
 from palaver.streaming import pipelines as pipes
@@ -761,6 +763,37 @@ def fetch_event(spark, sf_dir):
     return row.select("event_id", "ts", "type", F.left("content", F.lit(4000)).alias("content"), (n > 4000).alias("truncated"), n.cast("long").alias("original_chars"))
 
 
+@query("SELECT DISTINCT edge_type FROM edges", EV, EDGES)
+def edge_types(spark, sf_dir):
+    """A4."""
+    return gr.derive_edges(fx.event_log(spark, sf_dir)).select("edge_type").distinct()
+
+
+@query(
+    """SELECT query_id, event_id, score_source FROM (SELECT query_id, event_id, 'composite' AS score_source FROM pool
+      UNION ALL SELECT m.query_id, m.event_id, 'wide' FROM more m LEFT JOIN (SELECT query_id, count(*) AS n, sum(tokens) AS held FROM pool GROUP BY ALL) USING (query_id)
+      WHERE (coalesce(n, 0) < 12 OR coalesce(held, 0) < 1000 * 0.2) AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = m.query_id AND p.event_id = m.event_id))""",
+    EV, VEC, PAIRS, SCORED, GENERAL,
+    "pool AS (SELECT *, len(content) // 4 AS tokens FROM general WHERE (event_id * (query_id + 1)) % 23 < query_id)",
+    "more AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS r FROM general) WHERE r <= 25)",
+)
+def dedup_fallback(spark, sf_dir):
+    """Pools with few events or few tokens are joined by the wider search."""
+    scored = scored_candidates(spark, sf_dir).withColumn("tokens", ms.tokens(F.col("content")))
+    cols = ["query_id", "event_id", "score", "tokens"]
+    more = rt.top_k(scored.select(*cols), 25, by="score").drop("rank")
+    pool = scored.filter("(event_id * (query_id + 1)) % 23 < query_id").select(*cols)
+    return rt.widen_if_thin(pool, more, F.lit(1000), S.THIN_DEDUP, S.MIN_CANDIDATES, "wide").select("query_id", "event_id", "score_source")
+
+
+@query()
+def assembled_turns(spark, sf_dir):
+    """The prompt of every conversation's last turn, with the offline embedder."""
+    stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("msg_index") * 60)
+    m = fx.messages(spark, sf_dir).withColumn("ts", stamp)
+    return asm.assemble_turns(m, enr.HashedEmbedder(), fx.AS_OF, Settings(total_budget=400, tail_floor=2, recency_lambda=0.0001))
+
+
 # -- streaming ------------------------------------------------------------------------------------
 
 

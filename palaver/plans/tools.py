@@ -30,6 +30,8 @@ class MemoryTools:
     session_id: object
     embedder: Embedder
     edges: DataFrame | None = None
+    #: saved states: session_id, goal
+    states: DataFrame | None = None
 
     def chain(self) -> DataFrame:
         own = self.events.sparkSession.createDataFrame([(self.session_id,)], self.events.select("session_id").schema)
@@ -87,10 +89,16 @@ class MemoryTools:
         return tl.recent_turns(self.events.filter(F.col("session_id") == self.session_id), max(1, min(50, turns)))
 
     def get_execution_state(self) -> DataFrame:
-        """B21, ST5: the state with the session's statistics."""
+        """B21, ST5: the saved state, else the nearest ancestor's, else the live one, with statistics."""
         mine = self.events.filter(F.col("session_id") == self.session_id)
-        stats = tl.session_stats(mine, self.lineage)
-        return st.live_state(mine).join(stats, "session_id")
+        live = st.live_state(mine).join(tl.session_stats(mine, self.lineage), "session_id")
+        if self.states is None:
+            return live.withColumn("source", F.lit("live"))
+        own = self.events.sparkSession.createDataFrame([(self.session_id,)], self.events.select("session_id").schema)
+        held = gr.inherited_state(own, self.states, self.lineage).withColumnRenamed("goal", "saved_goal")
+        joined = own.join(live, "session_id", "left").join(held, "session_id", "left")
+        origin = F.when(F.col("source_session").isNull(), "live").when(F.col("source_session") == F.col("session_id"), "saved").otherwise("ancestor")
+        return joined.withColumn("goal", F.coalesce("saved_goal", "goal")).withColumn("source", origin).drop("saved_goal")
 
     def handle(self, name: str, args: dict | None = None) -> str:
         """A tool by name; single rows gain an estimate of their tokens, lists stay lists."""

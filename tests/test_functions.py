@@ -336,3 +336,36 @@ def test_asof_matches_join(spark):
     for x, k, at in left.collect():
         fit = [(i, g) for i, kk, ts, g in marks if kk == k and ts <= at and g is not None]
         assert got[x] == (max(fit)[1] if fit else None)
+
+
+def test_enrichment_fold(spark):
+    from palaver.plans.assembly import due_enrichments
+
+    rows = [("s", t, f"g{t // 7}", t == 8, t != 5) for t in range(15)]
+    df = spark.createDataFrame(rows, "session_id string, turn int, segment string, boundary boolean, ok boolean")
+    # the run at 5 fails, so 6 runs; 8 is a boundary in a new segment; 13 is five turns later
+    assert [r.turn for r in due_enrichments(df).orderBy("turn").collect()] == [5, 6, 8, 13]
+
+
+def test_assembly_stays_in_budget_and_keeps_short_sessions(spark):
+    from palaver.config import Settings
+    from palaver.plans.assembly import assemble_turns
+
+    rows = [("long", i, "user" if i % 2 == 0 else "assistant", f"topic{i % 3} " + "word " * 120) for i in range(11)] + [("short", 0, "user", "hello there")]
+    df = spark.createDataFrame(rows, "session_id string, msg_index int, role string, content string").withColumn("ts", F.timestamp_seconds("msg_index"))
+    settings = Settings(total_budget=1200, tail_floor=2, min_candidates=3)
+    for reranker in (None, enr.OverlapReranker()):
+        got = assemble_turns(df, enr.HashedEmbedder(), "1970-01-02 00:00:00", settings, reranker).orderBy("session_id", "pos").collect()
+        long = [r for r in got if r.session_id == "long"]
+        assert [r.role for r in got if r.session_id == "short"] == ["user"] and long[0].role == "system" and long[-1].content.startswith("topic1")
+        assert long[1].content.startswith("[RETRIEVED CONTEXT]") and sum(len(r.content) // 4 + 4 for r in long) <= 1200 + 100
+
+
+def test_state_order(spark):
+    folder = "/root/testdata/sf0.001"
+    ev = fx.event_log(spark, folder)
+    lineage = spark.createDataFrame([(2, 3)], "old_session_id long, new_session_id long")
+    states = spark.createDataFrame([(2, "old goal")], "session_id long, goal string")
+    tools = MemoryTools(ev, fx.vectors(spark, folder), fx.history(spark, folder), lineage, 3, enr.HashedEmbedder(), states=states)
+    row = tools.get_execution_state().first()
+    assert (row.goal, row.source, row.source_session) == ("old goal", "ancestor", 2)
