@@ -369,3 +369,14 @@ def test_state_order(spark):
     tools = MemoryTools(ev, fx.vectors(spark, folder), fx.history(spark, folder), lineage, 3, enr.HashedEmbedder(), states=states)
     row = tools.get_execution_state().first()
     assert (row.goal, row.source, row.source_session) == ("old goal", "ancestor", 2)
+
+
+def test_snapshot_rule(spark):
+    rows = [  # id, second, goal, latest activity
+        ("s", 1, 0, "a", None), ("s", 2, 10, "a", None), ("s", 3, 130, "a", None), ("s", 4, 140, "b", None), ("s", 5, 150, "b", 145), ("s", 6, 160, "b", 150), ("s", 7, 170, None, None), ("s", 8, 180, None, None),
+        ("t", 9, 0, None, None),
+    ]
+    df = spark.createDataFrame(rows, "session_id string, id int, at int, goal string, act int")
+    commits = df.select("session_id", "id", F.timestamp_seconds("at").alias("ts"), "goal", F.lit("x").alias("current_step"), F.lit(None).cast("string").alias("intent_label"), F.timestamp_seconds("act").alias("activity_ts"))
+    # 3 is old enough, 4 differs, 5 had activity since 4, 7 differs; 6 had none after 5
+    assert sorted(r.id for r in st.snapshot_log(commits).collect()) == [1, 3, 4, 5, 7, 9]
