@@ -15,8 +15,9 @@ from palaver.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from palaver.llm.common import ensure_checkpoint_dir, load
 from palaver.llm.queries import third
 
-#: Near-duplicate stages look at five words; fingerprints that differ in 4 of 64 bits are 0.94 alike.
-SHINGLE, MAX_DISTANCE = 5, 4
+#: Near-duplicate stages look at five words.  Fingerprints that differ in 4 of 64 bits are linked, and all texts whose
+#: sets of shingles are 0.8 alike or more.
+SHINGLE, MAX_DISTANCE, SIMILARITY = 5, 4, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs, SHINGLE, MAX_DISTANCE)
+    """One document of each group of linked texts stays, the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs, SHINGLE, MAX_DISTANCE, similarity=SIMILARITY)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

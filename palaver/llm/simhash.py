@@ -272,12 +272,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(
     docs: DataFrame, size: int = SHINGLE, max_distance: int = MAX_DISTANCE, text_col: str = "text", id_col: str = "doc_id",
-    shard_points: int = SHARD_POINTS,
+    shard_points: int = SHARD_POINTS, similarity: float | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, text_key, fp, component_id (the smallest id of its group)."""
+    """One row per document: doc_id, text_key, fp, component_id (the smallest id of its group).
+
+    With *similarity*, texts whose shingle sets have that Jaccard similarity or more are linked too.
+    """
     rows = materialize(fingerprints(docs, size, text_col, id_col))
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(distinct, max_distance, shard_points))
+    found = links(distinct, max_distance, shard_points)
+    if similarity is not None:
+        from palaver.llm import shingle_join  # it builds on this module
+
+        found = materialize(found)
+        keyed = docs.select(F.unhex(F.md5(text_or_empty(text_col))).alias("text_key"), text_or_empty(text_col).alias("text"))
+        keys = rows.select("text_key", "fp").distinct()
+        found = found.unionByName(shingle_join.similar_links(keyed, keys, size, similarity, found)).distinct()
+    labels = components(found)
     linked = labels.join(distinct, labels["node"] == distinct["fp"]).select("fp", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("named"))
     of_fp = linked.join(named, "root").select(F.col("fp").alias("l_fp"), "named")
@@ -290,13 +301,14 @@ def near_duplicate_groups(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, size: int = SHINGLE, max_distance: int = MAX_DISTANCE, text_col: str = "text", id_col: str = "doc_id"
-) -> DataFrame:
+    docs: DataFrame, size: int = SHINGLE, max_distance: int = MAX_DISTANCE, text_col: str = "text", id_col: str = "doc_id",
+    similarity: float | None = None,
+) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
     Where several rows of a group share that id, the one with the smallest text digest stays, once.
     """
-    groups = near_duplicate_groups(docs, size, max_distance, text_col, id_col)
+    groups = near_duplicate_groups(docs, size, max_distance, text_col, id_col, similarity=similarity)
     # a group whose ids are all null is told by its fingerprints' name, null: those rows form one group
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
         F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")

@@ -94,6 +94,38 @@ def test_simhash_edges(spark, documents):
     assert simhash.near_duplicate_groups(documents.limit(0)).count() == 0 and simhash.drop_near_duplicates(documents.limit(0)).count() == 0
 
 
+def plain_similarity(a, b, size=5):
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_near_duplicate_stage_finds_all_pairs_of_similar_shingles(spark, sample):
+    import corpus_pipeline as cp
+
+    rng, texts = random.Random(8), [r.text for r in sample.limit(60).collect()]
+    for k in range(40):  # edited copies around the threshold, and a chain of edits
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 200))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            for at in rng.sample(range(len(words)), max(1, len(words) // rng.choice((30, 50, 80)))):
+                words[at] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    marks = [plain_fingerprint(t, 5) for t in texts]
+    linked = lambda i, j: (marks[i] ^ marks[j]).bit_count() <= 4 or plain_similarity(texts[i], texts[j]) >= 0.8
+    least = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if linked(i, j)]
+    while any(least[i] != least[j] for i, j in pairs):
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    assert sum((marks[i] ^ marks[j]).bit_count() > 4 for i, j in pairs) > 20
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], sample.schema)
+    kept = cp.drop_near_duplicates(spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 
