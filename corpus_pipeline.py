@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from palaver.llm.common import ensure_checkpoint_dir, load
+from palaver.llm.common import ensure_checkpoint_dir, fresh, load, materialize
 from palaver.llm.queries import third
 
 #: Near-duplicate stages look at five words.  Fingerprints that differ in 4 of 64 bits are linked, and all texts whose
@@ -26,11 +26,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines frequent within a source go; documents that lost all their words go, others stay."""
-    cleaned = line_dedup.drop_boilerplate(docs)
-    (dropped,) = [c for c in cleaned.columns if c not in docs.columns]
-    emptied = (F.col(dropped) > 0) & (F.btrim("text", F.lit(line_dedup.BLANKS)) == "")
-    return with_length(cleaned.filter(~F.coalesce(emptied, F.lit(False))).drop(dropped))
+    """Lines frequent within a source go; documents that lost all their words go, others stay.
+
+    Copies count as one page.  Where all rows of a text that several rows hold would go, the one with the smallest
+    id (then source) stays as it was, so that every group of copies keeps a member.
+    """
+    digest = fresh("__digest", docs)
+    cleaned = line_dedup.drop_boilerplate(docs.withColumn(digest, F.unhex(F.md5("text"))), copies_once=True)
+    (dropped,) = [c for c in cleaned.columns if c not in [*docs.columns, digest]]
+    emptied = F.coalesce((F.col(dropped) > 0) & (F.btrim("text", F.lit(line_dedup.BLANKS)) == ""), F.lit(False))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("source").alias("host"))
+    lost = cleaned.filter(emptied).groupBy(F.col(digest).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("row"))
+    lost = materialize(lost.filter("n > 1").select("d", "row.id", "row.host"))
+    same = (F.unhex(F.md5("text")) == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("host"))
+    stay = cleaned.filter(~emptied)
+    out = with_length(stay.select(*docs.columns))
+    if lost.isEmpty():
+        return out
+    lost = lost.join(stay.select(F.col(digest).alias("d")), "d", "left_anti")
+    # one row of those that are alike in all three
+    return out.unionByName(docs.join(lost, same, "left_semi").dropDuplicates(["doc_id", "text", "source"]))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

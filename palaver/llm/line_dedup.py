@@ -7,6 +7,9 @@ Lines are compared after trimming; blank lines are never boilerplate.  Counting
 hashes with partial aggregation, so a hot host or line is a sum; the lines to drop come back to a text as
 the few hashes that concern it.
 
+Copies: by default each row is a page.  With ``copies_once`` the rows of a host with one text are one page, in a line's
+pages and in the host's, so that a text is not boilerplate for having been copied.
+
 Edge cases: null texts stay null and count as pages without lines; null hosts form one host; a page that
 repeats a line counts once for it; repeated rows count as pages of their own; a text all of whose lines
 go becomes empty and stays; an empty table gives no rows; further columns pass through unchanged.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fresh, text_or_empty
+from palaver.llm.common import fresh, materialize, text_or_empty
 
 RATIO = 0.02
 MIN_PAGES = 5
@@ -34,14 +37,17 @@ def line_hash(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
-def page_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def page_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", copies_once: bool = False) -> DataFrame:
     """(host, page_key, line): the distinct lines of each page."""
     text = text_or_empty(text_col)
-    return docs.select(
+    pages = docs.select(
         F.col(host_col).cast("string").alias("host"),
         page_key(text, F.col(host_col)).alias("page_key"),
-        F.explode(F.array_distinct(F.transform(lines(text), line_hash))).alias("line"),
-    ).filter(F.col("line").isNotNull())
+        F.array_distinct(F.transform(lines(text), line_hash)).alias("held"),
+    )
+    if copies_once:  # the hashes move, not the texts
+        pages = pages.groupBy("host", "page_key").agg(F.first("held").alias("held"))
+    return pages.select("host", "page_key", F.explode("held").alias("line")).filter(F.col("line").isNotNull())
 
 
 def page_key(text: Column, host: Column) -> Column:
@@ -49,11 +55,14 @@ def page_key(text: Column, host: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("")), F.lit("\n"), text)))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def boilerplate(
+    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source", copies_once: bool = False
+) -> DataFrame:
     """(host, line, pages, host_pages) of the lines to drop."""
-    totals = docs.groupBy(F.col(host_col).cast("string").alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
+    hosts = docs.select(F.col(host_col).cast("string").alias("host"), page_key(text_or_empty(text_col), F.col(host_col)).alias("page_key"))
+    totals = (hosts.distinct() if copies_once else hosts).groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     counts = (
-        page_lines(docs, text_col, host_col).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+        page_lines(docs, text_col, host_col, copies_once).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     )
     return (
         counts.join(totals, counts["host"].eqNullSafe(totals["host"]))
@@ -63,10 +72,12 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 
 
 def drop_boilerplate(
-    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source"
+    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source", copies_once: bool = False
 ) -> DataFrame:
     """The documents without their hosts' boilerplate lines, and the column ``dropped_lines``."""
-    common = boilerplate(docs, ratio, min_pages, text_col, host_col)
+    common = boilerplate(docs, ratio, min_pages, text_col, host_col, copies_once)
+    if copies_once:  # small; what is dropped may be asked for more than once
+        common = materialize(common)
     found = page_lines(docs, text_col, host_col)
     hits = (
         found.join(common, found["host"].eqNullSafe(common["host"]) & (found["line"] == common["line"]), "left_semi")

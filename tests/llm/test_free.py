@@ -372,3 +372,19 @@ def test_stages_take_empty_and_odd_documents(spark, documents, tmp_path):
         for name, stage in cp.STAGES:
             out = stage(spark, frame, FOLDER)
             assert (out.count() > 0) == (frame is documents), name
+
+
+def test_copies_of_a_clean_document_reach_the_mix(spark, sample):
+    import corpus_pipeline as cp
+
+    clean = "\n".join(f"Sentence {k} of a clean document that {k * 7} people copied." for k in range(6))
+    menu = "home about contact"  # a page of boilerplate alone, copied too
+    rows = [(i, f"{menu}\nThe page {i} tells of {i * 31} things and of {i * 17} others.", "en", f"s{i % 2}") for i in range(100)]
+    rows += [(1000 + i, clean, "en", f"s{i % 2}") for i in range(60)] + [(2000 + i, menu, "en", "s0") for i in range(8)] + [(3000, menu + "\n" + menu, "en", "s1")]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in rows], sample.schema)
+    out = {r.doc_id: r for r in cp.drop_boilerplate_lines(spark, docs, FOLDER).collect()}
+    assert all(out[1000 + i].text == clean for i in range(60))
+    assert all(out[i].text == rows[i][1].split("\n")[1] and out[i].n_chars == len(out[i].text) for i in range(100))
+    assert {i for i in out if i >= 2000} == {2000} and out[2000].text == menu
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(list(out.values()), sample.schema), FOLDER)
+    assert [r.doc_id for r in kept.collect() if r.text == clean] == [1000]
