@@ -32,6 +32,8 @@ from palaver.llm.common import materialize, text_or_empty
 SAMPLE_ALL, SAMPLE_ONE_IN, COMMON_FROM, MOST_COMMON = 20_000, 8, 3, 200_000
 #: Keys of texts to verify that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Bits of the bitmaps that rule out pairs.
+PARITY_BITS = 1024
 EPS = 1e-9
 
 
@@ -115,15 +117,51 @@ def sets_of(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("text_key", "text").mapInArrow(run, "text_key binary, tokens array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints of which some texts are *threshold* alike."""
-    pairs = materialize(pairs)
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap in which every shingle flips one bit: two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.bincount((tokens.view(np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
+def parities_of(texts: DataFrame, size: int) -> DataFrame:
+    """(text_key, n, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), size) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("text_key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
+                names=["text_key", "n", "bits"],
+            )
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, n int, bits array<long>")
+
+
+def of_pairs(pairs: DataFrame, texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts of the pairs' fingerprints, and their keys."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     wanted = materialize(keys.join(ends, "fp", "left_semi"))
-    if wanted.isEmpty():
-        return pairs
     only = wanted.select("text_key")
-    held = texts.join(F.broadcast(only) if wanted.count() <= BROADCAST_KEYS else only, "text_key", "left_semi")
+    return texts.join(F.broadcast(only) if wanted.count() <= BROADCAST_KEYS else only, "text_key", "left_semi"), wanted
+
+
+def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints of which some texts are *threshold* alike.
+
+    Bitmaps rule out most pairs, and only those that can be alike are compared by their sets.
+    """
+    pairs = materialize(pairs)
+    if pairs.isEmpty():
+        return pairs
+    held, wanted = of_pairs(pairs, texts, keys)
+    marks = materialize(parities_of(held, size).distinct().join(wanted, "text_key").select("fp", "n", "bits").distinct())
+    one = marks.select(F.col("fp").alias("a"), F.col("n").alias("n_x"), F.col("bits").alias("x"))
+    two = marks.select(F.col("fp").alias("b"), F.col("n").alias("n_y"), F.col("bits").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+    # sets of a similarity t differ in at most (1 - t) / (1 + t) of both sizes together
+    may = apart <= (F.col("n_x") + F.col("n_y")) * ((1 - threshold) / (1 + threshold)) + EPS
+    pairs = materialize(pairs.join(one, "a").join(two, "b").filter(may).select("a", "b").distinct())
+    held, wanted = of_pairs(pairs, texts, keys)
     sets = materialize(sets_of(held, size).dropDuplicates(["text_key"]).join(wanted, "text_key").select("fp", "tokens"))
     one = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
