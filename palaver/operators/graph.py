@@ -88,14 +88,14 @@ def dependency_bonus(anchors: DataFrame, edges: DataFrame, decay: float = S.DECA
     return near.select(F.col("seed").alias("session_id"), F.col("node").alias("event_id"), F.pow(F.lit(float(decay)), F.col("d")).alias("bonus"))
 
 
-def pointer_closure(links: DataFrame, most: int = 64) -> DataFrame:
+def pointer_closure(links: DataFrame) -> DataFrame:
     """(node, ancestor, depth): all nodes above each node over (child, parent) links, by doubling.
 
     Rounds grow with the logarithm of the longest chain; a cycle ends when no pair is new.
     """
     known = cut(links.filter("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     size = known.count()
-    for _ in range(most.bit_length()):
+    while size:
         far = known.alias("x").join(known.alias("y"), F.col("x.ancestor") == F.col("y.node")).select(
             F.col("x.node").alias("node"), F.col("y.ancestor").alias("ancestor"), (F.col("x.depth") + F.col("y.depth")).alias("depth")
         )

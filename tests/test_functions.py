@@ -224,6 +224,16 @@ def test_lineage_cycle_ends(spark):
     assert gr.rollover(lineage, wanted).count() == 4
 
 
+def test_lineage_of_a_long_chain(spark):
+    lineage = spark.createDataFrame([(i, i + 1) for i in range(300)], "old_session_id long, new_session_id long")
+    ids = spark.createDataFrame([(0,), (300,)], "session_id long")
+    got = {(r.session_id, r.member) for r in gr.lineage_chain(ids, lineage).collect()}
+    assert got == {(s, m) for s in (0, 300) for m in range(301)}
+    assert {r.old_session_id: r.current_id for r in gr.resolve_sessions(lineage).collect()} == {i: 300 for i in range(300)}
+    state = gr.inherited_state(ids, spark.createDataFrame([(0, "g")], "session_id long, goal string"), lineage)
+    assert (300, 0, "g") in {(r.session_id, r.source_session, r.goal) for r in state.collect()}
+
+
 def test_hooks(spark):
     rows = [
         ("h", 1, "start", "A", None, None, True), ("h", 2, "start", "B", "compression", "A", True), ("h", 3, "start", "B", None, None, True),
