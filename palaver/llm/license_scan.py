@@ -219,6 +219,11 @@ def find_licenses(text: str | None, templates: list[Template], coverage: float =
                 todo += [(x, min(hi, x + 3 * reach)) for x in range(lo, hi - reach, 2 * reach)]
                 continue
             pairs = densest(patience_align(words[lo:hi], list(t.words)), n)
+            if len(pairs) < coverage * n or tightness(pairs) < n:
+                # two edited notices may have drawn the alignment apart: look for one of them alone
+                start, alone = best_window(words[lo:hi], t.words, coverage, density)
+                if len(alone) >= coverage * n and (len(pairs) < coverage * n or tightness(alone) > tightness(pairs)):
+                    pairs = [(start + i, j) for i, j in alone]
             if len(pairs) < coverage * n:
                 continue
             first, last = lo + pairs[0][0], lo + pairs[-1][0] + 1
@@ -234,6 +239,44 @@ def find_licenses(text: str | None, templates: list[Template], coverage: float =
     return sorted(out)
 
 
+def tightness(pairs: list[tuple[int, int]]) -> int:
+    """Aligned words less the others between the first and the last of them."""
+    return 2 * len(pairs) - (pairs[-1][0] - pairs[0][0] + 1)
+
+
+def best_window(words: list[str], template: tuple[str, ...], coverage: float, density: float) -> tuple[int, list[tuple[int, int]]]:
+    """(start, pairs) of the tightest alignment of the template with a window of about its length.
+
+    A find is at most len(template) / density words long.  Windows that share too few words with the template, in any
+    order, hold none; of neighbouring windows the one that shares most is aligned.
+    """
+    n, best = len(template), (0, [])
+    for width in sorted({max(1, int(n * x)) for x in (coverage, 0.9, 1, 1.125, 4 / 3, 1 / density)}):
+        width = min(width, len(words))
+        left, shared, counts = Counter(template), 0, []
+        for i, w in enumerate(words):
+            left[w] -= 1
+            shared += left[w] >= 0
+            if i >= width:
+                gone = words[i - width]
+                shared -= left[gone] >= 0
+                left[gone] += 1
+            if i >= width - 1:
+                counts.append(shared)
+        free = [True] * len(counts)
+        for s in sorted(range(len(counts)), key=lambda s: -counts[s]):
+            if counts[s] < coverage * n:
+                break
+            if free[s]:
+                around = range(max(0, s - n // 8), min(len(free), s + n // 8 + 1))
+                for k in around:
+                    free[k] = False
+                pairs = densest(patience_align(words[s : s + width], list(template)), n)
+                if len(pairs) >= coverage * n and (not best[1] or tightness(pairs) > tightness(best[1])):
+                    best = (s, pairs)
+    return best
+
+
 def densest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """The pairs without stray ones before or after a gap in the text longer than half the template."""
     best: list[tuple[int, int]] = []

@@ -255,6 +255,20 @@ def test_each_license_is_found(name):
     assert doc[found[0][0] : found[0][1]].split()[0].lower() == text.split()[0].lower()
 
 
+def test_two_edited_copies_of_a_license_are_both_found():
+    compiled = license_scan.compile_templates(license_scan.TEMPLATES)
+    words = license_scan.TEMPLATES["MIT"].split()
+    once = [i for i, w in enumerate(words) if words.count(w) == 1]
+    for seed in range(100):
+        rng, copies = random.Random(seed), []
+        for k in range(2):
+            copy = list(words)
+            copy[rng.choice(once)] = f"edit{k}"
+            copies.append(" ".join(copy))
+        found = license_scan.find_licenses(copies[0] + "".join(f" gap{i}" for i in range(15)) + " " + copies[1], compiled)
+        assert [f[2] for f in found] == ["MIT", "MIT"] and min(f[3] for f in found) > 0.97
+
+
 def test_license_scan_matches_known_lines(spark, sample, documents):
     lines = {"GPL-3.0-name", "MIT-name", "CC-BY-NC-4.0-name", "Apache-2.0-name"}
     got = {r.doc_id: Counter(f.license for f in r.found) for r in license_scan.scan_licenses(sample).collect()}
