@@ -3,12 +3,12 @@
 Pages of one host share a template.  A few pages of each host, one for each of ``REFERENCES`` hash buckets, are
 parsed to trees and aligned by simple tree matching (ordered children, maximum matching by dynamic
 programming; neighbouring siblings with one label are one repeated node).  The merged tree is the host's
-wrapper: text that stands in all its pages is template, varying slots are content, and the article's node is
-the region.  Every page is then aligned with its host's wrapper in the same way, and what falls on template
+wrapper's shape.  Every page is aligned with it, and texts are counted by node over all pages of the host: what more
+than ``TEMPLATE_SHARE`` of the pages with a node hold there is template.  Every page is then aligned with its host's wrapper in the same way, and what falls on template
 nodes, outside the region, or on nodes that by tag, class, id or role hold no article text goes.
 
 Text that varies is not content for that reason alone (adverts and menus rotate), so a slot's role counts too;
-a host with fewer than ``CONSTANT_PAGES`` different reference pages has no constant text, and its pages rest on roles.
+a text that fewer than ``CONSTANT_PAGES`` different pages hold is no template, and small hosts' pages rest on roles.
 
 Edge cases: null html counts as empty and gives an empty text; broken markup (unclosed, truncated or stray tags,
 bare ampersands) is read leniently; pages without a host form one host; repeated rows stay rows of their own;
@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from palaver.llm.common import materialize
 
 REFERENCES = 6
 CONSTANT_PAGES = 3
+#: A text is template of a node if more than this share of the host's different pages that have the node hold it there.
+TEMPLATE_SHARE = 0.5
 #: Wrappers up to this many bytes in all are broadcast; more are joined by host.
 BROADCAST_BYTES = 16 << 20
 
@@ -301,7 +304,7 @@ def extract_blocks(root: Node, wrapper: list | None) -> list[str]:
     def walk(node: Node, inside: bool) -> None:
         constant = template.get(id(node))
         own = squeeze(" ".join(c for c in node.children if isinstance(c, str))) if constant else ""
-        skip = constant is not None and own in constant
+        skip = constant is not None and (own in constant or (own != "" and text_mark(own) in constant))
         for c in node.children:
             if isinstance(c, str):
                 if not skip:
@@ -321,6 +324,55 @@ def extract_blocks(root: Node, wrapper: list | None) -> list[str]:
     return blocks
 
 
+def walk_aligned(root: Node, wrapper: list) -> Iterator[tuple[int, list[Node]]]:
+    """(place in the wrapper, preorder; the page's nodes there)."""
+    places: dict[int, int] = {}
+
+    def number(w: list) -> None:
+        places[id(w)] = len(places)
+        for c in w[1]:
+            number(c)
+
+    number(wrapper)
+    todo = [([root], wrapper)]
+    while todo:
+        nodes, w = todo.pop()
+        yield places[id(w)], nodes
+        groups: list[tuple[str, list[Node]]] = []
+        for n in nodes:
+            groups = join_groups(groups, grouped(n))
+        todo += [(groups[j][1], w[1][i]) for i, j in align(w[1], [tree_of(g) for _, g in groups], {})[1]]
+
+
+def text_mark(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def page_marks(html: str | None, wrapper: list) -> tuple[int, list[tuple[int, int | None]]]:
+    """A mark of the page's words, and (place, mark of a text there), each once; (place, None) for the place itself."""
+    root = parse(html)
+    words = text_mark("\n".join(extract_blocks(root, None)))
+    found: set[tuple[int, int | None]] = set()
+    for place, nodes in walk_aligned(root, wrapper):
+        found.add((place, None))
+        found |= {(place, text_mark(t)) for t in own_texts(nodes)}
+    return words, sorted(found, key=lambda x: (x[0], x[1] or -1))
+
+
+def with_template(shape: list, texts: list[tuple[int, int]]) -> list:
+    """The wrapper with the marks of its template texts in place of the sample's texts."""
+    at: dict[int, list[int]] = {}
+    for place, mark in texts:
+        at.setdefault(place, []).append(mark)
+    count = iter(range(1 << 62))
+
+    def fill(w: list) -> list:
+        place = next(count)
+        return [w[0], [fill(c) for c in w[1]], w[2], sorted(at.get(place, [])), w[4]]
+
+    return fill(shape)
+
+
 def join_groups(a: list, b: list) -> list:
     """Groups of repeated parents' children, by label in order of appearance."""
     if not a:
@@ -375,12 +427,55 @@ def induce_wrappers(pages: DataFrame, references: int = REFERENCES, url_col: str
     return refs.groupBy("host").applyInPandas(run, "host string, wrapper string")
 
 
+def count_templates(pages: DataFrame, wrappers: DataFrame, held, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper as JSON) with the template texts counted over all pages; pages with the same words count once."""
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    if held is None:
+        rows = rows.join(wrappers, "host")
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("mark", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        for b in batches:
+            words, marks = [], []
+            given = b.column("wrapper") if held is None else None
+            for i, (html, host) in enumerate(zip(b.column("html"), b.column("host").to_pylist(), strict=True)):
+                if host not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[host] = json.loads(given[i].as_py() if held is None else held.value[host])
+                w, m = page_marks(html.as_py(), known[host])
+                words.append(w)
+                marks.append([{"place": p, "mark": t} for p, t in m])
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(words, pa.int64()), pa.array(marks, kind)], names=["host", "words", "marks"])
+
+    marked = rows.mapInArrow(run, "host string, words long, marks array<struct<place:int,mark:long>>")
+    once = marked.groupBy("host", "words").agg(F.first("marks").alias("marks")).select("host", F.explode("marks").alias("m"))
+    counted = materialize(once.groupBy("host", "m.place", "m.mark").agg(F.count(F.lit(1)).alias("n")))
+    having = counted.filter("mark IS NULL").select("host", "place", F.col("n").alias("pages"))
+    texts = counted.filter(f"mark IS NOT NULL AND n >= {CONSTANT_PAGES}").join(having, ["host", "place"]).filter(F.col("n") > F.col("pages") * TEMPLATE_SHARE)
+    found = wrappers.join(texts.groupBy("host").agg(F.collect_list(F.struct("place", "mark")).alias("texts")), "host", "left")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [
+                json.dumps(with_template(json.loads(w), [(x["place"], x["mark"]) for x in t or []]))
+                for w, t in zip(b.column("wrapper").to_pylist(), b.column("texts").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
+
+    return found.mapInArrow(fill, "host string, wrapper string")
+
+
 def extract_pages(pages: DataFrame, references: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text."""
     wrappers = materialize(induce_wrappers(pages, references, url_col, html_col))
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     small = size <= BROADCAST_BYTES
+    if small:
+        shapes = pages.sparkSession.sparkContext.broadcast(dict(wrappers.toLocalIterator()))
+    wrappers = materialize(count_templates(pages, wrappers, shapes if small else None, url_col, html_col))
     if small:
         held = pages.sparkSession.sparkContext.broadcast(dict(wrappers.toLocalIterator()))
     else:

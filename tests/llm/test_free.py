@@ -305,6 +305,21 @@ def test_wrapper_finds_the_template():
     assert html_extract.has_constant(html_extract.induce([page(1)] * 5)) is False  # copies of one page tell nothing
 
 
+def test_template_is_counted_over_all_pages(spark):
+    """A notice on nine of ten pages goes; a paragraph on a few, sampled or not, stays."""
+    def page(k):
+        notice = "<div class=strap>We are read by many</div>" if k % 10 else "<div class=strap>Other words</div>"
+        shared = "A paragraph that some share" if k % 4 == 0 else f"A paragraph of page {k}"
+        return f"<body>{notice}<div class=story><h2>Title {k}</h2><p>{shared}</p></div></body>"
+
+    rows = [(k, "http://h/" + str(k), page(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    for k in range(200):
+        want = [f"Title {k}", "A paragraph that some share" if k % 4 == 0 else f"A paragraph of page {k}"]
+        assert got[k].split("\n") == ([] if k % 10 else ["Other words"]) + want
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
