@@ -5,7 +5,11 @@ parsed to trees and aligned by simple tree matching (ordered children, maximum m
 programming; neighbouring siblings with one label are one repeated node).  The merged tree is the host's
 wrapper's shape.  Every page is aligned with it, and texts are counted by node over all pages of the host: what more
 than ``TEMPLATE_SHARE`` of the pages with a node hold there is template.  Every page is then aligned with its host's wrapper in the same way, and what falls on template
-nodes, outside the region, or on nodes that by tag, class, id or role hold no article text goes.
+texts, outside the region, or on nodes that by tag, class, id or role hold no article text goes.
+
+The region is not taken from the wrapper: fixed lists of tags and words (``REGION_TAGS``, ``REGION_WORDS``, ``DROP_TAGS``,
+``DROP_WORDS``) replace it.  Where no node is named by them the whole page is the region, and unlabelled menus that vary
+come out as text.
 
 Text that varies is not content for that reason alone (adverts and menus rotate), so a slot's role counts too;
 a text that fewer than ``CONSTANT_PAGES`` different pages hold is no template, and small hosts' pages rest on roles.
@@ -263,12 +267,12 @@ def prune(w: list, pages: int) -> list:
 # -- extraction -----------------------------------------------------------------------------------
 
 
-def find_regions(node: Node, wrapper: list | None) -> list[Node]:
+def find_regions(node: Node) -> list[Node]:
     """The outermost region nodes that are not themselves without article text."""
     out = []
     for c in node.children:
         if isinstance(c, Node) and not no_article_text(c, False):
-            out += [c] if is_region(c) else find_regions(c, wrapper)
+            out += [c] if is_region(c) else find_regions(c)
     return out
 
 
@@ -291,7 +295,7 @@ def extract_blocks(root: Node, wrapper: list | None) -> list[str]:
 
     if wrapper is not None and has_constant(wrapper):
         assign([root], wrapper, [])
-    regions = [r for r in find_regions(root, wrapper) if any(True for _ in texts_of(r))] or [root]
+    regions = [r for r in find_regions(root) if any(True for _ in texts_of(r))] or [root]
     blocks: list[str] = []
     line: list[str] = []
 
