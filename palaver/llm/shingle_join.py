@@ -2,12 +2,17 @@
 
 Prefix filter: in any fixed order of all shingles, two sets that are t alike share one of the first n - ceil(t n) + 1
 of each.  The order puts shingles that a sample finds common last, so that few texts meet under one shingle; the order
-decides the cost alone, never the result.  Texts that meet are candidates if their sizes allow, and every candidate is
-verified on the whole sets.
+decides the cost alone, never the result.  Texts that meet are candidates, and every candidate is verified: bitmaps
+rule out most, the whole sets decide the rest.
 
-Members of a bucket are first compared with one of them; what these links and the given ones join needs no more
-comparing, so a bucket of near copies costs as many comparisons as it has members.  Members that are still apart are
-compared pair by pair.
+Members of a bucket (the texts that hold one shingle in their prefix) are first compared with its smallest fingerprint
+only, which is the same one in most buckets of a group of near copies.  What these links and the given ones join needs
+no more comparing, so a bucket of near copies costs as many comparisons as it has members.  Only in buckets whose
+members are still apart are they compared pair by pair across the groups.
+
+A bucket that the sample finds large is split: its members are dealt to parts by fingerprint, compared with their
+part's smallest one, and the parts' smallest ones with that of the bucket.  Copies of a text are dropped where they
+are read, task by task, and again in the bucket.
 
 Texts are told by fingerprint, as in :mod:`palaver.llm.simhash`: texts with one fingerprint are linked already.
 Texts without words are in no bucket.
@@ -22,18 +27,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm import simhash
-from palaver.llm.common import materialize, text_or_empty
+from palaver.llm.common import Scratch
 
 #: Rows up to which all are read for the order of shingles, the share of more (one in so many), the count in the
 #: sample from which a shingle is common, and the common shingles kept at most (the others count as rare).
 SAMPLE_ALL, SAMPLE_ONE_IN, COMMON_FROM, MOST_COMMON = 20_000, 8, 3, 200_000
+#: Members of a bucket that a part is meant to hold.
+PART_MEMBERS = 20_000
 #: Keys of texts to verify that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Bits of the bitmaps that rule out pairs.
 PARITY_BITS = 1024
+#: Digests of texts that a task remembers to drop copies, and entries that it hands on together.
+SEEN_TEXTS, ENTRIES = 200_000, 200_000
 EPS = 1e-9
 
 
@@ -61,139 +71,220 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+class Seen:
+    """Tells a task which texts it has met, so that copies cost little; it forgets when it is full."""
+
+    def __init__(self):
+        self.keys: set[bytes] = set()
+
+    def new(self, key: bytes) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= SEEN_TEXTS:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
+
+
 def prefix_length(n: int, threshold: float) -> int:
     return n - ceil(threshold * n - EPS) + 1
 
 
 def common_shingles(texts: DataFrame, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, count) of a sample, by shingle."""
+    """(shingle, estimated count) of the shingles that are common in a sample, by shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size))], names=["token"])
 
-    part = texts if rows <= SAMPLE_ALL else texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
+    one_in = 1 if rows <= SAMPLE_ALL else SAMPLE_ONE_IN
+    part = texts if one_in == 1 else texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(one_in)) == 0)
     counted = part.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counted.filter(F.col("n") >= COMMON_FROM).orderBy(F.col("n").desc(), "token").limit(MOST_COMMON).toArrow()  # bounded
     token, n = top.column("token").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(token)
-    return token[order], n[order]
+    return token[order], n[order] * one_in
 
 
-def prefixes(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, n, fp): the first shingles of each text, how many it has, its fingerprint."""
+def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, part, fp): the first shingles of each text with its fingerprint; part is 0 but in large buckets."""
     held = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = held.value
+        parts = -(-counts // PART_MEMBERS) if len(known) else counts
+        seen, out = Seen(), []
+
+        def flush():
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["token", "part", "fp"])
+
+        waiting = 0
         for b in batches:
-            for t in b.column("text"):
+            for key, t in zip(b.column("text_key").to_pylist(), b.column("text"), strict=True):
+                if not seen.new(key):
+                    continue
                 hashes = shingle_hashes(t.as_py(), size)
                 if not len(hashes):
                     continue
                 tokens, fp = np.unique(hashes.view(np.int64)), fingerprint_of(hashes)
-                rank = np.zeros(len(tokens), np.int64)
+                rank, part = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int32)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    rank = np.where(known[at] == tokens, counts[at], 0)
-                first = tokens[np.lexsort((tokens, rank))[: prefix_length(len(tokens), threshold)]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), pa.array(np.full(len(first), len(tokens), np.int32)), pa.array(np.full(len(first), fp, np.int64))],
-                    names=["token", "n", "fp"],
-                )
+                    met = known[at] == tokens
+                    rank = np.where(met, counts[at], 0)
+                    part = np.where(met, ((fp * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % np.maximum(parts[at], 1), 0).astype(np.int32)
+                first = np.lexsort((tokens, rank))[: prefix_length(len(tokens), threshold)]
+                out.append((tokens[first], part[first], np.full(len(first), fp, np.int64)))
+                waiting += len(first)
+                if waiting >= ENTRIES:
+                    yield flush()
+                    waiting = 0
+        if out:
+            yield flush()
 
-    return texts.select("text").mapInArrow(run, "token long, n int, fp long")
+    return texts.select("text_key", "text").mapInArrow(run, "token long, part int, fp long")
 
 
-def sets_of(texts: DataFrame, size: int) -> DataFrame:
-    """(text_key, tokens)."""
+def shared_buckets(all_entries: DataFrame, split: bool) -> DataFrame:
+    """(token, part, fp, lo): members of buckets of several texts, each once, and the smallest one of their part.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), size) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "tokens"])
-
-    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, tokens array<long>")
-
-
-def parity(tokens: np.ndarray) -> np.ndarray:
+    Where buckets are split, all their members stay, as they may meet those of other parts.
+    """
+    bucket = W.partitionBy("token", "part")
+    ordered = bucket.orderBy("fp")
+    rows = all_entries.withColumns({"lo": F.min("fp").over(bucket), "hi": F.max("fp").over(bucket), "before": F.lag("fp").over(ordered)})
+    several = F.col("lo") < F.col("hi")
+    if split:
+        several = several | (F.col("part") > 0)
+    return rows.filter(several & (F.col("before").isNull() | (F.col("before") != F.col("fp")))).select("token", "part", "fp", "lo")
+
+
+def star_pairs(shared: DataFrame, split: bool) -> DataFrame:
+    """(a, b), a > b: members with the smallest of their part, and those with that of the bucket."""
+    pairs = shared.filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+    if split:
+        parts = shared.select("token", "part", "lo").distinct()
+        pairs = pairs.unionByName(
+            parts.withColumn("b", F.min("lo").over(W.partitionBy("token"))).filter("lo <> b").select(F.col("lo").alias("a"), "b")
+        )
+    return pairs.distinct()
+
+
+def parity(tokens: np.ndarray) -> bytes:
     """A bitmap in which every shingle flips one bit: two sets differ in at least as many shingles as their bitmaps in bits."""
     bits = np.bincount((tokens.view(np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(bits.astype(bool)).view(np.int64)
+    return np.packbits(bits.astype(bool)).tobytes()
 
 
 def parities_of(texts: DataFrame, size: int) -> DataFrame:
-    """(text_key, n, bits)."""
+    """(fp, n, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for b in batches:
+            b = b.filter(pa.array(map(seen.new, b.column("text_key").to_pylist()), pa.bool_()))
             sets = [shingle_set(t.as_py(), size) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("text_key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
-                names=["text_key", "n", "bits"],
+                [b.column("fp"), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary())], names=["fp", "n", "bits"]
             )
 
-    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, n int, bits array<long>")
+    return texts.select("text_key", "fp", "text").mapInArrow(run, "fp long, n int, bits binary")
+
+
+def sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """(fp, tokens): the set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for b in batches:
+            b = b.filter(pa.array(map(seen.new, b.column("text_key").to_pylist()), pa.bool_()))
+            sets = [shingle_set(t.as_py(), size).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], names=["fp", "tokens"])
+
+    return texts.select("text_key", "fp", "text").mapInArrow(run, "fp long, tokens binary")
+
+
+def within(pairs: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose columns x and y satisfy *test*, without these columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [n for n in b.schema.names if n not in ("a", "b")]
+            columns = [b.column(n).to_pylist() for n in names]
+            keep = pa.array([test(dict(zip(names, row, strict=True))) for row in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(keep)
 
+    return pairs.mapInArrow(run, "a long, b long")
 
-def of_pairs(pairs: DataFrame, texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts of the pairs' fingerprints, and their keys."""
+
+def of_pairs(pairs: DataFrame, texts: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text_key, fp, text) of the pairs' fingerprints."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialize(keys.join(ends, "fp", "left_semi"))
-    only = wanted.select("text_key")
-    return texts.join(F.broadcast(only) if wanted.count() <= BROADCAST_KEYS else only, "text_key", "left_semi"), wanted
+    wanted = scratch.write(keys.join(ends, "fp", "left_semi").distinct())
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "text_key")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of fingerprints of which some texts are *threshold* alike.
 
     Bitmaps rule out most pairs, and only those that can be alike are compared by their sets.
     """
-    pairs = materialize(pairs)
     if pairs.isEmpty():
         return pairs
-    held, wanted = of_pairs(pairs, texts, keys)
-    marks = materialize(parities_of(held, size).distinct().join(wanted, "text_key").select("fp", "n", "bits").distinct())
-    one = marks.select(F.col("fp").alias("a"), F.col("n").alias("n_x"), F.col("bits").alias("x"))
-    two = marks.select(F.col("fp").alias("b"), F.col("n").alias("n_y"), F.col("bits").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
     # sets of a similarity t differ in at most (1 - t) / (1 + t) of both sizes together
-    may = apart <= (F.col("n_x") + F.col("n_y")) * ((1 - threshold) / (1 + threshold)) + EPS
-    pairs = materialize(pairs.join(one, "a").join(two, "b").filter(may).select("a", "b").distinct())
-    held, wanted = of_pairs(pairs, texts, keys)
-    sets = materialize(sets_of(held, size).dropDuplicates(["text_key"]).join(wanted, "text_key").select("fp", "tokens"))
-    one = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = both >= (F.size("x") + F.size("y") - both) * threshold - EPS
-    return materialize(pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b").distinct())
-
-
-def similar_links(texts: DataFrame, keys: DataFrame, size: int, threshold: float, given: DataFrame) -> DataFrame:
+    most = (1 - threshold) / (1 + threshold)
+
+    def may(r) -> bool:
+        apart = (int.from_bytes(r["x"], "big") ^ int.from_bytes(r["y"], "big")).bit_count()
+        return apart <= (r["n_x"] + r["n_y"]) * most + EPS
+
+    def alike(r) -> bool:
+        x, y = np.frombuffer(r["x"], np.int64), np.frombuffer(r["y"], np.int64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= (len(x) + len(y) - both) * threshold - EPS
+
+    def joined(table: DataFrame, names: list[str]) -> DataFrame:
+        one = table.select(F.col("fp").alias("a"), *[F.col(n).alias(x) for n, x in zip(names, ("x", "n_x"), strict=False)])
+        two = table.select(F.col("fp").alias("b"), *[F.col(n).alias(y) for n, y in zip(names, ("y", "n_y"), strict=False)])
+        return one, two
+
+    one, two = joined(scratch.write(parities_of(of_pairs(pairs, texts, keys, scratch), size).distinct()), ["bits", "n"])
+    near = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - EPS
+    pairs = scratch.write(within(pairs.join(one, "a").join(two, "b").filter(near), may).distinct())
+    if pairs.isEmpty():
+        return pairs
+    one, two = joined(scratch.write(sets_of(of_pairs(pairs, texts, keys, scratch), size).distinct()), ["tokens"])
+    return scratch.write(within(pairs.join(one, "a").join(two, "b"), alike).distinct())
+
+
+def similar_links(texts: DataFrame, keys: DataFrame, size: int, threshold: float, given: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) with a > b: links that with the *given* ones join all texts that are *threshold* alike, and no others.
 
-    *texts* has text_key and text, *keys* each text_key once with its fp.
+    *texts* has text_key and text, *keys* text_key with its fp.
     """
     common = common_shingles(texts, size, texts.count())
-    met = prefixes(texts, size, threshold, common).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("n", "fp"))).alias("m"))
-    buckets = materialize(met.filter("size(m) > 1").select("m").distinct().select(F.xxhash64("m").alias("bucket"), "m"))
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        fits = F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * threshold - EPS
-        chosen = rows.filter(fits & (F.col("p.fp") != F.col("q.fp")))
-        return chosen.select(F.greatest("p.fp", "q.fp").alias("a"), F.least("p.fp", "q.fp").alias("b")).distinct()
-
-    middle = F.element_at("m", (F.size("m") / 2).cast("int") + 1)
-    first = pairs(buckets.select(middle.alias("p"), F.explode("m").alias("q")))
-    links = verified(first, texts, keys, size, threshold)
-    labels = simhash.components(given.select("a", "b").unionByName(links).distinct())
-    members = buckets.select("bucket", F.explode("m").alias("p")).withColumn("fp", F.col("p.fp"))
-    members = members.join(labels, members["fp"] == labels["node"], "left").select("bucket", "p", F.coalesce("root", "fp").alias("root"))
-    members = materialize(members)
-    apart = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = materialize(members.join(apart, "bucket", "left_semi"))
-    other = open_.select(F.col("bucket").alias("bucket_q"), F.col("p").alias("q"), F.col("root").alias("root_q"))
-    rest = pairs(open_.join(other, (F.col("bucket") == F.col("bucket_q")) & (F.col("root") < F.col("root_q"))))
-    more = verified(rest.join(first, ["a", "b"], "left_anti"), texts, keys, size, threshold)
-    return links.unionByName(more)
+    split = bool(len(common[1]) and common[1].max() > PART_MEMBERS)
+    shared = scratch.write(shared_buckets(entries(texts, size, threshold, common), split))
+    first = scratch.write(star_pairs(shared, split))
+    links = verified(first, texts, keys, size, threshold, scratch)
+    labels = scratch.write(simhash.components(given.select("a", "b").unionByName(links).distinct()))
+    root = lambda fp, name: labels.select(F.col("node").alias(fp), F.col("root").alias(name))
+    rooted = first.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
+    apart = scratch.write(rooted.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    if apart.isEmpty():
+        return links
+    open_ = shared.select("token", F.col("fp").alias("a"), F.col("lo").alias("b")).join(apart, ["a", "b"], "left_semi").select("token")
+    if split:
+        ends = shared.select("token", F.col("lo").alias("a")).distinct().withColumn("b", F.min("a").over(W.partitionBy("token")))
+        open_ = open_.unionByName(ends.join(apart, ["a", "b"], "left_semi").select("token"))
+    open_ = open_.distinct()
+    members = shared.select("token", "fp").join(open_, "token", "left_semi").join(root("fp", "r"), "fp", "left")
+    members = scratch.write(members.select("token", "fp", F.coalesce("r", "fp").alias("r")))
+    other = members.select("token", F.col("fp").alias("q"), F.col("r").alias("rq"))
+    met = members.join(other, "token").filter("r < rq")
+    rest = met.select(F.greatest("fp", "q").alias("a"), F.least("fp", "q").alias("b")).distinct()
+    rest = scratch.write(rest.join(apart, ["a", "b"], "left_anti"))
+    return links.unionByName(verified(rest, texts, keys, size, threshold, scratch))

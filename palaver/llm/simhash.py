@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fresh, materialize, text_or_empty
+from palaver.llm.common import Scratch, fresh, materialize, text_or_empty
 
 SEED = 42
 SHINGLE = 4
@@ -284,10 +284,12 @@ def near_duplicate_groups(
     if similarity is not None:
         from palaver.llm import shingle_join  # it builds on this module
 
-        found = materialize(found)
-        keyed = docs.select(F.unhex(F.md5(text_or_empty(text_col))).alias("text_key"), text_or_empty(text_col).alias("text"))
-        keys = rows.select("text_key", "fp").distinct()
-        found = found.unionByName(shingle_join.similar_links(keyed, keys, size, similarity, found)).distinct()
+        scratch = Scratch(docs.sparkSession)
+        found = scratch.write(found)
+        texts = docs.select(F.unhex(F.md5(text_or_empty(text_col))).alias("text_key"), text_or_empty(text_col).alias("text"))
+        keys = rows.select("text_key", "fp")
+        found = materialize(found.unionByName(shingle_join.similar_links(texts, keys, size, similarity, found, scratch)).distinct())
+        scratch.remove()
     labels = components(found)
     linked = labels.join(distinct, labels["node"] == distinct["fp"]).select("fp", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("named"))
@@ -313,11 +315,12 @@ def drop_near_duplicates(
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
         F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")
     )
-    i, t = fresh("__id", docs), fresh("__text_key", docs)
+    d = fresh("__text_key", docs)
+    keyed = docs.withColumn(d, F.unhex(F.md5(text_or_empty(text_col))))
+    i, t = fresh("__kept_id", keyed), fresh("__kept_key", keyed)
     kept = materialize(kept.select(F.col("doc_id").alias(i), F.col("text_key").alias(t), "rows"))
-    keyed = docs.withColumn(t + "_d", F.unhex(F.md5(text_or_empty(text_col))))
-    same = lambda k: keyed[id_col].eqNullSafe(k[i]) & (keyed[t + "_d"] == k[t])
+    same = lambda k: keyed[id_col].eqNullSafe(k[i]) & (keyed[d] == k[t])
     once, repeated = kept.filter("rows = 1"), kept.filter("rows > 1")
     single = keyed.join(once, same(once), "left_semi")
-    again = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, t + "_d"])
-    return single.unionByName(again).drop(t + "_d")
+    again = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, d])
+    return single.unionByName(again).drop(d)
