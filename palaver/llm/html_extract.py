@@ -1,22 +1,31 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a template.  A few pages of each host, one for each of ``REFERENCES`` hash buckets, are
-parsed to trees and aligned by simple tree matching (ordered children, maximum matching by dynamic
-programming; neighbouring siblings with one label are one repeated node).  The merged tree is the host's
-wrapper's shape.  Every page is aligned with it, and texts are counted by node over all pages of the host: what more
-than ``TEMPLATE_SHARE`` of the pages with a node hold there is template.  Every page is then aligned with its host's wrapper in the same way, and what falls on template
-texts, outside the region, or on nodes that by tag, class, id or role hold no article text goes.
-
-The region is not taken from the wrapper: fixed lists of tags and words (``REGION_TAGS``, ``REGION_WORDS``, ``DROP_TAGS``,
-``DROP_WORDS``) replace it.  Where no node is named by them the whole page is the region, and unlabelled menus that vary
-come out as text.
-
-Text that varies is not content for that reason alone (adverts and menus rotate), so a slot's role counts too;
-a text that fewer than ``CONSTANT_PAGES`` different pages hold is no template, and small hosts' pages rest on roles.
-
-Edge cases: null html counts as empty and gives an empty text; broken markup (unclosed, truncated or stray tags,
-bare ampersands) is read leniently; pages without a host form one host; repeated rows stay rows of their own;
-an empty table gives no rows; further columns are ignored.
+Pages of one host share a template.  Up to ``REFERENCES`` pages of each host, one for each hash bucket, are parsed to
+trees of slots and aligned by simple tree matching: slots match under equal labels, and of the ordered matchings of two
+child lists the one with the most matched nodes counts.  A slot is one node, or repeated ones: text nodes of one label
+below a parent, neighbouring containers of one label and shape, and containers of which a parent has more than ``LIST``.
+The merged tree is the shape of the host's wrapper.
+
+Every page of the host is aligned with that shape, and texts are counted by place (partial aggregation; pages with the
+same words count once).  From these counts the wrapper says what each place is:
+
+* template: a text that more than ``TEMPLATE_SHARE`` of the pages with that place hold there (``CONSTANT_PAGES`` at
+  least).  Varying texts are content, unless their place is one of the following.
+* frame: by tag, class, id or role no article text (``DROP_TAGS``, ``DROP_WORDS``); inside the region only what names
+  an advert, a menu, a notice, a form, a sidebar, a footer or comments (``INSIDE_WORDS``).
+* menu: more than half of the place's varying characters stand in links, and it is outside the story, which is the
+  deepest container that holds more than half of the varying characters outside links.
+* outside: where the wrapper has regions (``REGION_TAGS``, ``REGION_WORDS``) with varying text, all places beside them;
+  else no place is, and the whole page less template, frame and menus is its main text.
+
+Pages are then aligned once more, and the texts of content places come out in page order.  Nodes that the shape lacks are
+content where their surroundings are, and judged by tag and words alone.
+
+Edge cases: null html counts as empty and gives an empty text; broken markup (unclosed, truncated or stray tags, bare
+ampersands) is read leniently; elements nested deeper than ``DEPTH`` become siblings there, as in browsers, and keep
+their text; work grows with the number of nodes (matching is quadratic only in the slots of one label below one parent,
+``LIST`` at most); pages without a host form one host; repeated rows stay rows of their own; an empty table gives no
+rows; further columns are ignored.  A host with one or two different pages has no template texts.
 """
 
 from __future__ import annotations
@@ -24,6 +33,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,12 +44,16 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import materialize
 
-REFERENCES = 6
+REFERENCES = 16
 CONSTANT_PAGES = 3
-#: A text is template of a node if more than this share of the host's different pages that have the node hold it there.
+#: A text is template of a place if more than this share of the host's different pages that have the place hold it there.
 TEMPLATE_SHARE = 0.5
-#: Wrappers up to this many bytes in all are broadcast; more are joined by host.
-BROADCAST_BYTES = 16 << 20
+#: More sibling containers of one label than this are one repeated slot.
+LIST = 24
+#: Elements nested deeper become siblings (as browsers do).
+DEPTH = 256
+#: Rows of hosts and hashes, and bytes of wrappers, up to which they are broadcast; more are joined by host.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp".split())
@@ -54,18 +69,23 @@ CLOSES = {
 DROP_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe svg math object button select textarea input label dialog menu title xmp".split()
 )
-#: Words in class, id or role of nodes without article text.
-DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
-    "breadcrumbs footer masthead topbar sidebar sidebars aside widget widgets related recommended recommendations share sharing social "
-    "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "subscribe subscription newsletter signup login search pagination pager toolbar copyright legal disclaimer form complementary "
-    "contentinfo trending outbrain taboola skip skyscraper".split()
+#: Words in class, id or role of nodes without article text, inside the region.
+INSIDE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
+    "footer contentinfo sidebar sidebars complementary comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice "
+    "notices popup modal overlay outbrain taboola skyscraper".split()
+)
+#: And outside of it.
+DROP_WORDS = INSIDE_WORDS | frozenset(
+    "banner promotion masthead topbar aside widget widgets related recommended recommendations share sharing social alert subscribe subscription "
+    "newsletter signup login search toolbar copyright legal disclaimer form trending skip".split()
 )
 HEADERS = frozenset("header".split())
 #: Classes of these describe the page; words beside which a class describes the layout.
 FRAME, MODIFIERS = frozenset("html body main".split()), frozenset("has no not with without open closed single".split())
 REGION_TAGS, REGION_WORDS = frozenset(("article", "main")), frozenset(("articlebody", "mainentity"))
+#: Nodes that hold other blocks; each is a slot of its own, as unlabelled ones may differ in role.
+CONTAINERS = frozenset("html body main article section div header footer nav aside form fieldset center table tbody ul ol dl details".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -77,10 +97,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "label", "children")
+    __slots__ = ("tag", "words", "label", "children", "shape", "regions")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.children = tag, []
+        self.tag, self.children, self.shape, self.regions = tag, [], None, None
         names = " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)) if "=" in attrs else ""
         self.words = frozenset(w.lower() for w in _WORDS.findall(names)) | {x.lower() for x in names.split() if x.isalpha()} if names else frozenset()
         self.label = f"{tag} {' '.join(sorted(self.words))}" if self.words else tag
@@ -126,7 +146,7 @@ def parse(text: str | None) -> Node:
         if name in BLOCK and name != "br":
             close(("p",), ("table", "td", "th", "body", "article", "main", "section", "div", "button"))
         node = Node(name, m["attrs"])
-        stack[-1].children.append(node)
+        stack[min(len(stack), DEPTH) - 1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(text, at)
             at = end.end() if end else len(text)
@@ -147,121 +167,270 @@ def no_article_text(node: Node, inside: bool) -> bool:
     """
     if node.tag in DROP_TAGS or (not inside and node.tag in HEADERS):
         return True
-    if node.tag in FRAME or not (node.words & (DROP_WORDS if inside else DROP_WORDS | HEADERS)):
+    if node.tag in FRAME or not (node.words & (INSIDE_WORDS if inside else DROP_WORDS | HEADERS)):
         return False
     return node.words.isdisjoint(MODIFIERS) and not holds_region(node)
 
 
 def holds_region(node: Node) -> bool:
-    """Some node below is a region that is not itself, say, a comment."""
-    return any(isinstance(c, Node) and c.tag not in DROP_TAGS and ((is_region(c) and not no_article_text(c, False)) or holds_region(c)) for c in node.children)
+    """Some node below is a region that is not itself, say, a comment; each node is asked once."""
+    if node.regions is None:
+        node.regions = False
+        for c in node.children:
+            if isinstance(c, Node) and c.tag not in DROP_TAGS and (holds_region(c) or (is_region(c) and not no_article_text(c, False))):
+                node.regions = True
+    return node.regions
 
 
 def is_region(node: Node) -> bool:
     return node.tag in REGION_TAGS or not node.words.isdisjoint(REGION_WORDS) or (node.tag == "div" and "main" in node.words)
 
 
-# -- wrappers: lists [label, children, pages, texts that all pages hold, region] ---------------------
+# -- slots and their alignment --------------------------------------------------------------------
 
 
-def grouped(node: Node) -> list[tuple[str, list[Node]]]:
-    """The child nodes, neighbours with one label together."""
-    out: list[tuple[str, list[Node]]] = []
-    for c in node.children:
-        if isinstance(c, Node):
-            if out and out[-1][0] == c.label:
-                out[-1][1].append(c)
-            else:
-                out.append((c.label, [c]))
-    return out
+class Slot:
+    """A place of a page or a wrapper: its label, the page's nodes there and the slots below."""
 
+    __slots__ = ("label", "nodes", "children", "place")
 
-def own_texts(nodes: list[Node]) -> set[str]:
-    """Texts of the nodes' own strings and inline parts, squeezed."""
-    out = set()
-    for n in nodes:
-        t = squeeze(" ".join(c for c in n.children if isinstance(c, str)))
-        if t:
-            out.add(t)
-    return out
+    def __init__(self, label: str, nodes: list[Node], children: list[Slot]):
+        self.label, self.nodes, self.children, self.place = label, nodes, children, -1
 
 
-def tree_of(nodes: list[Node]) -> list:
-    children: list = []
-    for n in nodes:
-        children = merge_children(children, [tree_of(g) for _, g in grouped(n)], new_page=False)
-    return [nodes[0].label, children, 1, sorted(own_texts(nodes)), any(is_region(n) for n in nodes)]
+def shape_of(node: Node) -> int:
+    """Equal for nodes of one label whose children are of equal shapes, repetitions aside."""
+    if node.shape is None:
+        below: list[int] = []
+        for c in node.children:
+            if isinstance(c, Node) and c.tag in BLOCK and (s := shape_of(c)) not in below[-2:]:
+                below.append(s)
+        node.shape = hash((node.label, *below))
+    return node.shape
+
+
+def slot_tree(nodes: list[Node]) -> Slot:
+    below = [c for n in nodes for c in n.children if isinstance(c, Node)]
+    single = len(nodes) == 1
+    often = Counter(c.label for c in below if c.tag in CONTAINERS)
+    groups: list[list[Node]] = []
+    at: dict[str, list[Node]] = {}
+    last: tuple | None = None
+    for c in below:
+        if c.tag in CONTAINERS and single and often[c.label] <= LIST:
+            now = (c.label, shape_of(c))
+            if now == last:
+                groups[-1].append(c)
+            else:
+                groups.append([c])
+            last = now
+        else:
+            if c.label not in at:
+                at[c.label] = []
+                groups.append(at[c.label])
+            at[c.label].append(c)
+            last = None if c.tag in BLOCK else last
+    return Slot(nodes[0].label, nodes, [slot_tree(g) for g in groups])
 
 
-def match_score(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching: matched nodes under equal labels, children in order."""
-    if a[0] != b[0]:
+def score(a: Slot, b: Slot, memo: dict) -> int:
+    """Simple tree matching: the nodes matched under equal labels, children in order."""
+    if a.label != b.label:
         return 0
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + align(a[1], b[1], memo)[0]
+        memo[key] = 1 + sum([score(a.children[i], b.children[j], memo) for i, j in align(a.children, b.children, memo)])
     return memo[key]
 
 
-def align(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """The best ordered matching of two child lists: its score and pairs."""
-    if not a or not b:
-        return 0, []
-    if [x[0] for x in a] == [x[0] for x in b] and len({x[0] for x in a}) == len(a):
-        return sum(match_score(x, y, memo) for x, y in zip(a, b, strict=True)), [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            s = match_score(a[i], b[j], memo)
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + s if s else 0)
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        s = match_score(a[i], b[j], memo)
-        if s and best[i][j] == best[i + 1][j + 1] + s:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return best[0][0], pairs
-
-
-def merge_children(a: list, b: list, new_page: bool) -> list:
+def align(a: list[Slot], b: list[Slot], memo: dict) -> list[tuple[int, int]]:
+    """The heaviest ordered matching of two child lists: a heaviest increasing sequence of pairs of one label."""
+    if [x.label for x in a] == [x.label for x in b]:
+        return [(i, i) for i in range(len(a))]
+    where: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        where.setdefault(y.label, []).append(j)
+    ends: list[int] = []  # columns with a better sequence than any column before, rising in both
+    best: list[tuple[int, tuple | None]] = []
+    for i, x in enumerate(a):
+        found = []
+        for j in where.get(x.label, ()):
+            k = bisect_left(ends, j)
+            total, chain = best[k - 1] if k else (0, None)
+            found.append((j, total + score(x, b[j], memo), (i, j, chain)))
+        for j, total, chain in found:
+            k = bisect_left(ends, j)
+            if (best[k - 1][0] if k else 0) >= total or (k < len(ends) and ends[k] == j and best[k][0] >= total):
+                continue
+            stop = k
+            while stop < len(ends) and best[stop][0] <= total:
+                stop += 1
+            ends[k:stop], best[k:stop] = [j], [(total, chain)]
+    pairs, chain = [], best[-1][1] if best else None
+    while chain is not None:
+        i, j, chain = chain
+        pairs.append((i, j))
+    return pairs[::-1]
+
+
+def merge(a: Slot, b: Slot, memo: dict) -> Slot:
     out, i, j = [], 0, 0
-    for x, y in [*align(a, b, {})[1], (len(a), len(b))]:
-        out += a[i:x] + b[j:y]
-        if x < len(a):
-            out.append(merge(a[x], b[y], new_page))
+    for x, y in [*align(a.children, b.children, memo), (len(a.children), len(b.children))]:
+        out += a.children[i:x] + b.children[j:y]
+        if x < len(a.children):
+            out.append(merge(a.children[x], b.children[y], memo))
         i, j = x + 1, y + 1
-    return out
-
-
-def merge(a: list, b: list, new_page: bool = True) -> list:
-    if not new_page:  # repeated nodes of one page
-        return [a[0], merge_children(a[1], b[1], False), 1, sorted({*a[3], *b[3]}), a[4] or b[4]]
-    return [a[0], merge_children(a[1], b[1], True), a[2] + b[2], sorted({*a[3]} & {*b[3]}), a[4] or b[4]]
+    return Slot(a.label, [], out)
 
 
-def induce(pages: list[str | None]) -> list | None:
-    """The wrapper of some pages of one host; pages with the same words count once."""
-    trees, seen = [], set()
+def flatten(root: Slot) -> tuple[list[str], list[int]]:
+    """Labels and parents by place, in preorder."""
+    labels, parents, todo = [], [], [(root, -1)]
+    while todo:
+        slot, up = todo.pop()
+        labels.append(slot.label)
+        parents.append(up)
+        todo += [(c, len(labels) - 1) for c in reversed(slot.children)]
+    return labels, parents
+
+
+class Wrapper:
+    """The shape of a host's pages and what is known of its places."""
+
+    def __init__(self, labels: list[str], parents: list[int], template=(), kinds: dict | None = None):
+        self.labels, self.parents = labels, parents
+        slots = [Slot(x, [], []) for x in labels]
+        for place, (slot, up) in enumerate(zip(slots, parents, strict=True)):
+            slot.place = place
+            if up >= 0:
+                slots[up].children.append(slot)
+        self.root, self.slots = slots[0], slots
+        self.template: dict[int, set[int]] = {}
+        for place, mark in template:
+            self.template.setdefault(place, set()).add(mark)
+        kinds = kinds or {}
+        self.regions, self.menus = frozenset(kinds.get("regions", ())), frozenset(kinds.get("menus", ()))
+
+    def to_json(self) -> str:
+        marks = [(p, m) for p, ms in sorted(self.template.items()) for m in sorted(ms)]
+        return json.dumps([self.labels, self.parents, marks, {"regions": sorted(self.regions), "menus": sorted(self.menus)}])
+
+    @staticmethod
+    def from_json(text: str) -> Wrapper:
+        return Wrapper(*json.loads(text))
+
+    def aligned(self, page: Node) -> Iterator[tuple[int, list[Node]]]:
+        """(place, the page's nodes there)."""
+        todo, memo = [(self.root, slot_tree([page]))], {}
+        while todo:
+            mine, its = todo.pop()
+            yield mine.place, its.nodes
+            todo += [(mine.children[i], its.children[j]) for i, j in align(mine.children, its.children, memo)]
+
+
+def induce(pages: list[str | None]) -> Wrapper | None:
+    """The shape of some pages of one host; pages with the same words count once."""
+    merged, seen, memo = None, set(), {}
+    held = []  # slots stay while their identity is a key
     for p in pages:
         root = parse(p)
-        words = extract_blocks(root, None)
-        if tuple(words) not in seen:
-            seen.add(tuple(words))
-            trees.append(tree_of([root]))
-    wrapper = None
-    for t in trees:
-        wrapper = t if wrapper is None else merge(wrapper, t)
-    return wrapper and prune(wrapper, len(trees))
+        words = tuple(extract_blocks(root, None))
+        if words not in seen:
+            seen.add(words)
+            tree = slot_tree([root])
+            held.append((tree, merged))
+            merged = tree if merged is None else merge(merged, tree, memo)
+    return merged and Wrapper(*flatten(merged))
+
+
+# -- what the places are --------------------------------------------------------------------------
+
+
+def text_mark(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
 
+def is_block(node: Node) -> bool:
+    return node.tag in BLOCK
 
-def prune(w: list, pages: int) -> list:
-    """Only texts that all of enough pages hold are template."""
-    constant = w[3] if pages >= CONSTANT_PAGES and w[2] == pages else []
-    return [w[0], [prune(c, pages) for c in w[1]], w[2], constant, w[4]]
+
+def line_text(node: Node) -> tuple[str, int]:
+    """The text of a block without the blocks in it, squeezed, and how many of its characters stand in links."""
+    parts: list[str] = []
+    linked = 0
+    todo: list[tuple] = [(c, False) for c in reversed(node.children)]
+    while todo:
+        c, link = todo.pop()
+        if isinstance(c, str):
+            parts.append(c)
+            linked += len(squeeze(c)) if link else 0
+        elif is_block(c):
+            parts.append(" ")
+        elif not no_article_text(c, True):
+            todo += [(d, link or c.tag == "a") for d in reversed(c.children)]
+    text = squeeze("".join(parts))
+    return text, min(linked, len(text))
+
+
+def page_marks(html: str | None, wrapper: Wrapper) -> tuple[int, list[tuple[int, int | None, int, int]]]:
+    """A mark of the page's words, and (place, mark of a text, its characters, those in links), each once; (place, None, 0, 0) for the place."""
+    root = parse(html)
+    words = text_mark("\n".join(extract_blocks(root, None)))
+    found: dict[tuple[int, int | None], tuple[int, int]] = {}
+    for place, nodes in wrapper.aligned(root):
+        found[place, None] = (0, 0)
+        for n in nodes:
+            if n is root or is_block(n):
+                t, linked = line_text(n)
+                if t:
+                    found[place, text_mark(t)] = (len(t), linked)
+    return words, [(p, m, *n) for (p, m), n in found.items()]
+
+
+def classify(wrapper: Wrapper, template: list[tuple[int, int]], varying: dict[int, tuple[int, int]]) -> Wrapper:
+    """The wrapper with its template texts, regions and menus; *varying*: characters of other texts by place, and those in links."""
+    n = len(wrapper.labels)
+    nodes = [Node(x.partition(" ")[0]) for x in wrapper.labels]
+    for node, label in zip(nodes, wrapper.labels, strict=True):
+        node.words = frozenset(label.split()[1:])
+    for place in range(1, n):
+        nodes[wrapper.parents[place]].children.append(nodes[place])
+    linked, open_, inside = [False] * n, [True] * n, [False] * n
+    regions: list[int] = []
+    for place in range(n):
+        up = wrapper.parents[place]
+        if up >= 0:
+            linked[place], inside[place] = linked[up] or nodes[place].tag == "a", inside[up]
+            open_[place] = open_[up] and not no_article_text(nodes[place], inside[place])
+        if open_[place] and not inside[place] and place and is_region(nodes[place]):
+            regions.append(place)
+            inside[place] = True
+    plain, all_ = [0] * n, [0] * n  # characters outside links, and all, at and below a place
+    for place in range(n - 1, -1, -1):
+        if open_[place]:
+            chars, in_links = varying.get(place, (0, 0))
+            all_[place] += chars
+            plain[place] += 0 if linked[place] else chars - in_links
+        if (up := wrapper.parents[place]) >= 0:
+            all_[up] += all_[place]
+            plain[up] += plain[place]
+    story = 0
+    while (down := [c.place for c in wrapper.slots[story].children if nodes[c.place].tag in CONTAINERS and plain[c.place] * 2 > plain[0]]):
+        story = down[0]
+    around = set()
+    place = story
+    while place >= 0:
+        around.add(place)
+        place = wrapper.parents[place]
+    menus, within = [], [False] * n
+    for place in range(1, n):
+        up = wrapper.parents[place]
+        within[place] = within[up] or place == story
+        block = nodes[place].tag in CONTAINERS
+        if block and place not in around and not within[place] and story and (all_[place] - plain[place]) * 2 > all_[place]:
+            menus.append(place)
+    regions = [r for r in regions if all_[r]]
+    return Wrapper(wrapper.labels, wrapper.parents, template, {"regions": regions, "menus": menus})
 
 
 # -- extraction -----------------------------------------------------------------------------------
@@ -276,26 +445,20 @@ def find_regions(node: Node) -> list[Node]:
     return out
 
 
-def extract_blocks(root: Node, wrapper: list | None) -> list[str]:
-    template: dict[int, frozenset] = {}
-
-    def assign(nodes: list[Node], w: list, tree: list) -> None:
-        """Walk page and wrapper together along the alignment."""
-        if w[3]:
-            held = frozenset(w[3])
-            for n in nodes:
-                template[id(n)] = held
-        groups: list[tuple[str, list[Node]]] = []
-        for n in nodes:
-            groups = join_groups(groups, grouped(n))
-        trees = [tree_of(g) for _, g in groups]
-        for i, j in align(w[1], trees, {})[1]:
-            if w[1][i][1] or w[1][i][3]:
-                assign(groups[j][1], w[1][i], trees[j])
-
-    if wrapper is not None and has_constant(wrapper):
-        assign([root], wrapper, [])
-    regions = [r for r in find_regions(root) if any(True for _ in texts_of(r))] or [root]
+def extract_blocks(root: Node, wrapper: Wrapper | None) -> list[str]:
+    template: dict[int, set[int]] = {}
+    menus: set[int] = set()
+    regions: list[Node] = []
+    if wrapper is not None and (wrapper.template or wrapper.menus or wrapper.regions):
+        for place, nodes in wrapper.aligned(root):
+            if place in wrapper.template:
+                template.update((id(n), wrapper.template[place]) for n in nodes)
+            if place in wrapper.menus:
+                menus.update(map(id, nodes))
+            if place in wrapper.regions:
+                regions += nodes
+    regions = [r for r in regions if has_text(r)] or [r for r in find_regions(root) if has_text(r)] or [root]
+    chosen = {id(r) for r in regions}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -305,106 +468,41 @@ def extract_blocks(root: Node, wrapper: list | None) -> list[str]:
             blocks.append(t)
         line.clear()
 
-    def walk(node: Node, inside: bool) -> None:
-        constant = template.get(id(node))
-        own = squeeze(" ".join(c for c in node.children if isinstance(c, str))) if constant else ""
-        skip = constant is not None and (own in constant or (own != "" and text_mark(own) in constant))
+    def walk(node: Node, inside: bool, skip: bool) -> None:
+        """Text counts inside a region; the way to it is walked as well.  A template text goes with its inline parts."""
+        if node is root or is_block(node):
+            constant = template.get(id(node))
+            skip = constant is not None and text_mark(line_text(node)[0]) in constant
+        inside = inside or id(node) in chosen
         for c in node.children:
             if isinstance(c, str):
-                if not skip:
+                if inside and not skip:
                     line.append(c)
-            elif not no_article_text(c, inside):
+            elif id(c) not in menus and (id(c) in chosen or not no_article_text(c, inside and not whole)):
                 block = c.tag in BLOCK
                 if block:
                     flush()
-                walk(c, inside)
+                walk(c, inside, skip)
                 if block:
                     flush()
 
-    for r in regions:
-        flush()
-        walk(r, r is not root)
+    whole = id(root) in chosen
+    walk(root, False, False)
     flush()
     return blocks
 
 
-def walk_aligned(root: Node, wrapper: list) -> Iterator[tuple[int, list[Node]]]:
-    """(place in the wrapper, preorder; the page's nodes there)."""
-    places: dict[int, int] = {}
-
-    def number(w: list) -> None:
-        places[id(w)] = len(places)
-        for c in w[1]:
-            number(c)
-
-    number(wrapper)
-    todo = [([root], wrapper)]
-    while todo:
-        nodes, w = todo.pop()
-        yield places[id(w)], nodes
-        groups: list[tuple[str, list[Node]]] = []
-        for n in nodes:
-            groups = join_groups(groups, grouped(n))
-        todo += [(groups[j][1], w[1][i]) for i, j in align(w[1], [tree_of(g) for _, g in groups], {})[1]]
-
-
-def text_mark(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-
-
-def page_marks(html: str | None, wrapper: list) -> tuple[int, list[tuple[int, int | None]]]:
-    """A mark of the page's words, and (place, mark of a text there), each once; (place, None) for the place itself."""
-    root = parse(html)
-    words = text_mark("\n".join(extract_blocks(root, None)))
-    found: set[tuple[int, int | None]] = set()
-    for place, nodes in walk_aligned(root, wrapper):
-        found.add((place, None))
-        found |= {(place, text_mark(t)) for t in own_texts(nodes)}
-    return words, sorted(found, key=lambda x: (x[0], x[1] or -1))
-
-
-def with_template(shape: list, texts: list[tuple[int, int]]) -> list:
-    """The wrapper with the marks of its template texts in place of the sample's texts."""
-    at: dict[int, list[int]] = {}
-    for place, mark in texts:
-        at.setdefault(place, []).append(mark)
-    count = iter(range(1 << 62))
-
-    def fill(w: list) -> list:
-        place = next(count)
-        return [w[0], [fill(c) for c in w[1]], w[2], sorted(at.get(place, [])), w[4]]
-
-    return fill(shape)
-
-
-def join_groups(a: list, b: list) -> list:
-    """Groups of repeated parents' children, by label in order of appearance."""
-    if not a:
-        return [(k, list(v)) for k, v in b]
-    place = {k: v for k, v in reversed(a)}
-    out = list(a)
-    for k, v in b:
-        if k in place:
-            place[k].extend(v)
-        else:
-            out.append((k, list(v)))
-    return out
-
-
-def texts_of(node: Node) -> Iterator[str]:
+def has_text(node: Node) -> bool:
     for c in node.children:
         if isinstance(c, str):
             if c.strip():
-                yield c
-        elif not no_article_text(c, True):
-            yield from texts_of(c)
+                return True
+        elif not no_article_text(c, True) and has_text(c):
+            return True
+    return False
 
 
-def has_constant(w: list) -> bool:
-    return bool(w[3]) or any(has_constant(c) for c in w[1])
-
-
-def extract(html: str | None, wrapper: list | None = None) -> str:
+def extract(html: str | None, wrapper: Wrapper | None = None) -> str:
     return "\n".join(extract_blocks(parse(html), wrapper))
 
 
@@ -415,88 +513,105 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def hosted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+
+
 def induce_wrappers(pages: DataFrame, references: int = REFERENCES, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper as JSON): at most *references* pages of a host meet in one task."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.withColumn("hash", F.xxhash64("host", "html"))
+    """(host, wrapper as JSON), the shape alone: at most *references* pages of a host meet in one task."""
+    rows = hosted(pages, url_col, html_col).withColumn("hash", F.xxhash64("host", "html"))
     chosen = rows.select("host", "hash").groupBy("host", F.pmod("hash", F.lit(references)).alias("bucket")).agg(F.min("hash").alias("hash"))
-    refs = rows.join(chosen.select("host", "hash"), ["host", "hash"], "left_semi").dropDuplicates(["host", "hash"])
+    chosen = materialize(chosen.select("host", "hash"))
+    refs = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["host", "hash"], "left_semi").dropDuplicates(["host", "hash"])
 
     def run(pdf):
         import pandas as pd
 
         wrapper = induce(pdf.sort_values("hash")["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [wrapper.to_json()]})
 
     return refs.groupBy("host").applyInPandas(run, "host string, wrapper string")
 
 
-def count_templates(pages: DataFrame, wrappers: DataFrame, held, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper as JSON) with the template texts counted over all pages; pages with the same words count once."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    if held is None:
-        rows = rows.join(wrappers, "host")
-    kind = pa.list_(pa.struct([("place", pa.int32()), ("mark", pa.int64())]))
+class Held:
+    """Wrappers by host, from a broadcast or from the rows themselves."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.known = broadcast, {}
+
+    def of(self, host: str, given) -> Wrapper | None:
+        if host not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            raw = given.as_py() if self.broadcast is None else self.broadcast.value.get(host)
+            self.known[host] = Wrapper.from_json(raw) if raw else None
+        return self.known[host]
+
+
+def count_texts(rows: DataFrame, broadcast) -> DataFrame:
+    """(host, place, mark, pages, chars, linked) over all pages; a null mark is the place itself; pages with the same words count once."""
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("mark", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        held = Held(broadcast)
         for b in batches:
             words, marks = [], []
-            given = b.column("wrapper") if held is None else None
-            for i, (html, host) in enumerate(zip(b.column("html"), b.column("host").to_pylist(), strict=True)):
-                if host not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[host] = json.loads(given[i].as_py() if held is None else held.value[host])
-                w, m = page_marks(html.as_py(), known[host])
+            given = b.column("wrapper") if broadcast is None else [None] * b.num_rows
+            for html, host, raw in zip(b.column("html"), b.column("host").to_pylist(), given, strict=True):
+                w, found = page_marks(html.as_py(), held.of(host, raw))
                 words.append(w)
-                marks.append([{"place": p, "mark": t} for p, t in m])
+                marks.append([{"place": p, "mark": t, "chars": n, "linked": k} for p, t, n, k in found])
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(words, pa.int64()), pa.array(marks, kind)], names=["host", "words", "marks"])
 
-    marked = rows.mapInArrow(run, "host string, words long, marks array<struct<place:int,mark:long>>")
+    marked = rows.mapInArrow(run, "host string, words long, marks array<struct<place:int,mark:long,chars:int,linked:int>>")
     once = marked.groupBy("host", "words").agg(F.first("marks").alias("marks")).select("host", F.explode("marks").alias("m"))
-    counted = materialize(once.groupBy("host", "m.place", "m.mark").agg(F.count(F.lit(1)).alias("n")))
-    having = counted.filter("mark IS NULL").select("host", "place", F.col("n").alias("pages"))
-    texts = counted.filter(f"mark IS NOT NULL AND n >= {CONSTANT_PAGES}").join(having, ["host", "place"]).filter(F.col("n") > F.col("pages") * TEMPLATE_SHARE)
-    found = wrappers.join(texts.groupBy("host").agg(F.collect_list(F.struct("place", "mark")).alias("texts")), "host", "left")
+    return once.groupBy("host", "m.place", "m.mark").agg(F.count(F.lit(1)).alias("pages"), F.max("m.chars").alias("chars"), F.sum("m.linked").alias("linked"))
+
+
+def fill_wrappers(wrappers: DataFrame, counted: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON) with template texts, regions and menus.
+
+    Template texts of a place are fewer than 1 / TEMPLATE_SHARE times its texts on a page; the other texts come as a sum.
+    """
+    at = counted.filter("mark IS NULL").select("host", "place", F.col("pages").alias("having"))
+    texts = counted.filter("mark IS NOT NULL").join(at, ["host", "place"])
+    constant = (F.col("pages") >= CONSTANT_PAGES) & (F.col("pages") > F.col("having") * TEMPLATE_SHARE)
+    per = texts.groupBy("host", "place").agg(
+        F.collect_list(F.when(constant, F.col("mark"))).alias("marks"), F.sum(F.when(~constant, F.col("pages") * F.col("chars")).otherwise(0)).alias("chars"),
+        F.sum(F.when(~constant, F.col("linked")).otherwise(0)).alias("linked"),
+    )
+    listed = per.groupBy("host").agg(F.collect_list(F.struct("place", "marks", "chars", "linked")).alias("places"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [
-                json.dumps(with_template(json.loads(w), [(x["place"], x["mark"]) for x in t or []]))
-                for w, t in zip(b.column("wrapper").to_pylist(), b.column("texts").to_pylist(), strict=True)
-            ]
+            out = []
+            for raw, places in zip(b.column("wrapper").to_pylist(), b.column("places").to_pylist(), strict=True):
+                template = [(p["place"], m) for p in places or [] for m in p["marks"]]
+                out.append(classify(Wrapper.from_json(raw), template, {p["place"]: (p["chars"], p["linked"]) for p in places or []}).to_json())
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
 
-    return found.mapInArrow(fill, "host string, wrapper string")
+    return wrappers.join(listed, "host", "left").mapInArrow(fill, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame, references: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text."""
-    wrappers = materialize(induce_wrappers(pages, references, url_col, html_col))
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    spark = pages.sparkSession
+    shapes = materialize(induce_wrappers(pages, references, url_col, html_col))
+    small = (shapes.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
+    rows = hosted(pages, url_col, html_col)
+    held = spark.sparkContext.broadcast(dict(shapes.toLocalIterator())) if small else None
+    counted = materialize(count_texts(rows if small else rows.join(shapes, "host"), held))
+    wrappers = materialize(fill_wrappers(shapes, counted))
+    small = (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
+    full = spark.sparkContext.broadcast(dict(wrappers.toLocalIterator())) if small else None
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    small = size <= BROADCAST_BYTES
-    if small:
-        shapes = pages.sparkSession.sparkContext.broadcast(dict(wrappers.toLocalIterator()))
-    wrappers = materialize(count_templates(pages, wrappers, shapes if small else None, url_col, html_col))
-    if small:
-        held = pages.sparkSession.sparkContext.broadcast(dict(wrappers.toLocalIterator()))
-    else:
-        rows = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    rows = rows if small else rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list | None] = {}
+        found = Held(full)
         for b in batches:
-            texts = []
-            given = b.column("wrapper") if not small else None
-            for i, (html, host) in enumerate(zip(b.column("html"), b.column("host").to_pylist(), strict=True)):
-                if host not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    raw = held.value.get(host) if small else given[i].as_py()
-                    known[host] = json.loads(raw) if raw else None
-                texts.append(extract(html.as_py(), known[host]))
+            given = b.column("wrapper") if full is None else [None] * b.num_rows
+            texts = [extract(html.as_py(), found.of(host, raw)) for html, host, raw in zip(b.column("html"), b.column("host").to_pylist(), given, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

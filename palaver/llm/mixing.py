@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document is expected ``target / source size`` times.  The whole part of that is allocated with
-certainty; the remaining fraction is the inclusion probability ``p`` of a Pareto order sample: documents
-are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with a pseudo-random ``u`` from the row itself, and the
-prefix of that order whose words come nearest the rest of the source's target is taken once more.
-
-The running sum over the order is distributed: rank keys fall into buckets, bucket totals are summed up
-per source, and only the bucket in which a source's target is reached is ordered row by row, so a source
-with a third of all rows spreads over all tasks.
-
-Edge cases: null or blank texts have size 0 and take 0; null sources form one source, last in order; a
-source of size 0 has target 0; rows with equal ranks (repeated rows) follow by id; an empty table gives no
-rows; further columns pass through :func:`mix` untouched.
+Every document is expected ``target / source size`` times.  The whole part of that is allocated with certainty; what
+is left of the source's target is a sample of its documents with unequal probabilities: a document's inclusion odds are
+proportional to its size.  Documents are ranked by ``(u / (1 - u)) / odds`` with a pseudo-random ``u`` from the row
+itself, and the prefix of that order whose words come nearest the rest of the target is taken once more.  A common
+factor of all odds of a source changes no order, so the cut sets their scale.
+
+The running sum over the order is distributed: ranks fall into buckets of equal width on a logarithmic scale, bucket
+totals are summed up per source, and only the bucket in which a source's target is reached is ordered row by row.  The
+logarithm of random odds has a density of 1/4 at most, and sizes only spread it, so a bucket of width w holds at most
+about w / 4 of a source's rows whatever their sizes.  What the sample takes is then one comparison per row with its
+source's cut: documents are not moved.
+
+Edge cases: null or blank texts have size 0, rank last and take 0; null sources form one source, last in order; a
+source of size 0 has target 0; rows with equal ranks follow by id, null first; repeated rows (equal id and text)
+are taken or left together; an empty table gives no rows; further columns are ignored by :func:`mix` and pass through
+:func:`mix_documents`.  The windows over sources see one row per source, in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palaver.llm.common import materialize
+from palaver.llm.common import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -68,9 +72,9 @@ def source_targets(
     return per.select("source", "source_size", "source_rows", target.cast("double").alias("target"))
 
 
-def pareto_rank(u: Column, p: Column) -> Column:
-    """Random odds divided by inclusion odds; infinite where p is 0."""
-    return F.when(p > 0, (u / (1 - u)) * ((1 - p) / p)).otherwise(F.lit(float("inf")))
+def pareto_rank(u: Column, odds: Column) -> Column:
+    """Random odds divided by inclusion odds; infinite where these are 0."""
+    return F.when(odds > 0, u / (1 - u) / odds).otherwise(F.lit(float("inf")))
 
 
 def uniform(seed: int, doc_id: Column, text: Column) -> Column:
@@ -79,6 +83,56 @@ def uniform(seed: int, doc_id: Column, text: Column) -> Column:
     return (F.conv(F.substring(F.sha2(said, 256), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def sized(docs: DataFrame, seed: int, id_col: str = "doc_id") -> dict[str, Column]:
+    """What the mix reads from a document."""
+    text = F.col("text").cast("string")
+    return {"doc_id": F.col(id_col), "source": F.col("source").cast("string"), "size": word_count(text), "u": uniform(seed, F.col(id_col), text)}
+
+
+def source_cuts(rows: DataFrame, weights: tuple, share: float, most: float, rows_per_bucket: int) -> DataFrame:
+    """(source, source_size, target, whole, rest, width, edge, cut): how often documents of a source are taken.
+
+    All are taken ``whole`` times, and once more where their bucket is before ``edge``, or is it and (order_rank, doc_id,
+    size) is not after ``cut``; where the target is beyond all documents, edge is null and all are.
+    """
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(rows, weights, share, most).withColumn("whole", F.floor(expected + F.lit(1e-12)))
+    targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    targets = materialize(targets.withColumn("width", F.least(F.lit(1.0), F.lit(4.0 * rows_per_bucket) / F.col("source_rows"))))
+    # one row per source, joined by the planner as its measured size allows
+    ranked = placed(rows.filter("size > 0").withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(F.col("source"))))
+    totals = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reached = totals.withColumn("before", before).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    edges = reached.select(F.col("source").alias("e_source"), F.col("bucket").alias("edge"), "before")
+    inside = ranked.join(edges, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("edge")))
+    # rows that are alike in all three are peers: the default frame ends after the last of them
+    run = F.sum("size").over(W.partitionBy("source").orderBy("order_rank", "doc_id", "size")) + F.col("before")
+    # nearest prefix: a document counts if at least half of it lies before the target
+    taken = inside.withColumn("run", run).filter(F.col("run") - F.col("size") / 2 <= F.col("rest"))
+    cuts = taken.groupBy(F.col("source").alias("c_source")).agg(F.max(F.struct("order_rank", "doc_id", "size")).alias("cut"))
+    found = targets.join(edges, F.col("source").eqNullSafe(F.col("e_source")), "left").join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    return materialize(found.select("source", "source_size", "target", "whole", "rest", "width", "edge", "cut"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """With order_rank and bucket; documents without words are in none."""
+    rows = rows.withColumn("order_rank", pareto_rank(F.col("u"), F.col("size").cast("double")))
+    return rows.withColumn("bucket", F.when(F.col("size") > 0, F.floor(F.log("order_rank") / F.col("width"))))
+
+
+def with_copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows (with size, u, source and doc_id) joined with their source's cut, and copies, taken and order_rank."""
+    held = cuts.withColumnRenamed("source", "c_source")
+    joined = placed(rows.join(held, F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source"))
+    key = F.struct("order_rank", "doc_id", "size")
+    in_edge = (F.col("bucket") == F.col("edge")) & F.coalesce(key <= F.col("cut"), F.lit(False))
+    more = F.when((F.col("rest") <= 0) | F.col("bucket").isNull(), False).when(F.col("edge").isNull(), True).otherwise((F.col("bucket") < F.col("edge")) | in_edge)
+    copies = (F.col("whole") + more.cast("int")).cast("long")
+    joined = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return joined.drop("whole", "rest", "width", "edge", "cut", "bucket", "u")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple = WEIGHTS,
@@ -89,54 +143,26 @@ def mix(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, order_rank."""
-    rows = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            word_count(F.col("text").cast("string")).alias("size"),
-            uniform(seed, F.col(id_col), F.col("text").cast("string")).alias("u"),
-        )
-    )
-    targets = materialize(source_targets(rows, weights, share, most))
-    largest = targets.agg(F.max("source_rows")).first()[0] or 0
-    buckets = max(1, -(-largest // rows_per_bucket)) * 8
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = (
-        # one row per source, joined by the planner as its measured size allows
-        rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-        .withColumn("whole", F.floor(expected + F.lit(1e-12)))
-        .withColumn("p", F.greatest(F.lit(0.0), expected - F.col("whole")))
-        .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-        .withColumn("order_rank", pareto_rank(F.col("u"), F.col("p")))
-        # p is one number within a source, so the rank rises with u, and buckets of u are even whatever p is
-        .withColumn("bucket", F.floor(F.col("u") * F.lit(buckets)).cast("int"))
-    )
-    by_source = W.partitionBy("source")
-    totals = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    before = F.sum("words").over(by_source.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    marks = (
-        totals.withColumn("before", F.coalesce(before, F.lit(0)))
-        .filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .groupBy("source")
-        .agg(F.min(F.struct("bucket", "before")).alias("m"))
-        .select(F.col("source").alias("m_source"), F.col("m.bucket").alias("m_bucket"), F.col("m.before").alias("m_before"))
-    )
-    marked = ranked.join(marks, F.col("source").eqNullSafe(F.col("m_source")), "left")
-    edge = F.col("bucket") == F.col("m_bucket")
-    in_bucket = W.partitionBy("source", "bucket").orderBy("order_rank", "doc_id", "size")
-    inside = (
-        marked.filter(edge)
-        .withColumn("run", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) + F.col("m_before"))
-        # nearest prefix: a document counts if at least half of it lies before the target
-        .withColumn("extra", (F.col("run") - F.col("size") / 2 <= F.col("rest")).cast("int"))
-    )
-    outside = marked.filter(~F.coalesce(edge, F.lit(False))).withColumn(
-        "extra",
-        F.when(F.col("rest") <= 0, 0)
-        .when(F.col("m_bucket").isNull(), F.lit(1))
-        .otherwise((F.col("bucket") < F.col("m_bucket")).cast("int")),
-    )
-    copies = (F.col("whole") + F.col("extra")).cast("long")
-    return inside.drop("run").unionByName(outside).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "order_rank"
-    )
+    rows = materialize(docs.select(*[c.alias(n) for n, c in sized(docs, seed, id_col).items()]))
+    out = with_copies(rows, source_cuts(rows, weights, share, most, rows_per_bucket))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "order_rank")
+
+
+def mix_documents(
+    docs: DataFrame,
+    weights: tuple = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST_COPIES,
+    seed: int = SEED,
+    id_col: str = "doc_id",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """The documents that the mix takes, with all their columns, how often (``copies``) and the words taken (``taken``).
+
+    Documents without words have nothing to take and stay out; the two columns get other names where taken.
+    """
+    parts = sized(docs, seed, id_col)
+    rows = materialize(docs.select(*[c.alias(n) for n, c in parts.items()]))
+    cuts = source_cuts(rows, weights, share, most, rows_per_bucket)
+    chosen = with_copies(docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in parts.items()]), cuts).filter("taken > 0")
+    return chosen.select("row.*", F.col("copies").alias(fresh("copies", docs)), F.col("taken").alias(fresh("taken", docs)))

@@ -148,8 +148,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-# Sources by how soon they reach their stop for each unit of weight; all before the water level are capped.  Within
-# a source the Pareto rank rises with u, so the order of u is the order of the ranks.
+# Sources by how soon they reach their stop for each unit of weight; all before the water level are capped.  The odds of
+# a document are its size; rows that are alike are peers, and the default frame of the running sum ends after them.
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     (('0x' || substr(sha256('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / pow(2, 52) AS u FROM documents),
@@ -161,8 +161,8 @@ c AS (SELECT *, rest_budget * weight >= stop * shares AS capped FROM l),
 t AS (SELECT source, source_size, CASE WHEN capped OR unit IS NULL THEN stop ELSE least(stop, unit * weight) END AS target
     FROM c, (SELECT arg_min(rest_budget / shares, struct_pack(level, pos)) AS unit FROM c WHERE NOT capped)),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole,
-    sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM r)
+    CASE WHEN size > 0 THEN u / (1 - u) / size::DOUBLE ELSE 'infinity'::DOUBLE END AS pareto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto, doc_id NULLS FIRST, size) AS run, greatest(0, target - whole * source_size) AS rest FROM r)
 SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (whole + CASE WHEN rest > 0 AND run - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
 

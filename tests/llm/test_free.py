@@ -292,32 +292,96 @@ def test_pages_match_their_articles(spark):
         assert got[r.page_id] == "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
 
 
-def test_wrapper_finds_the_template():
-    def page(k):
-        return (
-            f"<html><head><title>t</title></head><body><div class='top'>Welcome to us</div><div id=x>Read every day<div class='teaser'>{k}</div></div><div class=story><h2>T{k}</h2>"
-            f"<p>Article {k} says &lt;b&gt; &amp; more<p>second<br>line {k}</div><section class='user-comments'><p>c{k}</p></section><form>f</form><aside>a{k}</aside></body>"
-        )
-
-    wrapper = html_extract.induce([page(k) for k in range(4)])
-    assert html_extract.extract(page(9), wrapper) == "9\nT9\nArticle 9 says <b> & more\nsecond\nline 9"
-    assert "Welcome to us" in html_extract.extract(page(9), None)
-    assert html_extract.has_constant(html_extract.induce([page(1)] * 5)) is False  # copies of one page tell nothing
+def story_page(k, rng, constant="Read by many, every day"):
+    """A page without any label: menus and teasers that vary, a constant strap, a story of paragraphs, a constant line in it."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    links = "".join(f"<li><a href='/{word()}'>{word()} {word()}</a></li>" for _ in range(8))
+    said = [" ".join(word() for _ in range(rng.randrange(8, 40))) for _ in range(rng.randrange(2, 6))]
+    extra = f"<div><div><a href=x>{word()}</a></div></div>" if k % 3 == 0 else ""
+    page = (
+        f"<html><head><title>{word()}</title></head><body><div><span>{constant}</span></div>{extra}<div><ul>{links}</ul></div>"
+        f"<div><h2>Title {k}</h2>{''.join(f'<p>{p}</p>' for p in said)}<p>Share this with <b>friends {k}</b></p><em>All rights kept</em></div>"
+        f"<div><ul><li><a href=y>{word()}</a></li><li><a href=z>{word()} {k}</a></li></ul></div></body></html>"
+    )
+    return page, "\n".join([f"Title {k}", *said, f"Share this with friends {k}"])
+
+
+def test_wrapper_decides_where_nothing_is_labelled(spark):
+    rng = random.Random(5)
+    pages = [story_page(k, rng) for k in range(60)]
+    df = spark.createDataFrame([(k, f"http://h/{k}", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    for k, (page, want) in enumerate(pages):
+        assert got[k] == want
+        assert "Read by many" in html_extract.extract(page) and "All rights kept" in html_extract.extract(page)
+    three = {r.page_id: r.text for r in html_extract.extract_pages(df.filter("page_id < 2")).collect()}
+    assert all("Read by many" in t and f"Title {k}" in t for k, t in three.items())  # too few pages for a template
 
 
 def test_template_is_counted_over_all_pages(spark):
-    """A notice on nine of ten pages goes; a paragraph on a few, sampled or not, stays."""
+    """A notice on nine of ten pages goes; a paragraph on a few, sampled or not, stays; copies of a page tell nothing."""
     def page(k):
-        notice = "<div class=strap>We are read by many</div>" if k % 10 else "<div class=strap>Other words</div>"
+        notice = "We are read by many" if k % 10 else f"Other words {k}"
         shared = "A paragraph that some share" if k % 4 == 0 else f"A paragraph of page {k}"
-        return f"<body>{notice}<div class=story><h2>Title {k}</h2><p>{shared}</p></div></body>"
+        return f"<body><div class=story><h2>Title {k}</h2><p>{shared}</p><b>{notice}</b></div></body>"
 
-    rows = [(k, "http://h/" + str(k), page(k)) for k in range(200)]
+    rows = [(k, "http://h/" + str(k), page(k)) for k in range(200)] + [(1000 + k, "http://g/", page(7)) for k in range(50)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
     for k in range(200):
         want = [f"Title {k}", "A paragraph that some share" if k % 4 == 0 else f"A paragraph of page {k}"]
-        assert got[k].split("\n") == ([] if k % 10 else ["Other words"]) + want
+        assert got[k].split("\n") == want + ([] if k % 10 else [f"Other words {k}"])
+    assert {got[1000 + k] for k in range(50)} == {"Title 7\nA paragraph of page 7\nWe are read by many"}
+
+
+def plain_matching(a, b):
+    """Simple tree matching by the textbook's table."""
+    if a.label != b.label:
+        return 0
+    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+def test_alignment_is_simple_tree_matching():
+    rng = random.Random(11)
+
+    def tree(depth):
+        below = [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else []
+        return html_extract.Slot(rng.choice("ab"), [], below)
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        pairs = html_extract.align(a.children, b.children, {})
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+        if [x.label for x in a.children] != [x.label for x in b.children]:
+            value = sum(html_extract.score(a.children[i], b.children[j], {}) for i, j in pairs)
+            assert all(a.children[i].label == b.children[j].label for i, j in pairs) and value <= plain_matching(a, html_extract.Slot(a.label, [], b.children)) - 1
+    x = [html_extract.Slot(c, [], []) for c in "abcbdab"]
+    y = [html_extract.Slot(c, [], []) for c in "bdcaba"]
+    assert len(html_extract.align(x, y, {})) == 4  # the longest common subsequence
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+
+    deep = "<div>" * 5000 + "<article>" * 30 + "deep text" + "</div>" * 5000
+    nested = "".join("<article class=comment>" for _ in range(3000)) + "x"
+    wide = "<body><div class=story>" + "".join(f"<h2>Head {k}</h2><p>Para {k}</p>" for k in range(5000)) + "</div></body>"
+    blocks = "<body>" + "".join(f"<div><div>{k}</div></div><section>{k}</section>" for k in range(5000)) + "</body>"
+    began = time.time()
+    assert html_extract.extract(deep) == "deep text" and html_extract.extract(nested) == ""
+    assert html_extract.extract(wide).count("\n") == 9999
+    rows = [(k, "http://h/a", p + f"<p>{k}</p>") for k, p in enumerate([deep, nested, wide, blocks] * 2)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 8 and sum("Para 4999" in r.text for r in got) == 2 and time.time() - began < 60
+
+
+def test_inside_the_article_only_named_parts_go():
+    page = "<article><p>a</p><p class='legal'>b</p><div class='search'>c</div><div class=ad>d</div><div class='comments'>e</div><div id=related>f</div></article><div class=related>g</div>"
+    assert html_extract.extract(page) == "a\nb\nc\nf"
 
 
 @pytest.mark.parametrize(
