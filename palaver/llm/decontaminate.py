@@ -10,8 +10,9 @@ Before it is indexed, a shard loses what no window can touch: words that no item
 so do stretches whose word pairs do not follow each other in any item or that are shorter than the
 shortest window.  That drops no occurrence.
 
-The benchmark is read in blocks of ``BLOCK_BYTES`` of text, one after the other, so a broadcast never exceeds
-that whatever the benchmark's size.
+The benchmark is read in blocks of ``BLOCK_BYTES`` of text.  A block's windows are places in its sequence of words, so
+that it compiles to about 13 bytes a word and its vocabulary.  One block is broadcast at a time; where the benchmark has
+several, what a pass over the documents found is written to the shared folder before the next block is read.
 
 Edge cases: null texts have no words; items without words have no windows; a null item_id is written as an
 empty string; repeated items with one id count once; repeated rows are rows of their own; an empty benchmark
@@ -22,18 +23,19 @@ leaves every document clean; an empty table gives no rows; further columns pass
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palaver.llm.common import fresh
+from palaver.llm.common import Scratch, fresh
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SHARD_WORDS = 1 << 20
 SAMPLE_EVERY = 8
 PAIR_BITS = 22
@@ -51,12 +53,14 @@ def word_bytes(text: str | None) -> bytes:
 
 @dataclass
 class Windows:
-    """Distinct windows of some items, by length: patterns[m] is a matrix of word numbers (from 1)."""
+    """Windows of some items, by length: starts[m] are places in *words*, the items' word numbers (from 1) one after the other."""
 
     vocabulary: dict[bytes, int]
-    patterns: dict[int, np.ndarray]
-    #: items of the windows of a length: owners[m][row] are the item ids.
-    owners: dict[int, list[list[str]]]
+    words: np.ndarray
+    starts: dict[int, np.ndarray]
+    #: numbers, in *items*, of the items of these windows
+    owners: dict[int, np.ndarray]
+    items: list[str]
     pairs: np.ndarray
     shortest: int
 
@@ -67,29 +71,30 @@ def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - PAIR_BITS)
 
 
-def compile_windows(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Windows | None:
+def compile_windows(items: Iterable[tuple[str | None, str | None]], window: int = WINDOW) -> Windows | None:
     vocabulary: dict[bytes, int] = {}
-    owners: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    parts, names, at = [], [], 0
+    starts: dict[int, list[np.ndarray]] = {}
+    owners: dict[int, list[np.ndarray]] = {}
     pairs = np.zeros(1 << PAIR_BITS, bool)
     for item_id, text in items:
-        words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in word_bytes(text).split()]
-        if not words:
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in word_bytes(text).split()], np.int32)
+        if not len(ids):
             continue
-        m = min(window, len(words))
-        found = owners.setdefault(m, {})
-        for i in range(len(words) - m + 1):
-            found.setdefault(tuple(words[i : i + m]), set()).add("" if item_id is None else str(item_id))
-        ids = np.array(words)
+        m = min(window, len(ids))
+        n = len(ids) - m + 1
+        starts.setdefault(m, []).append(np.arange(at, at + n, dtype=np.int32))
+        owners.setdefault(m, []).append(np.full(n, len(names), np.int32))
         pairs[pair_slots(ids[:-1], ids[1:])] = True
-    if not owners:
+        parts.append(ids)
+        names.append("" if item_id is None else str(item_id))
+        at += len(ids)
+    if not parts:
         return None
     return Windows(
-        vocabulary,
-        {m: np.array(list(f), np.int64).reshape(-1, m) for m, f in owners.items()},
-        {m: [sorted(x) for x in f.values()] for m, f in owners.items()},
-        pairs,
-        min(owners),
-    )
+        vocabulary, np.concatenate(parts), {m: np.concatenate(x) for m, x in starts.items()}, {m: np.concatenate(x) for m, x in owners.items()},
+        names, pairs, min(starts),
+    )
 
 
 # -- index ----------------------------------------------------------------------------------------
@@ -148,16 +153,17 @@ class FMIndex:
         self.slot = np.cumsum(self.kept) - 1
         self.position = order[self.kept]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, low, high) of the patterns that occur: backwards, a rank pair for each word."""
-        row = np.arange(len(patterns))
-        low, high = self.first[patterns[:, -1]], self.first[patterns[:, -1] + 1]
-        for j in range(patterns.shape[1] - 2, -1, -1):
+    def search(self, words: np.ndarray, starts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, low, high) of the windows words[start : start + m] that occur: backwards, a rank pair for each word."""
+        row = np.arange(len(starts))
+        last = words[starts + (m - 1)].astype(np.int64)
+        low, high = self.first[last], self.first[last + 1]
+        for j in range(m - 2, -1, -1):
             alive = low < high
             row, low, high = row[alive], low[alive], high[alive]
             if not len(row):
                 break
-            symbol = patterns[row, j]
+            symbol = words[starts[row] + j].astype(np.int64)
             low = self.first[symbol] + self.ranks.rank(symbol, low)
             high = self.first[symbol] + self.ranks.rank(symbol, high)
         alive = low < high
@@ -219,8 +225,8 @@ def scan_shard(docs: list[list[bytes]], windows: Windows) -> tuple[list[np.ndarr
     index = FMIndex(symbols, len(windows.vocabulary))
     change = np.zeros(len(ids) + 1, np.int64)
     found: dict[int, set[str]] = {}
-    for m, patterns in windows.patterns.items():
-        row, low, high = index.search(patterns)
+    for m, places in windows.starts.items():
+        row, low, high = index.search(windows.words, places, m)
         if not len(row):
             continue
         counts = high - low
@@ -229,9 +235,9 @@ def scan_shard(docs: list[list[bytes]], windows: Windows) -> tuple[list[np.ndarr
         np.add.at(change, word, 1)
         np.add.at(change, word + m, -1)
         doc = np.searchsorted(starts, word, side="right") - 1
-        both = np.unique(np.stack([doc, np.repeat(row, counts)]), axis=1)
-        for d, r in both.T.tolist():
-            found.setdefault(d, set()).update(windows.owners[m][r])
+        both = np.unique(np.stack([doc, np.repeat(windows.owners[m][row], counts)]), axis=1)
+        for d, item in both.T.tolist():
+            found.setdefault(d, set()).add(windows.items[item])
     hit = np.cumsum(change)[:-1] > 0
     for d, ids_found in found.items():
         own = np.concatenate([[0], hit[starts[d] : starts[d] + sizes[d]].view(np.int8), [0]])
@@ -281,43 +287,68 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        compiled = compile_windows([(r[0], r[1]) for r in mine.collect()], window)  # at most about block_bytes
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        compiled = compile_windows(((r[0], r[1]) for r in mine.toLocalIterator()), window)  # at most about block_bytes
         if compiled is not None:
             yield compiled
 
 
+def in_turn(items: Iterator) -> Iterator[tuple]:
+    """(item, whether it is the last)."""
+    held = next(items, None)
+    while held is not None:
+        following = next(items, None)
+        yield held, following is None
+        held = following
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans (words, end exclusive) and items (ids, sorted)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string"
-    found = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    blocks = [spark.sparkContext.broadcast(w) for w in benchmark_blocks(benchmark, window, block_bytes)]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            merged = [[0, [], []] for _ in texts]
-            if not blocks:
-                merged = [[len(word_bytes(t).split()), [], []] for t in texts]
-            for block in blocks:
-                for out, (n, spans, items) in zip(merged, scan_texts(texts, block.value), strict=True):
-                    out[0], out[1], out[2] = n, merge(out[1], spans.tolist()), out[2] + items
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([x[0] for x in merged], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in merged], spans_type),
-                    pa.array([sorted(set(x[2])) for x in merged], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "n_words", "spans", "items"],
-            )
-
-    out = rows.mapInArrow(run, f"{base.rpartition(',')[0]}, {found}")
+    none = "array<struct<start:long,end:long>>"
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast(none).alias("spans"), F.array().cast("array<string>").alias("items"),
+    )
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, n_words long, spans {none}, items array<string>"
+    names = ["doc_id", "text", "n_words", "spans", "items"]
+
+    def step(held, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                if held is None:
+                    found = [(len(word_bytes(t).split()), np.zeros((0, 2), np.int64), []) for t in texts]
+                else:
+                    found = list(scan_texts(texts, held.value))
+                before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                merged = [(n, merge([[s["start"], s["end"]] for s in old], spans.tolist()), sorted({*ids, *known})) for (n, spans, ids), (old, known) in zip(found, before, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text"),
+                        pa.array([x[0] for x in merged], pa.int64()),
+                        pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in merged], spans_type),
+                        pa.array([x[2] for x in merged], pa.list_(pa.string())),
+                    ],
+                    names=names,
+                )
+
+        return run
+
+    scratch, passes = None, 0
+    for block, last in in_turn(benchmark_blocks(benchmark, window, block_bytes)):
+        held = spark.sparkContext.broadcast(block)
+        rows, passes = rows.mapInArrow(step(held, last), schema), passes + 1
+        if not last:
+            scratch = scratch or Scratch(spark)
+            rows = scratch.write(rows)
+            held.unpersist()
+    if not passes:
+        rows = rows.mapInArrow(step(None, True), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def merge(a: list, b: list) -> list:
@@ -336,39 +367,53 @@ def merge(a: list, b: list) -> list:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the words that windows hit; what is left is scanned again until nothing is hit.
 
-    A document of which no word is left is dropped; others keep all their columns, and ``n_hit_words`` is added.
+    A document of which no word is left is dropped; others keep all their columns, and ``n_hit_words`` is added.  With
+    several blocks, rounds over all of them are repeated until one changes nothing.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(w) for w in benchmark_blocks(benchmark, window, block_bytes)]
     hits = fresh("n_hit_words", docs)
     names = [*docs.columns, hits]
     at = names.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(hits, T.LongType())])
 
-    def clean(texts: list[str | None]) -> list[tuple[str | None, int]]:
+    def clean(texts: list[str | None], windows: Windows) -> list[tuple[str | None, int]]:
         out = [(t, 0) for t in texts]
         todo = list(range(len(texts)))
         while todo:
-            changed = set()
-            for block in blocks:
-                scanned = scan_texts([out[i][0] for i in todo], block.value)
-                for i, (_, spans, _) in zip(todo, list(scanned), strict=True):
-                    if len(spans):
-                        out[i] = (cut_words(out[i][0], spans), out[i][1] + int((spans[:, 1] - spans[:, 0]).sum()))
-                        changed.add(i)
-            todo = sorted(changed)
+            changed = []
+            for i, (_, spans, _) in zip(todo, list(scan_texts([out[i][0] for i in todo], windows)), strict=True):
+                if len(spans):
+                    out[i] = (cut_words(out[i][0], spans), out[i][1] + int((spans[:, 1] - spans[:, 0]).sum()))
+                    changed.append(i)
+            todo = changed
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cleaned = clean(batch.column(at).to_pylist())
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            columns[at] = pa.array([t for t, _ in cleaned], pa.string())
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in cleaned], pa.int64())], names=names)
-            keep = [not n or bool(word_bytes(t).split()) for t, n in cleaned]
-            yield out.filter(pa.array(keep, pa.bool_()))
+    def step(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cleaned = clean(batch.column(at).to_pylist(), held.value)
+                total = [n + before for (_, n), before in zip(cleaned, batch.column(hits).to_pylist(), strict=True)]
+                columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+                columns[at] = pa.array([t for t, _ in cleaned], pa.string())
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64())], names=names)
+                keep = [not n or bool(word_bytes(t).split()) for (t, _), n in zip(cleaned, total, strict=True)]
+                yield out.filter(pa.array(keep, pa.bool_()))
 
-    if not blocks:
-        return docs.withColumn(hits, F.lit(0).cast("long"))
-    from pyspark.sql import types as T
+        return run
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(hits, T.LongType())]))
+    rows, scratch, before = docs.withColumn(hits, F.lit(0).cast("long")), None, 0
+    while True:
+        for block, last in in_turn(benchmark_blocks(benchmark, window, block_bytes)):
+            held = spark.sparkContext.broadcast(block)
+            rows = rows.mapInArrow(step(held), schema)
+            if scratch is None and last:
+                return rows  # a single block: each document was scanned until nothing was hit
+            scratch = scratch or Scratch(spark)
+            rows = scratch.write(rows)
+            held.unpersist()
+        if scratch is None:
+            return rows
+        now = rows.agg(F.sum(hits), F.count(F.lit(1))).first()
+        if now == before:
+            return rows
+        before = now

@@ -208,13 +208,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS doc, doc_id, source, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc, doc_id, source, unnest(a) AS line, unnest(range(len(a))) AS pos
-      FROM (SELECT doc, doc_id, source, string_split(text, chr(10)) AS a FROM d)),
-b AS (SELECT doc, source, pos, doc_id, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
-h AS (SELECT source, count(*) AS host_pages FROM d GROUP BY source),
+l AS (SELECT doc, text, source, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT *, string_split(text, chr(10)) AS a FROM d)),
+b AS (SELECT doc, text, source, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+h AS (SELECT source, count(DISTINCT text) AS host_pages FROM d GROUP BY source),
 c AS (SELECT b.source, bare FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source WHERE bare <> ''
       GROUP BY b.source, bare, host_pages
-      HAVING count(DISTINCT doc) >= {line_dedup.MIN_PAGES} AND count(DISTINCT doc) > host_pages * {line_dedup.RATIO}),
+      HAVING count(DISTINCT text) >= {line_dedup.MIN_PAGES} AND count(DISTINCT text) > host_pages * {line_dedup.RATIO}),
 k AS (SELECT doc, count(c.bare) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.bare IS NULL), '') AS kept
       FROM b LEFT JOIN c ON b.source IS NOT DISTINCT FROM c.source AND b.bare = c.bare GROUP BY doc)

@@ -1,9 +1,11 @@
 """Secret scans over a trigram inverted index.
 
-Each rule's regular expression yields a Boolean query over trigrams that any match must contain (lower
-case).  The index holds postings (trigram, text key) for the trigrams that the queries name; the postings
-of a query are intersected, and the texts left are verified with the expression itself.  Rules without a
-mandatory trigram scan every text.  Only texts with equal content share a key, so copies are one posting.
+Each rule's regular expression yields a Boolean query over trigrams that any match must contain (lower case): clauses
+that must all hold, each with alternatives of trigrams that must all occur.  Of an alternative its rarest
+``TRIGRAMS_EACH`` trigrams are looked up; what they let through is verified anyway, and each indexed trigram costs a
+search of every text.  The index holds postings (trigram, text key); a query's terms are joined with them on the trigram,
+a key's postings are intersected by counting the terms it meets, and texts left are verified with the expression itself.
+Rules without a mandatory trigram scan every text.  Only texts with equal content share a key, so copies are one posting.
 
 Edge cases: a null text counts as empty and has no spans; a null or repeated ``doc_id`` is a row of its own;
 overlapping kinds are all reported, sorted by start and then kind; an empty table gives no rows; further
@@ -50,6 +52,9 @@ RULES = BASE_RULES + EXTRA_RULES
 BROADCAST_KEYS = 500_000
 #: Alternatives that a literal run may expand to before it is cut.
 MAX_ALTERNATIVES = 64
+#: Trigrams of an alternative that are indexed, the rarest first: letters by falling frequency in English (fixed values).
+TRIGRAMS_EACH = 2
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 
 
 # -- Boolean trigram queries ----------------------------------------------------------------------
@@ -136,30 +141,43 @@ def text_key(col: Column) -> Column:
     return F.xxhash64(col)
 
 
+def rarity(trigram: str) -> int:
+    """Larger for rarer letters; other signs count as rarest."""
+    return sum(LETTERS.index(c) if c in LETTERS else len(LETTERS) for c in trigram)
+
+
+def query_terms(queries: dict[str, list[list[frozenset[str]]]], each: int = TRIGRAMS_EACH) -> list[tuple]:
+    """(trigram, kind, clause, alternative, trigrams of that alternative) of what is looked up."""
+    out = []
+    for kind, query in queries.items():
+        for c, clause in enumerate(query):
+            for a, held in enumerate(clause):
+                chosen = sorted(held, key=lambda t: (-rarity(t), t))[:each]
+                out += [(t, kind, c, a, len(chosen)) for t in chosen]
+    return out
+
+
 def postings(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
-    """The inverted index for *trigrams*: distinct (trigram, key)."""
+    """The inverted index for *trigrams*: (trigram, key), once for each text of a task."""
     low = docs.select(F.lower(text_or_empty(text_col)).alias("low"), text_key(text_or_empty(text_col)).alias("key"))
     held = F.filter(
         F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull()
     )
-    return low.select("key", F.explode(held).alias("trigram")).distinct()
-
+    return low.select("key", F.explode(held).alias("trigram"))
 
-def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]]) -> DataFrame:
-    """(key, kinds): texts whose postings satisfy the query of a rule, by intersecting postings per key."""
-    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))  # at most the queries' trigrams
 
-    def holds(clause) -> Column:
-        alternatives = [F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(a))))) == len(a) for a in clause]
-        return F.greatest(*alternatives) if len(alternatives) > 1 else alternatives[0]
+def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]], each: int = TRIGRAMS_EACH) -> DataFrame:
+    """(key, kinds): texts whose postings satisfy the query of a rule.
 
-    kinds = []
-    for kind, query in queries.items():
-        met = holds(query[0])
-        for clause in query[1:]:
-            met = met & holds(clause)
-        kinds.append(F.when(met, F.lit(kind)))
-    return held.select("key", F.filter(F.array(*kinds), lambda k: k.isNotNull()).alias("kinds")).filter(F.size("kinds") > 0)
+    The terms (some dozens) are broadcast and joined on the trigram; an alternative is met by a key that has all its
+    trigrams, a clause by any alternative, a rule by all its clauses.
+    """
+    terms = index.sparkSession.createDataFrame(query_terms(queries, each), "trigram string, kind string, clause int, alternative int, need int")
+    met = index.join(F.broadcast(terms), "trigram")
+    alternatives = met.groupBy("key", "kind", "clause", "alternative").agg(F.countDistinct("trigram").alias("n"), F.first("need").alias("need")).filter("n = need")
+    clauses = alternatives.groupBy("key", "kind").agg(F.countDistinct("clause").alias("n"))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for k, q in queries.items() for x in (k, len(q))]), F.col("kind"))
+    return clauses.filter(F.col("n") == wanted).groupBy("key").agg(F.collect_set("kind").alias("kinds"))  # at most the rules
 
 
 # -- verification ---------------------------------------------------------------------------------
@@ -208,7 +226,7 @@ def scan_secrets(
     body = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     body = body.withColumn("key", text_key(F.col("text")))
     if indexed:
-        grams = sorted({t for q in indexed.values() for c in q for a in c for t in a})
+        grams = sorted({t[0] for t in query_terms(indexed)})
         hits = materialize(candidates(postings(docs, grams, text_col), indexed))
         hits = F.broadcast(hits) if hits.count() <= broadcast_keys else hits
         body = body.join(hits, "key", "left")
@@ -233,8 +251,24 @@ def span_list(found: Column, kinds: list[str] | None = None) -> Column:
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with every match of a rule (before its length test) replaced; no index needed."""
-    out = F.col(text_col)
-    for rule in rules:
-        out = F.regexp_replace(out, rule.pattern, mask)
-    return docs.withColumn(text_col, out)
+    """The documents with every secret that a scan reports replaced, overlapping ones by one mask; no index needed."""
+    text, pair = F.col(text_col), "array<struct<start:int,end:int>>"
+    spans = F.array_sort(F.concat(*[F.when(text.rlike(r.pattern), match_spans(text, r)).otherwise(F.array().cast(pair)) for r in rules]))
+    # from the last start to the first, so that what stands before keeps its place
+    hidden = F.aggregate(
+        F.reverse(spans_merged(spans)), text, lambda t, s: F.concat(F.left(t, s["start"]), F.lit(mask), F.substr(t, s["end"] + 1, F.length(t)))
+    )
+    return docs.withColumn(text_col, F.when(text.isNotNull(), hidden))
+
+
+def spans_merged(spans: Column) -> Column:
+    """Sorted spans with overlapping ones as one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        joined = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))
+        return F.when(last.isNotNull() & (s["start"] < last["end"]), joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, none, add)

@@ -453,7 +453,7 @@ def test_pipeline_stage_by_stage(spark, sample, benchmark):
     clean = {i for i, (_, s, _) in zip(before, decontaminate.scan_texts([r.text for r in before.values()], windows), strict=True) if not len(s)}
     assert all(after[i] == before[i] for i in clean) and all(r.n_chars == len(r.text) for r in after.values())
     mixed = cp.STAGES[-1][1](spark, docs, FOLDER).collect()
-    assert {r.doc_id for r in mixed} == after.keys()
+    assert {r.doc_id: r.text for r in mixed}.items() <= {i: r.text for i, r in after.items()}.items() and all(1 <= r.copies <= 2 for r in mixed)
 
 
 def test_pipeline_runs_whole(spark):

@@ -91,7 +91,23 @@ def test_extra_rules_and_edges(spark, documents):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [s.kind for s in secret_scan.scan_secrets(df).first().found] == ["github", "slack", "pem"]
     assert secret_scan.scan_secrets(documents).count() == 12 and secret_scan.scan_secrets(documents.limit(0)).count() == 0
-    assert "g7g7" not in secret_scan.redact_secrets(df).first().text
+    assert secret_scan.redact_secrets(df).first().text == "[SECRET] [SECRET] [SECRET]"
+    odd = spark.createDataFrame([(1, "token=short password=0123456789abcdef0123 ok"), (2, None), (3, "é AKIA" + "Z" * 16)], "doc_id long, text string")
+    assert [r.text for r in secret_scan.redact_secrets(odd).orderBy("doc_id").collect()] == ["token=short [SECRET] ok", None, "é [SECRET]"]
+
+
+def test_postings_are_intersected(spark):
+    texts = ["my password is here", "pass the word", "PASSWORD: x", "api_key", "api key", "akia AKIA", "-----BEGIN PRIVATE KEY", "-----BEGIN RSA PRIVATE KEY-----", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    queries = {r.kind: q for r in secret_scan.RULES if (q := secret_scan.trigram_query(r.pattern))}
+    for each in (1, 2, 99):
+        grams = sorted({t[0] for t in secret_scan.query_terms(queries, each)})
+        got = {r.key: set(r.kinds) for r in secret_scan.candidates(secret_scan.postings(df, grams), queries, each).collect()}
+        keys = {r.doc_id: r.k for r in df.select("doc_id", secret_scan.text_key(F.col("text")).alias("k")).collect()}
+        for i, text in enumerate(texts):
+            chosen = lambda a: sorted(a, key=lambda t: (-secret_scan.rarity(t), t))[:each]  # noqa: E731, B023
+            want = {k for k, q in queries.items() if all(any(all(t in text.lower() for t in chosen(a)) for a in c) for c in q)}
+            assert got.get(keys[i], set()) == want
 
 
 # -- chat formatting ------------------------------------------------------------------------------
@@ -239,9 +255,9 @@ def test_mixed_documents_keep_their_columns(spark, documents):
 def plain_line_dedup(rows, ratio, least):
     strip = " \t\n\x0b\x0c\r"
     pages, holds = Counter(), Counter()
-    for _, text, host in rows:
+    for text, host in {(t or "", h) for _, t, h in rows}:  # copies are one page
         pages[host] += 1
-        for line in {x.strip(strip) for x in (text or "").split("\n")} - {""}:
+        for line in {x.strip(strip) for x in text.split("\n")} - {""}:
             holds[host, line] += 1
     common = {k for k, n in holds.items() if n >= least and n > pages[k[0]] * ratio}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(strip)) not in common) for _, t, h in rows]
@@ -253,13 +269,21 @@ def test_line_dedup_matches_plain_version(spark):
     rows = [(i, rng.choice([None, "", "\n".join(rng.choices(lines, k=rng.randrange(6)))]), rng.choice(["h", "g", None])) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for ratio, least in ((0.2, 3), (0.5, 2), (0.0, 1)):
-        out = line_dedup.drop_boilerplate(df, ratio, least)
-        got = {r.doc_id: r.text for r in out.collect()}
-        assert [got[i] for i, _, _ in rows] == plain_line_dedup(rows, ratio, least) and not plan_has_python(out)
+        for limit in (10**6, 0):  # broadcast, and joined by a shuffle
+            out = line_dedup.drop_boilerplate(df, ratio, least, broadcast_lines=limit)
+            got = {r.doc_id: r.text for r in out.collect()}
+            assert [got[i] for i, _, _ in rows] == plain_line_dedup(rows, ratio, least) and not plan_has_python(out)
 
 
 def test_line_dedup_edges(spark, documents):
-    out = line_dedup.drop_boilerplate(documents, 0.1, 2)
-    assert out.columns[: len(documents.columns)] == documents.columns and out.count() == 12 and len(out.columns) == len(documents.columns) + 1
-    assert sorted(r.text for r in out.filter("doc_id IN (8, 9)").collect()) == ["other", "Ünï cödé   text\nlast"]
-    assert line_dedup.drop_boilerplate(documents.limit(0)).count() == 0
+    for limit in (10**6, 0):
+        out = line_dedup.drop_boilerplate(documents, 0.1, 2, broadcast_lines=limit)
+        assert out.columns[: len(documents.columns)] == documents.columns and out.count() == 12 and len(out.columns) == len(documents.columns) + 1
+        assert sorted(r.text for r in out.filter("doc_id IN (8, 9)").collect()) == ["other", "Ünï cödé \u2028 text\nlast"]
+        assert line_dedup.drop_boilerplate(documents.limit(0), broadcast_lines=limit).count() == 0
+
+
+def test_copies_are_one_page(spark):
+    rows = [(i, f"menu\nstory {i}", "h") for i in range(10)] + [(100 + i, "copied\nline", "h") for i in range(500)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 0.2).collect()}
+    assert got[3] == "story 3" and all(got[100 + i] == "copied\nline" for i in range(500))
