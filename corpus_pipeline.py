@@ -32,7 +32,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     id (then source) stays as it was, so that every group of copies keeps a member.
     """
     digest = fresh("__digest", docs)
-    cleaned = line_dedup.drop_boilerplate(docs.withColumn(digest, F.unhex(F.md5("text"))), copies_once=True)
+    cleaned = line_dedup.drop_boilerplate(docs.withColumn(digest, F.unhex(F.md5("text"))))
     (dropped,) = [c for c in cleaned.columns if c not in [*docs.columns, digest]]
     emptied = F.coalesce((F.col(dropped) > 0) & (F.btrim("text", F.lit(line_dedup.BLANKS)) == ""), F.lit(False))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("source").alias("host"))
@@ -61,8 +61,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, copies and taken of every document."""
-    return mixing.mix(docs).drop("order_rank")
+    """The mix: the documents it takes, with their columns, how often (copies) and their words times that (taken)."""
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
