@@ -199,8 +199,8 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     got = llm_queries.op5_toxicity(spark, folder).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
     toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
-    assert len(toxic) > 100 and sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
-    assert sum(r.predicted for r in clean) <= 0.06 * len(clean)
+    assert len(toxic) > 100 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
     above = np.mean([[(t.score > c.score) + 0.5 * (t.score == c.score) for c in clean[:400]] for t in toxic])
     assert above > 0.93 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert docs.count() == 10_000
@@ -212,6 +212,41 @@ def test_labels_of_the_held_out_third_are_unused(spark, sample):
     assert rows and all(zlib.crc32(str(r[0]).encode()) % 3 != 1 for r in rows)
 
 
+def test_scores_match_plain_compression(spark, sample):
+    """Given the model, every document's score by compressing each word afresh."""
+    import math
+
+    import zstandard
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+
+    def size(raw, part):
+        how = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_GREEDY, min_match=6, window_log=20, hash_log=17, chain_log=17, search_log=6, target_length=64,
+            write_checksum=0, write_content_size=0, write_dict_id=0,
+        )
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress(b"<window of text>" + part + b"0123456789ABCDEF"))
+
+    def evidence(word):
+        parts = [b"\n\n\n" + word + b"\n"] + ([b"\n\n\n" + word[:7]] if len(word) > 7 else [])
+        return max(size(model.ordinary, p) - size(model.toxic, p) for p in parts)
+
+    rows = sample.orderBy(F.length("text")).limit(8).unionByName(sample.filter("text RLIKE 'idiot|stupid|scum'").orderBy(F.length("text")).limit(2))
+    for r in toxicity.score_documents(rows, model).collect():
+        low = "".join(c if c.isascii() and c.islower() or not c.isascii() else " " for c in (r.text or "").lower())
+        top = sorted((evidence(w.encode()) for w in set(low.split())), reverse=True)
+        want = 0.01
+        if len(top) >= model.needed:
+            least, strong = top[model.needed - 1], sum(e >= model.cut for e in top)
+            level = math.log(0.7 / 0.3) + 0.9 * (least - model.cut + 0.5) + 0.15 * math.log1p(strong)
+            level = level if least >= model.cut else min(level, math.log(0.7 / 0.3) - 0.2)
+            want = 0.01 + 0.98 / (1 + math.exp(-level))
+        assert abs(r.score - want) < 1e-9
+
+
 def test_toxicity_edges(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.fit(documents, none) is None
@@ -269,6 +304,34 @@ def test_two_edited_copies_of_a_license_are_both_found():
         assert [f[2] for f in found] == ["MIT", "MIT"] and min(f[3] for f in found) > 0.97
 
 
+def longest_common(a, b):
+    """The length of a longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_license_coverage_matches_dynamic_programming():
+    """What the alignment covers of edited notices is what plain dynamic programming covers, or nearly so."""
+    compiled = license_scan.compile_templates(license_scan.TEMPLATES)
+    rng = random.Random(12)
+    for name, text in license_scan.TEMPLATES.items():
+        words = text.split()
+        if len(words) < 30 or name == "BSD-2-Clause":  # most of BSD-3-Clause
+            continue
+        for _ in range(3):
+            copy = [f"x{rng.randrange(999)}" if rng.random() < 0.06 else w for w in words if rng.random() > 0.04]
+            doc = " ".join([f"a{k}" for k in range(40)] + copy + [f"b{k}" for k in range(40)])
+            found = [f for f in license_scan.find_licenses(doc, compiled) if f[2] == name]
+            low = lambda ws: re.findall(r"[a-z0-9]+", " ".join(ws).lower())
+            best = longest_common(low(doc.split()), low(words)) / len(low(words))
+            if best >= 0.84:
+                assert len(found) == 1 and best - 0.03 <= found[0][3] <= best + 1e-9, (name, best, found)
+
+
 def test_license_scan_matches_known_lines(spark, sample, documents):
     lines = {"GPL-3.0-name", "MIT-name", "CC-BY-NC-4.0-name", "Apache-2.0-name"}
     got = {r.doc_id: Counter(f.license for f in r.found) for r in license_scan.scan_licenses(sample).collect()}
