@@ -21,14 +21,20 @@ def chunk_header(kind: Column, event_id: Column) -> Column:
     return F.when(F.coalesce(ident, F.lit("")) != "", F.concat(F.lit("["), kind, F.lit(" id="), ident, F.lit("] "))).otherwise(F.concat(F.lit("["), kind, F.lit("] ")))
 
 
-def pack_retrieved(candidates: DataFrame, budget: Column, key: str = "query_id") -> DataFrame:
+def pack_retrieved(candidates: DataFrame, budget: Column | int, key: str = "query_id") -> DataFrame:
     """Whole chunks by falling score while they fit, then maybe a head of the first misfit.
 
+    Every chunk costs a token at least (its header has four characters or more), so of a budget given as a number
+    that many chunks can fit: only the best so many and the first misfit reach the running sum of a query.
+
     Adds chunk (text), chunk_tokens, used (tokens so far) and partial.  A head is cut to the content budget of
     four characters a token, then to nine tenths until header and head fit; lengths shrink the same way
     whatever the text, so the length is found over a short sequence.
     """
     order = W.partitionBy(key).orderBy(F.col("score").desc(), "event_id")
+    if isinstance(budget, int):
+        place = F.row_number().over(order)
+        candidates, budget = candidates.withColumn("place", place).filter(F.col("place") <= budget + 1).drop("place"), F.lit(budget)
     header = chunk_header(F.col("type"), F.col("event_id"))
     rows = candidates.withColumns({"header": header, "budget": budget}).withColumn("chunk", F.concat("header", F.coalesce("content", F.lit(""))))
     rows = rows.withColumn("chunk_tokens", tokens(F.col("chunk")))

@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 from palaver import schemas as S
 from palaver.operators.timeline import forward
 
+
 def shared_folder(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder; only where none is set, one of our own."""
+    """The cluster's checkpoint folder; where none is set, one of our own in local mode and an error elsewhere."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="palaver-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -116,10 +121,37 @@ def lineage_chain(sessions: DataFrame, lineage: DataFrame) -> DataFrame:
     return pairs.join(ids, "session_id", "left_semi").unionByName(ids.select("session_id", F.col("session_id").alias("member"))).distinct()
 
 
+def newest(lineage: DataFrame, of: str, to: str) -> DataFrame:
+    """(node, next): of several links of a session the latest by created_at, else by id."""
+    time = F.col("created_at") if "created_at" in lineage.columns else F.lit(0)
+    rows = lineage.filter((F.col(of) != F.col(to)) & F.col(of).isNotNull() & F.col(to).isNotNull())
+    return rows.groupBy(F.col(of).alias("node")).agg(F.max_by(to, F.struct(time, F.col(to))).alias("next"))
+
+
+def follow(links: DataFrame) -> DataFrame:
+    """(node, end, steps): where each node's chain of (node, next) ends, by pointer jumping; one row per node throughout.
+
+    A round doubles what a pointer spans, so rounds grow with the logarithm of the longest chain.  Nodes of a cycle, or
+    before one, never end; once a pointer spans more steps than there are nodes they are left out.
+    """
+    at = cut(links.select("node", F.col("next").alias("end"), F.lit(1).cast("long").alias("steps")))
+    n, span = at.count(), 1
+    while n:
+        there = at.select(F.col("node").alias("end"), F.col("end").alias("end_2"), F.col("steps").alias("steps_2"))
+        jumped = at.join(there, "end", "left")
+        moved = jumped.filter("end_2 IS NOT NULL")
+        if moved.isEmpty():
+            break
+        if span > n:
+            return at.join(there.select("end"), "end", "left_anti")
+        at = cut(jumped.select("node", F.coalesce("end_2", "end").alias("end"), (F.col("steps") + F.coalesce("steps_2", F.lit(0))).alias("steps")))
+        span *= 2
+    return at
+
+
 def resolve_sessions(lineage: DataFrame) -> DataFrame:
     """(old_session_id, current_id): where a session's events belong now; resolved on read, nothing is rewritten."""
-    down = pointer_closure(lineage.select(F.col("old_session_id").alias("child"), F.col("new_session_id").alias("parent")))
-    return down.groupBy(F.col("node").alias("old_session_id")).agg(F.max_by("ancestor", F.struct("depth", "ancestor")).alias("current_id"))
+    return follow(newest(lineage, "old_session_id", "new_session_id")).select(F.col("node").alias("old_session_id"), F.col("end").alias("current_id"))
 
 
 def rollover(lineage: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,12 +171,13 @@ def rebase_segments(events: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def inherited_state(sessions: DataFrame, states: DataFrame, lineage: DataFrame) -> DataFrame:
-    """G6, ST5: the session's own state, else that of the nearest ancestor by latest parents."""
-    latest = lineage.groupBy("new_session_id").agg(F.max("old_session_id").alias("parent"))
-    up = pointer_closure(latest.select(F.col("new_session_id").alias("child"), "parent"))
-    reach = up.select(F.col("node").alias("session_id"), F.col("ancestor").alias("holder"), "depth").unionByName(
-        sessions.select("session_id", F.col("session_id").alias("holder"), F.lit(0).alias("depth"))
-    )
-    held = reach.join(states.select(F.col("session_id").alias("holder"), "goal"), "holder")
-    best = held.groupBy("session_id").agg(F.min(F.struct("depth", "holder", "goal")).alias("b"))
-    return best.select("session_id", F.col("b.holder").alias("source_session"), F.col("b.goal").alias("goal"))
+    """G6, ST5: the session's own state, else that of the nearest ancestor by newest parents.
+
+    A chain of newest parents ends at the first session that holds a state, so pointers jump to it.
+    """
+    held = states.groupBy(F.col("session_id").alias("holder")).agg(F.min("goal").alias("goal"))
+    up = newest(lineage, "new_session_id", "old_session_id").join(held.select(F.col("holder").alias("node")), "node", "left_anti")
+    ends = follow(up).select(F.col("node").alias("session_id"), F.col("end").alias("source_session"))
+    asked = sessions.select("session_id").distinct().join(ends, "session_id", "left")
+    at = F.coalesce("source_session", "session_id").alias("source_session")
+    return asked.select("session_id", at).join(held, F.col("source_session") == F.col("holder")).select("session_id", "source_session", "goal")

@@ -1,8 +1,9 @@
 """Ranked retrieval.
 
 Queries are the small side: they are broadcast only up to ``BROADCAST_QUERIES`` rows and otherwise meet the
-vectors block by block; the vectors are scanned, never moved whole.  Top-k keeps a bounded state per query
-and task before the shuffle.
+vectors block by block; the vectors are scanned, never moved whole.  A search within sessions is an equi-join on the
+session, so no other pair is formed.  Details join the vectors before these meet queries, not each pair.  Top-k keeps a
+bounded state per query and task before the shuffle.
 """
 
 from __future__ import annotations
@@ -37,6 +38,15 @@ def score_pairs(queries: DataFrame, vectors: DataFrame, metric: str = "cosine")
     return out.select(*[F.col(f"q.{c}").alias(c) for c in rest], *[c for c in out.columns if c not in ("q",)]).filter("similarity IS NOT NULL")
 
 
+def score_in_sessions(queries: DataFrame, vectors: DataFrame, wanted: str, metric: str = "cosine") -> DataFrame:
+    """V3, V4: as :func:`score_pairs`, of each query with the vectors of its own sessions alone (*wanted*: a column of queries)."""
+    mine = queries.withColumn("session_id", F.col(wanted)).filter("session_id IS NOT NULL")
+    mine = F.broadcast(mine) if queries.count() <= BROADCAST_QUERIES else mine
+    similarity = cosine if metric == "cosine" else l2_similarity
+    rows = vectors.join(mine, "session_id").withColumn("similarity", similarity(F.col("query"), F.col("embedding")))
+    return rows.drop("query", "embedding").filter("similarity IS NOT NULL")
+
+
 def top_k(scored: DataFrame, k: int | None, by: str = "similarity", key: str = "query_id") -> DataFrame:
     """Rank within a query; k of 0 or None keeps all."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(by).desc(), "event_id"))
@@ -50,14 +60,13 @@ def search(queries: DataFrame, vectors: DataFrame, scope: str, k: int, metric: s
     scope: 'session' (queries carry q_session), 'sessions' (q_sessions, an array; empty finds nothing),
     'other' (not q_session) or 'all'.
     """
+    if scope == "session":
+        return top_k(score_in_sessions(queries, vectors, "q_session", metric), k)
+    if scope == "sessions":
+        each = queries.withColumn("q_one", F.explode(F.array_distinct("q_sessions")))
+        return top_k(score_in_sessions(each, vectors, "q_one", metric).drop("q_one"), k)
     scored = score_pairs(queries, vectors, metric)
-    keep = {
-        "session": F.col("session_id") == F.col("q_session") if "q_session" in queries.columns else F.lit(True),
-        "sessions": F.array_contains("q_sessions", F.col("session_id")) if "q_sessions" in queries.columns else F.lit(True),
-        "other": F.col("session_id") != F.col("q_session") if "q_session" in queries.columns else F.lit(True),
-        "all": F.lit(True),
-    }[scope]
-    return top_k(scored.filter(keep), k)
+    return top_k(scored.filter("session_id <> q_session") if scope == "other" else scored, k)
 
 
 def recency(ts: Column, as_of: str, rate: float = S.RECENCY_LAMBDA) -> Column:

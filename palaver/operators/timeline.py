@@ -111,8 +111,9 @@ def latest_segment(events: DataFrame) -> DataFrame:
 
 
 def last_active_other(sessions: DataFrame) -> DataFrame:
-    """For each session the most recently active other one, from the two latest of all."""
-    top = sessions.orderBy(F.col("last_active").desc(), F.col("session_id").desc()).limit(2)
+    """For each session the most recently active other one, from the two latest of all that are active (where a status is known)."""
+    live = sessions.filter("status = 'active'") if "status" in sessions.columns else sessions
+    top = live.orderBy(F.col("last_active").desc(), F.col("session_id").desc()).limit(2)
     best = top.agg(F.sort_array(F.collect_list(F.struct("last_active", "session_id")), False).alias("top"))  # two rows
     first, second = F.element_at("top", 1)["session_id"], F.try_element_at("top", F.lit(2))["session_id"]
     return sessions.join(F.broadcast(best), how="left").select("session_id", F.when(first == F.col("session_id"), second).otherwise(first).alias("other"))

@@ -28,8 +28,8 @@ from palaver.streaming import pipelines as pipes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 EV, VEC, MSG, LIN, HIST = fx.EV_SQL, fx.VEC_SQL, fx.MSG_SQL, fx.LINEAGE_SQL, fx.HIST_SQL
-#: The stated query set of vector searches.
-N_QUERIES = 8
+#: The query set of vector searches: every row whose id this number divides.
+QUERY_EVERY = 100
 
 
 def query(sql: str | None = None, *ctes: str, recursive: bool = False):
@@ -48,7 +48,7 @@ def sql_list(words) -> str:
 
 
 def vector_queries(spark, sf_dir) -> DataFrame:
-    return fx.vectors(spark, sf_dir).filter(F.col("event_id") < N_QUERIES).select(
+    return fx.vectors(spark, sf_dir).filter(F.col("event_id") % QUERY_EVERY == 0).select(
         F.col("event_id").alias("query_id"), F.col("session_id").alias("q_session"), F.col("embedding").alias("query")
     )
 
@@ -57,7 +57,7 @@ PAIRS = f"""
 pairs AS (SELECT q.event_id AS query_id, q.session_id AS q_session, v.event_id, v.session_id,
     list_dot_product(q.embedding, v.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(v.embedding, v.embedding))) AS similarity,
     1 / (1 + list_distance(q.embedding, v.embedding)) AS l2
-  FROM vec q, vec v WHERE q.event_id < {N_QUERIES})"""
+  FROM vec q, vec v WHERE q.event_id % {QUERY_EVERY} = 0)"""
 
 
 def ranked_sql(where: str, k: int, by: str = "similarity") -> str:
@@ -127,18 +127,19 @@ def drift_score(spark, sf_dir):
 
 
 def scored_candidates(spark, sf_dir, rate: float = 0.0001, mode: str | None = "general", with_bonus: bool = False) -> DataFrame:
+    """Queries against all vectors, which have their events' details (and the bonus) before they meet a query."""
     events = fx.event_log(spark, sf_dir)
-    scored = rt.score_pairs(vector_queries(spark, sf_dir).select("query_id", "query"), fx.vectors(spark, sf_dir).drop("session_id", "embedding_model_id"))
-    joined = rt.with_details(scored, events, ["session_id", "ts", "type", "content"])
+    vectors = fx.vectors(spark, sf_dir).select("event_id", "embedding", F.col("session_id").alias("v_session"))
+    detailed = rt.with_details(vectors, events, ["session_id", "ts", "type", "content"])
     if with_bonus:
         bonus = gr.dependency_bonus(tl.anchors(events, 20), gr.derive_edges(events)).select("event_id", "bonus")
-        joined = joined.join(bonus, "event_id", "left")
-    return rt.composite(joined, fx.AS_OF, rate, mode)
+        detailed = detailed.join(bonus, "event_id", "left")
+    return rt.composite(rt.score_pairs(vector_queries(spark, sf_dir), detailed), fx.AS_OF, rate, mode)
 
 
 SCORED = f"""
 w(mode, ws, wr, wd, wt) AS (VALUES {', '.join(f"('{m}', {a}, {b}, {c}, {d})" for m, (a, b, c, d) in S.MODE_WEIGHTS.items())}),
-cand AS (SELECT p.query_id, p.event_id, p.similarity, e.session_id, e.ts, e.type, e.content,
+cand AS (SELECT p.query_id, p.event_id, p.similarity, p.session_id = p.q_session AS own, e.session_id, e.ts, e.type, e.content,
     exp(-0.0001 * (epoch_us(TIMESTAMP '{fx.AS_OF}') - epoch_us(e.ts)) / 60e6) AS recency,
     CASE e.type WHEN 'decision' THEN 1.0 WHEN 'user_message' THEN 0.8 WHEN 'tool_output' THEN 0.6 ELSE 0.5 END AS tw
   FROM pairs p JOIN ev e USING (event_id)),
@@ -163,10 +164,34 @@ packed AS (SELECT * FROM run WHERE used <= {PACK_BUDGET})"""
 @query("SELECT query_id, event_id, round(score, 6) AS score, tk AS chunk_tokens, used::BIGINT AS used FROM packed", EV, VEC, PAIRS, SCORED, GENERAL, PACKED)
 def context_pack(spark, sf_dir):
     """The flagship: rank all vectors for each query and pack the best into a budget."""
-    packed = bd.pack_retrieved(scored_candidates(spark, sf_dir), F.lit(PACK_BUDGET)).filter(~F.col("partial"))
+    packed = bd.pack_retrieved(scored_candidates(spark, sf_dir), PACK_BUDGET).filter(~F.col("partial"))
     return packed.select("query_id", "event_id", F.round("score", 6).alias("score"), "chunk_tokens", F.col("used").cast("long").alias("used"))
 
 
+PARTIAL_BUDGET = 1500
+DOC_CHUNKS = f"""
+ch AS (SELECT source AS query_id, doc_id AS event_id, (n_chars % 97) / 97.0 AS score, '[tool_output id=' || doc_id || '] ' AS header, text AS content FROM documents),
+run AS (SELECT *, sum(len(header || content) // 4) OVER w AS used, len(header || content) // 4 AS tk, row_number() OVER w AS place FROM ch
+  WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING)),
+miss AS (SELECT query_id, min(place) AS place FROM run WHERE used > {PARTIAL_BUDGET} GROUP BY ALL),
+head AS (SELECT r.*, {PARTIAL_BUDGET} - (used - tk) AS remaining, {PARTIAL_BUDGET} - (used - tk) - len(header) // 4 - {S.MESSAGE_TOKENS} AS room FROM run r JOIN miss USING (query_id, place))"""
+
+
+@query(
+    f"""SELECT query_id, event_id, tk AS chunk_tokens, used::BIGINT AS used, false AS partial, sha256(header || content) AS chunk FROM run WHERE used <= {PARTIAL_BUDGET}
+      UNION ALL SELECT query_id, event_id, len(part) // 4, (used - tk + len(part) // 4)::BIGINT, true, sha256(part) FROM (SELECT *, header || left(content, (room * 4)::BIGINT) AS part FROM head)
+      WHERE remaining >= {S.MIN_PARTIAL_TOKENS} AND room >= {S.MIN_PARTIAL_TOKENS}""",
+    DOC_CHUNKS,
+)
+def partial_pack(spark, sf_dir):
+    """B4, B5, W8 with long chunks: the documents of each source by a stated score; the first that does not fit comes as a head."""
+    rows = fx.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("query_id"), F.col("doc_id").alias("event_id"), F.lit("tool_output").alias("type"), F.col("text").alias("content"), ((F.col("n_chars") % 97) / 97.0).alias("score")
+    )
+    packed = bd.pack_retrieved(rows, PARTIAL_BUDGET)
+    return packed.select("query_id", "event_id", "chunk_tokens", F.col("used").cast("long").alias("used"), "partial", F.sha2("chunk", 256).alias("chunk"))
+
+
 @query(
     """SELECT query_id, event_id, origin FROM (
       SELECT n.query_id, n.event_id, 'narrow' AS origin FROM narrow n
@@ -189,13 +214,13 @@ def widen_fallback(spark, sf_dir):
       UNION ALL SELECT m.query_id, m.event_id, m.similarity, 'similarity' FROM more m LEFT JOIN (SELECT query_id, sum(tokens) AS held FROM pool GROUP BY ALL) USING (query_id)
       WHERE coalesce(held, 0) < 400 * 0.5 AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = m.query_id AND p.event_id = m.event_id))""",
     EV, VEC, PAIRS, SCORED, GENERAL,
-    "pool AS (SELECT *, len(content) // 4 AS tokens FROM general WHERE (event_id + query_id) % 13 = 0 AND score > 0.3)",
+    "pool AS (SELECT *, len(content) // 4 AS tokens FROM general WHERE own AND type = 'user_message')",
     "more AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, event_id) AS r FROM pairs) WHERE r <= 15)",
 )
 def clean_query_fallback(spark, sf_dir):
-    """A thin pool, by tokens, is joined by plain similarity hits."""
+    """A thin pool, by tokens, is joined by plain similarity hits; the pool: user messages of the query's own session."""
     scored = scored_candidates(spark, sf_dir)
-    pool = scored.filter("(event_id + query_id) % 13 = 0 AND score > 0.3").select("query_id", "event_id", "score", ms.tokens(F.col("content")).alias("tokens"))
+    pool = scored.filter("v_session = q_session AND type = 'user_message'").select("query_id", "event_id", "score", ms.tokens(F.col("content")).alias("tokens"))
     more = rt.search(vector_queries(spark, sf_dir), fx.vectors(spark, sf_dir), "all", 15)
     more = more.select("query_id", "event_id", F.col("similarity").alias("score"), F.lit(0).cast("long").alias("tokens"))
     return rt.widen_if_thin(pool, more, F.lit(400), S.THIN_CLEAN, None, "similarity").select("query_id", "event_id", F.round("score", 6).alias("score"), "score_source")
@@ -272,12 +297,15 @@ def contains_sql(col: str, words) -> str:
 
 
 @query(
-    f"""SELECT session_id, msg_index, CASE WHEN {contains_sql('low', S.DEBUG_WORDS)} THEN 'debugging' WHEN {contains_sql('low', S.REASONING_WORDS)} OR len(low) > 500 THEN 'reasoning'
-      WHEN {contains_sql('low', S.FACTUAL_WORDS)} THEN 'factual' ELSE 'general' END AS mode FROM (SELECT *, lower(content) AS low FROM msg)""",
+    f"""SELECT session_id, msg_index, CASE WHEN {contains_sql('low', S.DEBUG_WORDS)} OR (msg_index % 2 = 1 AND {contains_sql('low', S.DEBUG_DOUBTS)}) THEN 'debugging' WHEN {contains_sql('low', S.REASONING_WORDS)} OR len(low) > 500 THEN 'reasoning'
+      WHEN {contains_sql('low', S.FACTUAL_WORDS)} THEN 'factual' ELSE 'general' END AS mode FROM (SELECT *, lower(CASE WHEN len(content) % 2 = 0 THEN content || ' ?' ELSE content END) AS low FROM msg)""",
     MSG,
 )
 def mode_pick(spark, sf_dir):
-    return fx.messages(spark, sf_dir).select("session_id", "msg_index", tx.mode(F.col("content"), F.lit(None).cast("string")).alias("mode"))
+    """R4; a file was read before every odd message, and messages that end a sentence with 'not so' ask."""
+    m, tool = fx.messages(spark, sf_dir), F.when(F.col("msg_index") % 2 == 1, "Read")
+    asked = F.when(F.length("content") % 2 == 0, F.concat("content", F.lit(" ?"))).otherwise(F.col("content"))
+    return m.select("session_id", "msg_index", tx.mode(asked, tool).alias("mode"))
 
 
 @query(
@@ -297,11 +325,27 @@ def snippets(spark, sf_dir):
     return fx.messages(spark, sf_dir).select("session_id", "msg_index", tx.clip(F.col("content"), 160, "…").alias("snippet"))
 
 
-@query("SELECT session_id, 1 + sum(CASE WHEN role = 'user' AND msg_index > 0 AND false THEN 1 ELSE 0 END)::BIGINT AS segments, count(*) AS messages FROM msg GROUP BY session_id", MSG)
+#: Messages with a switch phrase before every third one of a session, in turn, upper case where its length is even.
+SPOKEN = f"""
+spoken AS (SELECT session_id, msg_index, role, CASE WHEN (session_id + msg_index) % 3 = 0 THEN CASE WHEN len(content) % 2 = 0 THEN upper(p) ELSE p END || ' ' || content ELSE content END AS content
+  FROM (SELECT *, [{', '.join("'" + p.replace("'", "''") + "'" for p in S.SWITCH_PHRASES)}][1 + (session_id + msg_index) // 3 % {len(S.SWITCH_PHRASES)}] AS p FROM msg))"""
+
+
+def spoken(spark, sf_dir) -> DataFrame:
+    m = fx.messages(spark, sf_dir)
+    at = F.col("session_id") + F.col("msg_index")
+    phrase = F.element_at(F.array(*map(F.lit, S.SWITCH_PHRASES)), (F.floor(at / 3) % len(S.SWITCH_PHRASES) + 1).cast("int"))
+    said = F.concat(F.when(F.length("content") % 2 == 0, F.upper(phrase)).otherwise(phrase), F.lit(" "), F.col("content"))
+    return m.withColumn("content", F.when(at % 3 == 0, said).otherwise(F.col("content")))
+
+
+@query(
+    f"SELECT session_id, msg_index, 1 + sum(CASE WHEN role = 'user' AND {contains_sql('lower(content)', S.SEGMENT_PHRASES)} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY msg_index ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM spoken",
+    MSG, SPOKEN,
+)
 def hard_segments(spark, sf_dir):
-    """No message of these tables holds a switch phrase, so every session is one segment."""
-    rows = tl.segment_ordinals(fx.messages(spark, sf_dir))
-    return rows.groupBy("session_id").agg(F.max("segment").cast("long").alias("segments"), F.count(F.lit(1)).alias("messages"))
+    """Messages some of which hold a switch phrase; one of the phrases switches the intent alone, no segment."""
+    return tl.segment_ordinals(spoken(spark, sf_dir)).select("session_id", "msg_index", F.col("segment").cast("long").alias("segment"))
 
 
 @query("SELECT session_id, CASE WHEN bool_or(role IN ('assistant', 'tool')) THEN 0 ELSE coalesce(max(msg_index) FILTER (role = 'user'), 0) END AS anchor FROM msg GROUP BY session_id", MSG)
@@ -404,11 +448,13 @@ def recent_turns(spark, sf_dir):
 
 
 @query(
-    "SELECT s.session_id, (SELECT arg_max(o.session_id, struct_pack(a := o.t, b := o.session_id)) FROM s o WHERE o.session_id <> s.session_id) AS other FROM s",
+    "SELECT s.session_id, (SELECT arg_max(o.session_id, struct_pack(a := o.t, b := o.session_id)) FROM s o WHERE o.session_id <> s.session_id AND o.session_id % 4 <> 0) AS other FROM s",
     EV, "s AS (SELECT session_id, max(ts) AS t FROM ev GROUP BY ALL)",
 )
 def last_active_session(spark, sf_dir):
-    return tl.last_active_other(ms.sessions_of(fx.event_log(spark, sf_dir)))
+    """J13; every fourth session is closed."""
+    status = F.when(F.col("session_id") % 4 == 0, "closed").otherwise("active")
+    return tl.last_active_other(ms.sessions_of(fx.event_log(spark, sf_dir)).withColumn("status", status))
 
 
 @query("SELECT session_id, arg_max(segment_id, seq) AS segment_id FROM ev GROUP BY session_id", EV)
@@ -478,10 +524,10 @@ def activity_since(spark, sf_dir):
     return tl.active_since(last, fx.event_log(spark, sf_dir), "since")
 
 
-@query("SELECT session_id, count(*) AS events, count(DISTINCT segment_id) AS segments FROM ev WHERE type IN ('user_message', 'tool_output') AND session_id IN (1, 2, 3, 5, 8, 13) AND segment_id LIKE 'seg%' GROUP BY ALL", EV)
+@query("SELECT session_id, count(*) AS events, count(DISTINCT segment_id) AS segments FROM ev WHERE type IN ('user_message', 'tool_output') AND segment_id LIKE 'seg%' GROUP BY ALL", EV)
 def filtered_counts(spark, sf_dir):
-    """Equality and list filters; a wildcard segment adds none."""
-    rows = fx.event_log(spark, sf_dir).filter(F.col("type").isin("user_message", "tool_output") & F.col("session_id").isin(1, 2, 3, 5, 8, 13))
+    """A list filter over all sessions; a wildcard segment adds none."""
+    rows = fx.event_log(spark, sf_dir).filter(F.col("type").isin("user_message", "tool_output"))
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("segment_id").alias("segments"))
 
 
@@ -508,7 +554,17 @@ def rebuilt_state(spark, sf_dir):
     return st.rebuilt_state(fx.event_log(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""SELECT session_id, id FROM fold WHERE kept""",
+    EV, HIST,
+    "h AS (SELECT session_id, id, ts, goal, intent_label, CASE WHEN id % 2 = 0 THEN ts END AS act, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM hist)",
+    f"""fold AS (SELECT session_id, n, id, true AS kept, goal, intent_label, ts FROM h WHERE n = 1
+      UNION ALL SELECT h.session_id, h.n, h.id, k, CASE WHEN k THEN h.goal ELSE f.goal END, CASE WHEN k THEN h.intent_label ELSE f.intent_label END, CASE WHEN k THEN h.ts ELSE f.ts END
+      FROM (SELECT h.*, f.goal AS f_goal, f.intent_label AS f_label, f.ts AS f_ts, h.goal IS DISTINCT FROM f.goal OR h.intent_label IS DISTINCT FROM f.intent_label
+          OR h.ts >= f.ts + INTERVAL {S.KEEPALIVE_SECONDS} SECOND OR coalesce(h.act > f.ts, false) AS k FROM fold f JOIN h ON h.session_id = f.session_id AND h.n = f.n + 1) AS h,
+        LATERAL (SELECT f_goal AS goal, f_label AS intent_label, f_ts AS ts) f)""",
+    recursive=True,
+)
 def snapshot_log(spark, sf_dir):
     """ST3 as a fold; activity is an event after the last appended snapshot, every second one counts."""
     h = fx.history(spark, sf_dir).withColumn("current_step", F.col("goal"))
@@ -599,6 +655,25 @@ def resolve_session(spark, sf_dir):
     return gr.resolve_sessions(fx.lineage(spark, sf_dir))
 
 
+@query("SELECT c_custkey AS old_session_id, least((c_custkey // 300 + 1) * 300 - 1, max(c_custkey) OVER () + 1) AS current_id FROM customer WHERE (c_custkey + 1) % 300 <> 0")
+def long_lineage(spark, sf_dir):
+    """G7 over chains of up to 300 sessions: every customer key is rolled over to the next one, but at multiples of 300."""
+    keys = fx.registry(spark, sf_dir).filter("(session_id + 1) % 300 <> 0")
+    return gr.resolve_sessions(keys.select(F.col("session_id").alias("old_session_id"), (F.col("session_id") + 1).alias("new_session_id")))
+
+
+@query(
+    "SELECT c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 OR c_custkey < 3 THEN c_custkey - 1 ELSE c_custkey - 2 END AS parent FROM customer WHERE c_custkey >= 2",
+)
+def newest_parent(spark, sf_dir):
+    """Two sessions were rolled over into each; the edge made later counts, not the larger id."""
+    keys = fx.registry(spark, sf_dir)
+    one = keys.filter("session_id >= 2").select((F.col("session_id") - 1).alias("old_session_id"), F.col("session_id").alias("new_session_id"), F.lit(5).alias("created_at"))
+    late = F.when(F.col("session_id") % 2 == 0, 1).otherwise(9)
+    two = keys.filter("session_id >= 3").select((F.col("session_id") - 2).alias("old_session_id"), F.col("session_id").alias("new_session_id"), late.alias("created_at"))
+    return gr.newest(one.unionByName(two), "new_session_id", "old_session_id").select(F.col("node").alias("session_id"), F.col("next").alias("parent"))
+
+
 @query(
     "SELECT coalesce(c, e.session_id) AS session_id, CASE WHEN c IS NULL THEN segment_id ELSE replace(segment_id, e.session_id::VARCHAR, c::VARCHAR) END AS segment_id, event_id FROM ev e LEFT JOIN (SELECT m, max(s) AS c FROM up GROUP BY m) ON m = e.session_id",
     EV, LIN, UP, recursive=True,
@@ -774,15 +849,15 @@ def edge_types(spark, sf_dir):
       UNION ALL SELECT m.query_id, m.event_id, 'wide' FROM more m LEFT JOIN (SELECT query_id, count(*) AS n, sum(tokens) AS held FROM pool GROUP BY ALL) USING (query_id)
       WHERE (coalesce(n, 0) < 12 OR coalesce(held, 0) < 1000 * 0.2) AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = m.query_id AND p.event_id = m.event_id))""",
     EV, VEC, PAIRS, SCORED, GENERAL,
-    "pool AS (SELECT *, len(content) // 4 AS tokens FROM general WHERE (event_id * (query_id + 1)) % 23 < query_id)",
+    "pool AS (SELECT *, len(content) // 4 AS tokens FROM general WHERE own AND type = 'decision')",
     "more AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS r FROM general) WHERE r <= 25)",
 )
 def dedup_fallback(spark, sf_dir):
-    """Pools with few events or few tokens are joined by the wider search."""
+    """Pools with few events or few tokens are joined by the wider search; the pool: decisions of the query's own session."""
     scored = scored_candidates(spark, sf_dir).withColumn("tokens", ms.tokens(F.col("content")))
     cols = ["query_id", "event_id", "score", "tokens"]
     more = rt.top_k(scored.select(*cols), 25, by="score").drop("rank")
-    pool = scored.filter("(event_id * (query_id + 1)) % 23 < query_id").select(*cols)
+    pool = scored.filter("v_session = q_session AND type = 'decision'").select(*cols)
     return rt.widen_if_thin(pool, more, F.lit(1000), S.THIN_DEDUP, S.MIN_CANDIDATES, "wide").select("query_id", "event_id", "score_source")
 
 
@@ -809,27 +884,29 @@ def stream_ingest(spark, sf_dir):
     folder, schema = stream_folder(spark), fx.table(spark, sf_dir, "events").schema
     stream = pipes.read_events(spark, f"{sf_dir}/{{events}}.parquet", schema).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     pipes.start_ingest(stream, f"{folder}/log", f"{folder}/offsets").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/log").select("event_id", "user_id", "ts")
+    return spark.read.parquet(f"{folder}/log").select("event_id", "user_id", "ts")
 
 
 @query(
-    """SELECT session_id::VARCHAR AS session_id, left(arg_min(content, seq) FILTER (type = 'user_message'), 500) AS goal, arg_max(tool_name, seq) FILTER (type = 'tool_call') AS last_tool,
+    """SELECT session_id::VARCHAR AS session_id, left(arg_min(content, seq) FILTER (type = 'user_message'), 500) AS goal,
+      arg_max(CASE type WHEN 'user_message' THEN left(content, 300) ELSE left(content, 200) END, seq) FILTER (type IN ('user_message', 'assistant_message')) AS current_step,
+      arg_max(tool_name, seq) FILTER (type = 'tool_call') AS last_tool, arg_max(CASE WHEN len(content) > 100 THEN left(content, 100) || '...' ELSE content END, seq) FILTER (type = 'tool_output') AS last_tool_output_summary,
       sum((type = 'user_message')::INT)::BIGINT AS turn_count FROM ev GROUP BY session_id""",
     EV,
 )
 def stream_live_state(spark, sf_dir):
-    """ST1 as a stateful stream over the event log, written once; the last state of each session."""
+    """ST1 as a stateful stream over the event log, which arrives in several micro-batches in no order; the last state of each session."""
     folder = stream_folder(spark)
-    fx.event_log(spark, sf_dir).select("session_id", "event_id", "ts", "type", "content", "tool_name").write.parquet(f"{folder}/events")
-    source = spark.read.parquet(f"{folder}/events")
-    states = pipes.live_states(pipes.read_events(spark, f"{folder}/events", source.schema))
+    source = fx.event_log(spark, sf_dir).select("session_id", "event_id", "ts", "type", "content", "tool_name")
+    source.repartition(4, "event_id").write.parquet(f"{folder}/events")
+    states = pipes.live_states(pipes.read_events(spark, f"{folder}/events", source.schema, files=1))
 
     def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/batch={number}-part")
+        batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
     states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/states/*")
-    return ms.latest_by_key(rows, ["session_id"], ["turn_count"]).select("session_id", "goal", "last_tool", "turn_count")
+    rows = spark.read.parquet(f"{folder}/states")  # a session is in a micro-batch once at most
+    return ms.latest_by_key(rows, ["session_id"], ["batch"]).drop("batch")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

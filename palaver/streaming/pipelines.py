@@ -9,15 +9,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE_OUT = "session_id string, goal string, current_step string, last_tool string, last_tool_output_summary string, turn_count long"
-STATE_KEPT = "goal string, current_step string, last_tool string, last_tool_output_summary string, turn_count long"
+#: A field is kept with the place (time in microseconds, event) of what it was taken from.
+FIELDS = ("goal", "current_step", "last_tool", "last_tool_output_summary")
+STATE_KEPT = ", ".join(f"{f} string, {f}_ts long, {f}_event string" for f in FIELDS) + ", turn_count long"
+#: The partition column of an ingested log.
+DAY = "ingest_day"
 
 
-def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, files: int = 1000) -> DataFrame:
+    """New files below a path, so many in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -28,49 +34,83 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def start_ingest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """S5 against a growing log: each micro-batch drops repeats and what the log holds, then is appended.
 
-    A batch that is run again after a failure finds its own rows in the log and adds nothing.
+    The log is partitioned by the day of ``ts``.  A repeated event has its first time, so a batch meets only the
+    partitions of its own days, and what a batch costs does not grow with the log.  A batch that is run again after a
+    failure finds its own rows in the log and adds nothing.
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["event_id"])
         spark = batch.sparkSession
+        fresh = batch.dropDuplicates(["event_id"]).withColumn(DAY, F.to_date("ts")).persist()
+        days = [r[0] for r in fresh.select(DAY).distinct().collect()]  # days of one micro-batch
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select("event_id"), "event_id", "left_anti")
-        fresh.write.mode("append").parquet(path)
+        new = fresh
+        if days and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            known = spark.read.schema(fresh.schema).parquet(path).filter(F.col(DAY).isin(*days) | F.col(DAY).isNull())
+            new = fresh.join(known.select("event_id"), "event_id", "left_anti")
+        new.write.mode("append").partitionBy(DAY).parquet(path)
+        fresh.unpersist()
 
     return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def fold_state(state: dict, rows: pd.DataFrame) -> dict:
-    """ST1 for some events of one session, in order."""
-    for row in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
+    """ST1 for some events of one session, in any order: state holds (place, value) for each field, and turn_count.
+
+    A place is (time, event); the goal is that of the earliest user message, the other fields those of the latest event.
+    """
+    for row in rows.itertuples(index=False):
         text = row.content if isinstance(row.content, str) else ""
+        place = (int(row.at), row.event_key)
+
+        def put(field: str, value, last: bool = True) -> None:
+            held = state.get(field)
+            if held is None or (place > held[0] if last else place < held[0]):  # noqa: B023
+                state[field] = (place, value)  # noqa: B023
+
         if row.type == "user_message" and text.strip():
-            state["turn_count"] += 1
-            state["goal"] = state["goal"] or text.strip()[:500]
-            state["current_step"] = text.strip()[:300]
+            state["turn_count"] = state.get("turn_count", 0) + 1
+            put("goal", text.strip()[:500], last=False)
+            put("current_step", text.strip()[:300])
         elif row.type == "tool_call":
-            state["last_tool"] = row.tool_name
+            put("last_tool", row.tool_name)
         elif row.type == "tool_output" and text:
-            state["last_tool_output_summary"] = text[:100] + "..." if len(text) > 100 else text
+            put("last_tool_output_summary", text[:100] + "..." if len(text) > 100 else text)
         elif row.type == "assistant_message" and text:
-            state["current_step"] = text[:200]
+            put("current_step", text[:200])
     return state
 
 
-def live_states(events: DataFrame) -> DataFrame:
+def live_states(events: DataFrame, idle: str = "30 days") -> DataFrame:
     """ST1 as a stateful operator: the session's state after each micro-batch that touches it.
 
-    Events of one micro-batch are folded in time order; a session's later batches are taken to be later.
+    Events may come late and in any order, as each field knows the place it was taken from.  The watermark is *idle* behind
+    the latest event: what is older still is dropped, and a session whose last event it has passed is forgotten; its last
+    state has been handed on.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["goal", "current_step", "last_tool", "last_tool_output_summary", "turn_count"]
-        state = dict(zip(names, held.get if held.exists else (None, None, None, None, 0), strict=True))
-        state = fold_state(state, pd.concat(list(batches)))
-        held.update(tuple(state[n] for n in names))
-        yield pd.DataFrame([{"session_id": str(key[0]), **state}])
-
-    narrow = events.select("session_id", "event_id", "ts", "type", "content", "tool_name")
-    return narrow.groupBy("session_id").applyInPandasWithState(update, STATE_OUT, STATE_KEPT, "update", GroupStateTimeout.NoTimeout)
+        if held.hasTimedOut:
+            held.remove()
+            return
+        state: dict = {}
+        if held.exists:
+            *kept, state["turn_count"] = held.get
+            for f, value, at, event in zip(FIELDS, kept[::3], kept[1::3], kept[2::3], strict=True):
+                if at is not None:
+                    state[f] = ((at, event), value)
+        for rows in batches:
+            state = fold_state(state, rows)
+        flat: list = []
+        for f in FIELDS:
+            (at, event), value = state.get(f, ((None, None), None))
+            flat += [value, at, event]
+        held.update((*flat, state.get("turn_count", 0)))
+        last = max((at // 1000 for at in flat[1::3] if at is not None), default=0)
+        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([{"session_id": str(key[0]), **{f: state[f][1] if f in state else None for f in FIELDS}, "turn_count": state.get("turn_count", 0)}])
+
+    key = F.format_string("%020d", "event_id") if dict(events.dtypes)["event_id"] in ("bigint", "int") else F.col("event_id").cast("string")
+    ts = F.col("ts").cast("timestamp")
+    narrow = events.select("session_id", key.alias("event_key"), ts.alias("ts"), F.unix_micros(ts).alias("at"), "type", "content", "tool_name")
+    return narrow.withWatermark("ts", idle).groupBy("session_id").applyInPandasWithState(update, STATE_OUT, STATE_KEPT, "update", GroupStateTimeout.EventTimeTimeout)

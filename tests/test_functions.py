@@ -234,6 +234,15 @@ def test_lineage_of_a_long_chain(spark):
     assert (300, 0, "g") in {(r.session_id, r.source_session, r.goal) for r in state.collect()}
 
 
+def test_lineage_cycles_and_forks(spark):
+    rows = [(1, 2, 1), (2, 3, 1), (3, 1, 1), (9, 1, 1), (10, 11, 5), (10, 12, 3), (11, 13, 1), (20, 20, 1), (None, 21, 1)] + [(100 + i, 101 + i, 0) for i in range(1100)]
+    lineage = spark.createDataFrame(rows, "old_session_id long, new_session_id long, created_at int")
+    got = {r.old_session_id: r.current_id for r in gr.resolve_sessions(lineage).collect()}
+    assert got == {10: 13, 11: 13} | {100 + i: 1200 for i in range(1100)}  # the cycle and what leads to it have no end
+    up = {(r.session_id, r.member) for r in gr.lineage_chain(spark.createDataFrame([(9,)], "session_id long"), lineage.limit(4)).collect()}
+    assert up == {(9, m) for m in (9, 1, 2, 3)}
+
+
 def test_hooks(spark):
     rows = [
         ("h", 1, "start", "A", None, None, True), ("h", 2, "start", "B", "compression", "A", True), ("h", 3, "start", "B", None, None, True),
@@ -258,10 +267,14 @@ def test_live_state_batch_equals_stream_fold(spark):
     ]
     df = spark.createDataFrame(rows, "session_id string, event_id int, type string, content string, tool_name string").withColumn("ts", F.timestamp_seconds("event_id"))
     got = {r.session_id: r.asDict() for r in st.live_state(df).collect()}
-    pdf = pd.DataFrame(rows, columns=["session_id", "event_id", "type", "content", "tool_name"]).assign(ts=lambda d: d.event_id)
+    pdf = pd.DataFrame(rows, columns=["session_id", "event_id", "type", "content", "tool_name"]).assign(at=lambda d: d.event_id, event_key=lambda d: d.event_id)
     for s, part in pdf.groupby("session_id"):
-        want = fold_state({"goal": None, "current_step": None, "last_tool": None, "last_tool_output_summary": None, "turn_count": 0}, part)
-        assert {k: got[s][k] for k in want} == want
+        for order in (part, part.sample(frac=1, random_state=3)):  # late events change nothing
+            state = {}
+            for at in range(0, len(order), 7):
+                state = fold_state(state, order[at : at + 7])
+            want = {f: state[f][1] if f in state else None for f in ("goal", "current_step", "last_tool", "last_tool_output_summary")}
+            assert {k: got[s][k] for k in want} == want and got[s]["turn_count"] == state.get("turn_count", 0)
 
 
 def test_graph_edges_follow_pointers(spark):
