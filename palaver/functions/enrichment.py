@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palaver.functions.text import embeddable, summarize
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
@@ -93,8 +95,10 @@ def embed_column(embedder: Embedder, batch: int = 16):
 
 
 def embed_events(events: DataFrame, embedder: Embedder, model: str) -> DataFrame:
-    """Vectors of embeddable events; null vectors are not stored."""
-    rows = events.select("event_id", "session_id", "segment_id", "type", F.col("token_estimate").alias("token_count"), embed_column(embedder)(F.col("content")).alias("embedding"))
+    """Vectors of embeddable events (P4), long tool outputs as their summary (F10); null vectors are not stored."""
+    said = F.when(F.col("type") == "tool_output", summarize(F.col("content"))).otherwise(F.col("content"))
+    some = events.filter(embeddable(F.col("content")))
+    rows = some.select("event_id", "session_id", "segment_id", "type", F.col("token_estimate").alias("token_count"), embed_column(embedder)(said).alias("embedding"))
     return rows.filter("embedding IS NOT NULL").withColumn("embedding_model_id", F.lit(model))
 
 
@@ -150,11 +154,22 @@ def close_json(text: str) -> str:
     return text.rstrip(",: \t\r\n") + "".join(reversed(waiting))
 
 
-@F.udf(T.StringType())
-def parse_json_text(text):
-    """F11 for a column: the recovered object as JSON text."""
-    found = parse_json(text)
-    return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else None
+@F.pandas_udf(T.StringType())
+def recover_json(texts: pd.Series) -> pd.Series:
+    """What is not JSON as it stands: the recovered object as JSON text."""
+
+    def one(text):
+        found = parse_json(text) if isinstance(text, str) else None
+        return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else None
+
+    return texts.map(one).astype(object)
+
+
+def parse_json_text(text: Column) -> Column:
+    """F11 for a column: the object as JSON text; only what the JVM's parser refuses goes to Python."""
+    whole = F.startswith(F.trim(text), F.lit("{")) & F.try_parse_json(text).isNotNull()
+    whole = F.coalesce(whole, F.lit(False))
+    return F.when(whole, text).otherwise(recover_json(F.when(~whole, text)))
 
 
 ANSWER = "struct<intent_label:string,topic_tags:array<string>,decisions:array<struct<decision:string,rationale:string>>>"
@@ -196,5 +211,5 @@ def enrich_histories(histories: DataFrame, enricher: Enricher) -> DataFrame:
         for s in texts:
             yield s.map(lambda t: enricher.enrich(t) if isinstance(t, str) and t.strip() else None)
 
-    raw = histories.withColumn("raw", parse_json_text(ask("history")))
+    raw = histories.withColumn("raw", ask("history")).withColumn("raw", parse_json_text(F.col("raw")))
     return raw.withColumn("answer", F.when(F.col("raw").isNotNull(), normalize_answer(F.from_json("raw", ANSWER)))).drop("raw")

@@ -84,6 +84,16 @@ def neighbors(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return bounded_closure(seeds, undirected(edges), min(depth, 5)).filter("depth > 0")
 
 
+def with_hops(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """Neighbours (seed, node, depth) with the type and session of the edge that they were reached over: the least of those from one step nearer."""
+    both = edges.select(F.col("from_event_id").alias("before"), F.col("to_event_id").alias("node"), "edge_type", F.col("session_id").alias("edge_session"))
+    both = both.unionByName(both.select(F.col("node").alias("before"), F.col("before").alias("node"), "edge_type", "edge_session"))
+    seeds = near.select("seed").distinct().select("seed", F.col("seed").alias("before"), F.lit(0).alias("nearer"))
+    known = near.select("seed", F.col("node").alias("before"), F.col("depth").alias("nearer")).unionByName(seeds)
+    hops = near.join(both, "node").join(known, ["seed", "before"]).filter("nearer = depth - 1")
+    return hops.groupBy("seed", "node", "depth").agg(F.min(F.struct("edge_type", "edge_session")).alias("hop")).select("seed", "node", "depth", "hop.*")
+
+
 def dependency_bonus(anchors: DataFrame, edges: DataFrame, decay: float = S.DECAY, depth: int = S.MAX_DEPTH) -> DataFrame:
     """(session_id, event_id, bonus): decay ** distance from the session's nearest anchor; anchors 1."""
     seeds = anchors.select(F.col("session_id").alias("seed"), F.col("event_id").alias("node"))

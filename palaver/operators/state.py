@@ -85,9 +85,14 @@ def last_of(values: Column, n: int) -> Column:
     return F.when(F.size(values) > n, F.slice(values, -n, n)).otherwise(values)
 
 
-def compress_state(states: DataFrame) -> DataFrame:
-    """ST6: what a state over its token cap keeps."""
-    return states.withColumns(
-        {"goal": shorten(F.col("goal")), "current_step": shorten(F.col("current_step"))}
-        | {c: last_of(F.col(c), n) for c, n in (("open_loops", 3), ("decision_stack", 3), ("active_entities", 5)) if c in states.columns}
-    )
+def compress_state(states: DataFrame, cap: int | None = None) -> DataFrame:
+    """ST6: what a state keeps whose JSON has more than *cap* tokens (None: every state): enrichment blanked, lists cut to their last, texts shortened."""
+    over = F.lit(True)
+    if cap is not None:
+        over = F.floor(F.length(F.to_json(F.struct(*[c for c in states.columns if c != "session_id"]))) / S.CHARS_PER_TOKEN) > cap
+    small = {c: shorten(F.col(c)) for c in ("goal", "current_step") if c in states.columns}
+    small |= {c: last_of(F.col(c), n) for c, n in (("open_loops", 3), ("decision_stack", 3), ("active_entities", 5)) if c in states.columns}
+    if "enrichment" in states.columns:
+        small["enrichment"] = F.lit(None).cast(states.schema["enrichment"].dataType)
+    marked = states.withColumn("__over", over)
+    return marked.withColumns({c: F.when(F.col("__over"), new).otherwise(F.col(c)) for c, new in small.items()}).drop("__over")

@@ -6,6 +6,8 @@ the session, so the work is the sum of the sessions' sizes and no pair of sessio
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ def turns(messages: DataFrame, states: DataFrame) -> DataFrame:
     replies = messages.filter("role = 'assistant'").groupBy("session_id").agg(F.max_by("content", "msg_index").alias("reply"))
     rows = current.select("session_id", "c.*").join(replies, "session_id", "left").join(states, "session_id", "left")
     rows = rows.withColumn("names", tx.entities(F.col("reply")))
-    none = F.lit(False)
-    rows = rows.withColumn("intent", tx.intent(tx.is_switch(F.col("message")), none, F.lit(0.0), tx.asks_about(F.col("message"), F.col("names"))))
+    against = tx.contradicts(F.col("message"), F.col("names"))
+    rows = rows.withColumn("intent", tx.intent(tx.is_switch(F.col("message")), against, F.lit(0.0), tx.asks_about(F.col("message"), F.col("names"))))
     mode = F.when(F.col("intent") == "CLARIFICATION", "clarification").otherwise(tx.mode(F.col("message"), F.col("last_tool")))
     text = lambda c: F.coalesce(c, F.lit(""))
     query = tx.query_text(
@@ -56,10 +58,11 @@ def candidates(asked: DataFrame, events: DataFrame, vectors: DataFrame, edges: D
     return scored.join(asked.select("session_id", F.col("mode").alias("wanted")), "session_id").filter("mode = wanted").drop("wanted", "n_near", "current_segment")
 
 
-def assemble_turns(messages: DataFrame, embedder: Embedder, as_of: str, settings: Settings | None = None, reranker: Reranker | None = None, overhead: int = 0) -> DataFrame:
+def assemble_turns(messages: DataFrame, embedder: Embedder, as_of: str, settings: Settings | None = None, reranker: Reranker | None = None, overhead: int = 0, extras: DataFrame | None = None, resumed: DataFrame | None = None) -> DataFrame:
     """(session_id, pos, role, content): the prompt of every session's current turn.
 
-    messages: session_id, msg_index, ts, role, content.  Sessions within budget pass unchanged.
+    messages: session_id, msg_index, ts, role, content.  Sessions within budget pass unchanged, but *resumed* ones
+    (ST10: session_id), which are assembled once.  *extras*: further blocks of the system message, in order of pos.
     """
     settings = settings or Settings()
     total = settings.budget
@@ -71,6 +74,8 @@ def assemble_turns(messages: DataFrame, embedder: Embedder, as_of: str, settings
     asked = turns(messages, states)
     budgets = bd.token_budgets(messages, total, 0, overhead)
     long = budgets.filter(~F.col("pass_through")).select("session_id")
+    if resumed is not None:
+        long = long.unionByName(resumed.select("session_id").join(budgets, "session_id", "left_semi")).distinct()
     # written once: later steps read them several times
     long = gr.cut(long)
     asked, work = gr.cut(asked.join(long, "session_id", "left_semi")), gr.cut(events.join(long, "session_id", "left_semi"))
@@ -83,13 +88,19 @@ def assemble_turns(messages: DataFrame, embedder: Embedder, as_of: str, settings
     pool = pool.join(work.select("event_id", "msg_index"), "event_id").join(protected, ["session_id", "msg_index"], "left_anti").drop("msg_index")
     if reranker is not None:
         pool = rerank_groups(pool.select("query_id", "session_id", "query_text", "event_id", "type", "content", "score"), reranker)
-    packed = bd.pack_retrieved(pool, F.lit(int(total * settings.retrieved_ratio)))
+    if settings.top_k:
+        pool = rt.top_k(pool, settings.top_k, by="score").drop("rank")
+    packed = bd.pack_retrieved(pool, int(total * settings.retrieved_ratio))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "event_id"))
     chunks = packed.select(F.col("query_id").alias("session_id"), place.alias("pos"), "chunk", F.col("chunk_tokens").alias("cost"))
     chunks = gr.cut(chunks)
     state = F.concat(F.lit("[EXECUTION STATE]\n"), F.to_json(F.struct(*[c for c in states.columns if c != "session_id"])))
-    system = states.join(long, "session_id", "left_semi").select("session_id", F.lit(0).alias("pos"), state.alias("block"))
-    fixed = system.select("session_id", ms.tokens(F.col("block")).alias("cost")).unionByName(asked.select("session_id", bd.message_cost(F.col("message")).alias("cost")))
+    blocks_of = [st.compress_state(states, S.STATE_CAP_TOKENS).select("session_id", F.lit(0).alias("pos"), state.alias("block"))]
+    if extras is not None:  # B11-B13: hint, goal trail, checkpoint: session_id, pos from 1, block
+        blocks_of.append(extras.select("session_id", F.col("pos").cast("int").alias("pos"), "block"))
+    system = reduce(DataFrame.unionByName, blocks_of).filter("block IS NOT NULL").join(long, "session_id", "left_semi")
+    system = gr.cut(system)
+    fixed = system.groupBy("session_id").agg(F.sum(ms.tokens(F.col("block"))).alias("cost")).unionByName(asked.select("session_id", bd.message_cost(F.col("message")).alias("cost")))
     used = fixed.select("session_id", "cost").unionByName(chunks.select("session_id", "cost")).groupBy("session_id").agg(F.sum("cost").alias("other"))
     tail = bd.pack_tail(talk.join(used, "session_id", "left"), int(total * settings.tail_ratio), total, settings.tail_floor, F.coalesce("other", F.lit(0)))
     tail = gr.cut(tail)

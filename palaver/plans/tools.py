@@ -19,6 +19,27 @@ from palaver.operators import timeline as tl
 ANSWER_ROWS = 1000
 
 
+#: What each tool does and takes: name -> (description, argument -> (JSON type, description)).
+TOOLS = {
+    "context_search": ("Search past events by meaning.", {"query": ("string", "what to look for"), "k": ("integer", "hits at most"), "segment": ("string", "a segment id, or all"), "session": ("string", "current, all or a session id")}),
+    "fetch_event": ("Read one event.", {"event_id": ("string", "the event"), "full": ("boolean", "without clipping")}),
+    "expand_context": ("Events around one: over the dependency graph or of a segment.", {"event_id": ("string", "the event"), "mode": ("string", "graph or segment"), "depth": ("integer", "steps, 5 at most"), "segment_id": ("string", "a segment")}),
+    "list_segments": ("The latest segments of the session.", {"limit": ("integer", "segments at most")}),
+    "get_goal_history": ("The latest goals of the session.", {"limit": ("integer", "snapshots at most")}),
+    "recall_recent": ("The last turns word by word.", {"turns": ("integer", "1 to 50")}),
+    "get_execution_state": ("The session's state and statistics.", {}),
+}
+REQUIRED = {"context_search": ["query"], "fetch_event": ["event_id"]}
+
+
+def tool_schemas() -> list[dict]:
+    """The tools as JSON schemas for a model's function calls."""
+    return [
+        {"name": name, "description": text, "parameters": {"type": "object", "properties": {a: {"type": t, "description": d} for a, (t, d) in args.items()}, "required": REQUIRED.get(name, [])}}
+        for name, (text, args) in TOOLS.items()
+    ]
+
+
 @dataclass
 class MemoryTools:
     """events, vectors, history, lineage and edges in the engine's data model; one bound session."""
@@ -67,13 +88,16 @@ class MemoryTools:
         return row if full else row.withColumns({"truncated": n > 4000, "original_chars": n, "content": F.left("content", F.lit(4000))})
 
     def expand_context(self, event_id=None, mode: str = "graph", depth: int = 2, segment_id: str | None = None) -> DataFrame:
-        """Graph neighbours with snippets, or a segment's skeleton."""
+        """Graph neighbours with snippets, or the skeleton of a segment, given or that of the event."""
         if mode == "segment":
+            if segment_id is None:
+                its = self.events.filter(F.col("event_id") == event_id).select("session_id", "segment_id")
+                return tl.segment_skeleton(self.events.join(F.broadcast(its), ["session_id", "segment_id"], "left_semi"))  # of one event
             return tl.segment_skeleton(self.events.filter((F.col("session_id") == self.session_id) & (F.col("segment_id") == segment_id)))
         edges = self.edges if self.edges is not None else gr.derive_edges(self.events)
         seeds = self.events.filter(F.col("event_id") == event_id).select(F.col("event_id").alias("seed"), F.col("event_id").alias("node"))
-        near = gr.neighbors(seeds, edges, depth)
-        return near.join(self.events, near["node"] == self.events["event_id"]).select("event_id", "depth", "type", clip(F.col("content"), 200).alias("snippet"))
+        near = gr.with_hops(gr.neighbors(seeds, edges, depth), edges)
+        return near.join(self.events, near["node"] == self.events["event_id"]).select("event_id", "depth", "edge_type", "ts", "type", clip(F.col("content"), 200).alias("snippet"))
 
     def list_segments(self, limit: int = 10) -> DataFrame:
         """B18."""
@@ -102,15 +126,16 @@ class MemoryTools:
 
     def handle(self, name: str, args: dict | None = None) -> str:
         """A tool by name; single rows gain an estimate of their tokens, lists stay lists."""
-        tools = {"context_search", "fetch_event", "expand_context", "list_segments", "get_goal_history", "recall_recent", "get_execution_state"}
-        if name not in tools:
+        if name not in TOOLS:
             return json.dumps({"error": f"unknown tool: {name}"})
         try:
             frame = getattr(self, name)(**(args or {}))
         except (TypeError, ValueError) as problem:
             return json.dumps({"error": str(problem), "received": sorted(args or {})})
-        rows = [json.loads(r[0]) for r in frame.select(F.to_json(F.struct("*"))).limit(ANSWER_ROWS).collect()]
+        rows = [json.loads(r[0]) for r in frame.select(F.to_json(F.struct("*"))).limit(ANSWER_ROWS + 1).collect()]
         if name not in ("fetch_event", "get_execution_state"):
+            if len(rows) > ANSWER_ROWS:
+                return json.dumps({"rows": rows[:ANSWER_ROWS], "truncated": True, "hint": "narrow the request, or read the DataFrame of this tool"}, ensure_ascii=False)
             return json.dumps(rows, ensure_ascii=False)
         answer = rows[0] if rows else {"error": "not found"}
         answer["_estimated_tokens"] = max(1, len(json.dumps(answer, ensure_ascii=False)) // 4)

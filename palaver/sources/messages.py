@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palaver import schemas as S
+
 
 def tokens(text: Column) -> Column:
     """A token is four characters."""
@@ -18,9 +20,12 @@ def event_id(*parts: Column) -> Column:
 
 
 def json_value(text: Column) -> Column:
-    """A string as a JSON literal."""
+    """F16: a string as a JSON literal in ASCII; other characters as the escapes of their UTF-16 units."""
     listed = F.to_json(F.array(text))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    literal = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    units = F.regexp_extract_all(F.hex(F.encode(literal, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    shown = F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(literal.rlike(r"[^\x00-\x7F]"), F.array_join(shown, "")).otherwise(literal)
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
@@ -108,11 +113,18 @@ def write_trace(trace: DataFrame, path: str, rows_per_file: int = 100_000) -> No
     trace.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
+def read_trace(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """The trace, unreadable lines left out; *last*: the newest so many turns."""
+    rows = spark.read.schema(S.TRACE).option("mode", "DROPMALFORMED").json(path)
+    return rows.orderBy(F.col("timestamp").desc(), "turn_id").limit(last) if last else rows
+
+
 def stale_vectors(vectors: DataFrame, model: str) -> DataFrame:
     """Models other than the target, with their vectors' count."""
     return vectors.filter(F.col("embedding_model_id") != model).groupBy("embedding_model_id").agg(F.count(F.lit(1)).alias("stale"))
 
 
-def reindex_rows(events: DataFrame) -> DataFrame:
-    """What is embedded again: events with more than 5 characters of text."""
-    return events.filter(F.length(F.trim("content")) > 5)
+def reindex_rows(events: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """What is embedded again: events with text whose vector is of another model, or that have none."""
+    current = vectors.filter(F.col("embedding_model_id") == model).select("event_id")
+    return events.filter(F.length(F.trim("content")) > 5).join(current, "event_id", "left_anti")

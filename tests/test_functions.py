@@ -333,6 +333,10 @@ def test_tools(spark):
     assert "error" in json.loads(tools.handle("context_search", {"query": " "})) and "error" in json.loads(tools.handle("nope"))
     one = json.loads(tools.handle("fetch_event", {"event_id": 5}))
     assert one["event_id"] == 5 and one["_estimated_tokens"] >= 1
+    from palaver.plans.tools import TOOLS, tool_schemas
+
+    assert [t["name"] for t in tool_schemas()] == list(TOOLS) and all(callable(getattr(tools, n)) for n in TOOLS)
+    assert json.loads(tools.handle("expand_context", {"event_id": 5, "mode": "segment"}))
     for name, args in (("list_segments", {"limit": 2}), ("get_goal_history", {"limit": 2}), ("recall_recent", {"turns": 2}), ("get_execution_state", {}), ("expand_context", {"event_id": 5, "depth": 9})):
         assert "error" not in tools.handle(name, args)
 
@@ -341,7 +345,7 @@ def test_trace_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("t1", "s", 3)], "turn_id string, session_id string, candidates int")
     for _ in range(2):
         ms.write_trace(df, str(tmp_path / "trace"))
-    assert spark.read.schema(S.TRACE).json(str(tmp_path / "trace")).filter("candidates = 3").count() == 2
+    assert ms.read_trace(spark, str(tmp_path / "trace")).filter("candidates = 3").count() == 2 and ms.read_trace(spark, str(tmp_path / "trace"), 1).count() == 1
 
 
 def test_garbage_collection(spark):
@@ -384,6 +388,48 @@ def test_assembly_stays_in_budget_and_keeps_short_sessions(spark):
         assert long[1].content.startswith("[RETRIEVED CONTEXT]") and sum(len(r.content) // 4 + 4 for r in long) <= 1200 + 100
 
 
+def test_calls_are_written_in_ascii(spark):
+    said = {"name": "sök", "arguments": '{"q": "й😀\\n"}'}
+    calls = spark.createDataFrame([("s", 0, "assistant", None, None, [("1", (said["name"], said["arguments"]))])], S.MESSAGES)
+    assert ms.parse_messages(calls).first().content == json.dumps(said)
+
+
+def test_edges_are_added_once(spark):
+    edges = spark.createDataFrame([(1, 2, "tool_output")], "from_event_id int, to_event_id int, edge_type string")
+    more = spark.createDataFrame([(1, 2, "decision"), (2, 3, "decision"), (2, 3, "follows"), (3, 4, "odd")], "from_event_id int, to_event_id int, edge_type string")
+    assert sorted((r.from_event_id, r.to_event_id) for r in gr.add_edges(edges, more).collect()) == [(1, 2), (2, 3)]
+
+
+def test_neighbours_know_their_hop(spark):
+    edges = spark.createDataFrame([(1, 2, "tool_output", "s"), (2, 3, "decision", "s"), (1, 3, "follows", "t")], "from_event_id int, to_event_id int, edge_type string, session_id string")
+    seeds = spark.createDataFrame([(1, 1)], "seed int, node int")
+    got = {(r.node, r.depth, r.edge_type, r.edge_session) for r in gr.with_hops(gr.neighbors(seeds, edges, 2), edges).collect()}
+    assert got == {(2, 1, "tool_output", "s"), (3, 1, "follows", "t")}
+
+
+def test_json_is_recovered_where_the_parser_fails(spark):
+    texts = ['{"intent_label": "a"}', '```json\n{"intent_label": "b"}\n```', '{"intent_label": "c", "topic_tags": ["x", "y', "nothing", None, "[1]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("o", enr.parse_json_text(F.col("t")))
+    assert [r.l for r in df.orderBy("i").select(F.get_json_object("o", "$.intent_label").alias("l")).collect()] == ["a", "b", "c", None, None, None]
+
+
+def test_large_states_are_compressed(spark):
+    rows = [("big", "First. " + "x" * 5000 + ". Last", "s", [str(i) for i in range(9)], ("d", "l", ["t"])), ("small", "a goal", "s", ["1"] * 9, ("d", "l", ["t"]))]
+    df = spark.createDataFrame(rows, "session_id string, goal string, current_step string, active_entities array<string>, enrichment struct<decision_summary:string,intent_label:string,topic_tags:array<string>>")
+    big, small = st.compress_state(df, S.STATE_CAP_TOKENS).orderBy("session_id").collect()
+    assert (big.goal, len(big.active_entities), big.enrichment) == ("First. ... Last", 5, None) and len(small.active_entities) == 9 and small.enrichment.intent_label == "l"
+
+
+def test_stream_forgets_repeats(spark, tmp_path):
+    from palaver.streaming import pipelines as pipes
+
+    rows = spark.createDataFrame([(i % 10, i % 10) for i in range(40)], "event_id long, at long").select("event_id", F.timestamp_seconds(F.col("at") + 100_000).alias("ts"))
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = pipes.deduplicated(pipes.read_events(spark, str(tmp_path / "in"), rows.schema, files=1))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
+
+
 def test_state_order(spark):
     folder = "/root/testdata/sf0.001"
     ev = fx.event_log(spark, folder)
