@@ -6,13 +6,11 @@ last one returns the mix.  Stage results are written as Parquet to the shared ch
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from palaver.llm.common import ensure_checkpoint_dir, fresh, load, materialize
+from palaver.llm.common import fresh, load, materialize, remove_path, shared_path
 from palaver.llm.queries import third
 
 #: Near-duplicate stages look at five words.  Fingerprints that differ in 4 of 64 bits are linked, and all texts whose
@@ -85,14 +83,13 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    """The mix of all documents; a stage's table goes when the next one is written."""
+    folder = shared_path(spark, "pipeline")
+    docs, held = load(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if held:
+            remove_path(spark, held)
+        docs, held = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
