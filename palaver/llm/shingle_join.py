@@ -2,17 +2,21 @@
 
 Prefix filter: in any fixed order of all shingles, two sets that are t alike share one of the first n - ceil(t n) + 1
 of each.  The order puts shingles that a sample finds common last, so that few texts meet under one shingle; the order
-decides the cost alone, never the result.  Texts that meet are candidates, and every candidate is verified: bitmaps
-rule out most, the whole sets decide the rest.
-
-Members of a bucket (the texts that hold one shingle in their prefix) are first compared with its smallest fingerprint
-only, which is the same one in most buckets of a group of near copies.  What these links and the given ones join needs
-no more comparing, so a bucket of near copies costs as many comparisons as it has members.  Only in buckets whose
-members are still apart are they compared pair by pair across the groups.
+decides the cost alone, never the result.  Texts that meet are candidates if their sizes and the places of the shingle in
+both allow (what follows the first shared one bounds the overlap), and every candidate is verified: bitmaps rule out
+most, the whole sets decide the rest.
+
+Members of a bucket (the texts that hold one shingle in their prefix) are first compared with one of them only, its
+centre: the one with the smallest share of shingles that are not common.  In a group of edited copies that is the text
+with the fewest edits of its own, as a rule what they were copied from, and it is the same one in most of the group's
+buckets.  What these links and the given ones join needs no more comparing, so a bucket of near copies costs as many
+comparisons as it has members.  Only in buckets whose members are still apart are they compared pair by pair across the
+groups, and there classes of one size and place meet first: texts that share a common passage and little else form a
+bucket in which no two classes allow a link, and no pair of them is made.
 
 A bucket that the sample finds large is split: its members are dealt to parts by fingerprint, compared with their
-part's smallest one, and the parts' smallest ones with that of the bucket.  Copies of a text are dropped where they
-are read, task by task, and again in the bucket.
+part's centre, and the parts' centres with that of the bucket.  Copies of a text are dropped where they are read, task
+by task, and again in the bucket.
 
 Texts are told by fingerprint, as in :mod:`palaver.llm.simhash`: texts with one fingerprint are linked already.
 Texts without words are in no bucket.
@@ -108,7 +112,10 @@ def common_shingles(texts: DataFrame, size: int, rows: int) -> tuple[np.ndarray,
 
 
 def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, part, fp): the first shingles of each text with its fingerprint; part is 0 but in large buckets."""
+    """(token, part, fp, rare, n, p): the first shingles of each text with its fingerprint; part is 0 but in large buckets.
+
+    rare: how many of a thousand shingles of the text are not common; n: its shingles; p: the place of this one, from 1.
+    """
     held = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +126,7 @@ def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndar
         def flush():
             columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["token", "part", "fp"])
+            return pa.RecordBatch.from_arrays(columns, names=["token", "part", "fp", "rare", "n", "p"])
 
         waiting = 0
         for b in batches:
@@ -137,7 +144,8 @@ def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndar
                     rank = np.where(met, counts[at], 0)
                     part = np.where(met, ((fp * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % np.maximum(parts[at], 1), 0).astype(np.int32)
                 first = np.lexsort((tokens, rank))[: prefix_length(len(tokens), threshold)]
-                out.append((tokens[first], part[first], np.full(len(first), fp, np.int64)))
+                rare = int((rank == 0).sum()) * 1000 // len(tokens)
+                out.append((tokens[first], part[first], np.full(len(first), fp, np.int64), *(np.full(len(first), x, np.int32) for x in (rare, len(tokens))), np.arange(1, len(first) + 1, dtype=np.int32)))
                 waiting += len(first)
                 if waiting >= ENTRIES:
                     yield flush()
@@ -145,32 +153,44 @@ def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndar
         if out:
             yield flush()
 
-    return texts.select("text_key", "text").mapInArrow(run, "token long, part int, fp long")
+    return texts.select("text_key", "text").mapInArrow(run, "token long, part int, fp long, rare int, n int, p int")
 
 
 def shared_buckets(all_entries: DataFrame, split: bool) -> DataFrame:
-    """(token, part, fp, lo): members of buckets of several texts, each once, and the smallest one of their part.
+    """(token, fp, rare, n, p, mid): members of buckets of several texts, each once, and the centre (rare, fp, n, p) of their part.
 
     Where buckets are split, all their members stay, as they may meet those of other parts.
     """
     bucket = W.partitionBy("token", "part")
-    ordered = bucket.orderBy("fp")
-    rows = all_entries.withColumns({"lo": F.min("fp").over(bucket), "hi": F.max("fp").over(bucket), "before": F.lag("fp").over(ordered)})
+    ordered = bucket.orderBy("rare", "fp")
+    rows = all_entries.withColumns(
+        {"mid": F.min(F.struct("rare", "fp", "n", "p")).over(bucket), "lo": F.min("fp").over(bucket), "hi": F.max("fp").over(bucket), "before": F.lag("fp").over(ordered)}
+    )
     several = F.col("lo") < F.col("hi")
     if split:
         several = several | (F.col("part") > 0)
-    return rows.filter(several & (F.col("before").isNull() | (F.col("before") != F.col("fp")))).select("token", "part", "fp", "lo")
+    return rows.filter(several & (F.col("before").isNull() | (F.col("before") != F.col("fp")))).select("token", "fp", "rare", "n", "p", "mid")
+
 
+def allowed(n: str, p: str, m: str, q: str, threshold: float):
+    """Sets of n and m shingles whose first shared one is at places p and q may be *threshold* alike."""
+    sizes = F.least(n, m) >= F.greatest(n, m) * threshold - EPS
+    left = 1 + F.least(F.col(n) - F.col(p), F.col(m) - F.col(q))
+    return sizes & (left >= (F.col(n) + F.col(m)) * (threshold / (1 + threshold)) - EPS)
 
-def star_pairs(shared: DataFrame, split: bool) -> DataFrame:
-    """(a, b), a > b: members with the smallest of their part, and those with that of the bucket."""
-    pairs = shared.filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+
+def stars(shared: DataFrame, split: bool, threshold: float) -> DataFrame:
+    """(token, a, b, may): members with the centre of their part, and these with that of the bucket; may: they can be alike."""
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        rows = rows.select("token", "fp", "n", "p", F.col("mid.fp").alias("fq"), F.col("mid.n").alias("m"), F.col("mid.p").alias("q")).filter("fp <> fq")
+        return rows.select("token", F.greatest("fp", "fq").alias("a"), F.least("fp", "fq").alias("b"), allowed("n", "p", "m", "q", threshold).alias("may"))
+
+    out = pairs(shared)
     if split:
-        parts = shared.select("token", "part", "lo").distinct()
-        pairs = pairs.unionByName(
-            parts.withColumn("b", F.min("lo").over(W.partitionBy("token"))).filter("lo <> b").select(F.col("lo").alias("a"), "b")
-        )
-    return pairs.distinct()
+        top = shared.filter("fp = mid.fp").withColumn("mid", F.min(F.struct("rare", "fp", "n", "p")).over(W.partitionBy("token")))
+        out = out.unionByName(pairs(top))
+    return out
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -268,23 +288,24 @@ def similar_links(texts: DataFrame, keys: DataFrame, size: int, threshold: float
     common = common_shingles(texts, size, texts.count())
     split = bool(len(common[1]) and common[1].max() > PART_MEMBERS)
     shared = scratch.write(shared_buckets(entries(texts, size, threshold, common), split))
-    first = scratch.write(star_pairs(shared, split))
-    links = verified(first, texts, keys, size, threshold, scratch)
+    star = stars(shared, split, threshold)
+    first = scratch.write(star.groupBy("a", "b").agg(F.bool_or("may").alias("may")))
+    links = verified(first.filter("may").select("a", "b"), texts, keys, size, threshold, scratch)
     labels = scratch.write(simhash.components(given.select("a", "b").unionByName(links).distinct()))
     root = lambda fp, name: labels.select(F.col("node").alias(fp), F.col("root").alias(name))
     rooted = first.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
-    apart = scratch.write(rooted.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    apart = scratch.write(rooted.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "may"))
     if apart.isEmpty():
         return links
-    open_ = shared.select("token", F.col("fp").alias("a"), F.col("lo").alias("b")).join(apart, ["a", "b"], "left_semi").select("token")
-    if split:
-        ends = shared.select("token", F.col("lo").alias("a")).distinct().withColumn("b", F.min("a").over(W.partitionBy("token")))
-        open_ = open_.unionByName(ends.join(apart, ["a", "b"], "left_semi").select("token"))
-    open_ = open_.distinct()
-    members = shared.select("token", "fp").join(open_, "token", "left_semi").join(root("fp", "r"), "fp", "left")
-    members = scratch.write(members.select("token", "fp", F.coalesce("r", "fp").alias("r")))
-    other = members.select("token", F.col("fp").alias("q"), F.col("r").alias("rq"))
-    met = members.join(other, "token").filter("r < rq")
-    rest = met.select(F.greatest("fp", "q").alias("a"), F.least("fp", "q").alias("b")).distinct()
-    rest = scratch.write(rest.join(apart, ["a", "b"], "left_anti"))
+    open_ = star.join(apart.select("a", "b"), ["a", "b"], "left_semi").select("token").distinct()
+    members = shared.select("token", "fp", "n", "p").join(open_, "token", "left_semi").join(root("fp", "r"), "fp", "left")
+    members = scratch.write(members.select("token", "fp", "n", "p", F.coalesce("r", "fp").alias("r")))
+    # classes of a bucket that allow a link, before any pair of members
+    one = members.select("token", "n", "p").distinct()
+    two = one.select("token", F.col("n").alias("m"), F.col("p").alias("q"))
+    classes = scratch.write(one.join(two, "token").filter(allowed("n", "p", "m", "q", threshold)))
+    other = members.select("token", F.col("fp").alias("fq"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("r").alias("rq"))
+    met = members.join(classes, ["token", "n", "p"]).join(other, ["token", "m", "q"]).filter("r < rq")
+    rest = met.select(F.greatest("fp", "fq").alias("a"), F.least("fp", "fq").alias("b")).distinct()
+    rest = scratch.write(rest.join(apart.filter("may").select("a", "b"), ["a", "b"], "left_anti"))
     return links.unionByName(verified(rest, texts, keys, size, threshold, scratch))
