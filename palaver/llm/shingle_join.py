@@ -112,7 +112,7 @@ def common_shingles(texts: DataFrame, size: int, rows: int) -> tuple[np.ndarray,
 
 
 def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, part, fp, rare, n, p): the first shingles of each text with its fingerprint; part is 0 but in large buckets.
+    """(token, part, fp, rare, n, p): the first shingles of each text with its fingerprint; large buckets have parts from 1, others part 0.
 
     rare: how many of a thousand shingles of the text are not common; n: its shingles; p: the place of this one, from 1.
     """
@@ -142,7 +142,7 @@ def entries(texts: DataFrame, size: int, threshold: float, common: tuple[np.ndar
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     met = known[at] == tokens
                     rank = np.where(met, counts[at], 0)
-                    part = np.where(met, ((fp * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % np.maximum(parts[at], 1), 0).astype(np.int32)
+                    part = np.where(met & (parts[at] > 1), 1 + (((fp * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> 40) % np.maximum(parts[at], 1), 0).astype(np.int32)
                 first = np.lexsort((tokens, rank))[: prefix_length(len(tokens), threshold)]
                 rare = int((rank == 0).sum()) * 1000 // len(tokens)
                 out.append((tokens[first], part[first], np.full(len(first), fp, np.int64), *(np.full(len(first), x, np.int32) for x in (rare, len(tokens))), np.arange(1, len(first) + 1, dtype=np.int32)))

@@ -102,8 +102,13 @@ def plain_similarity(a, b, size=5):
     return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
 
 
-def test_near_duplicate_stage_finds_all_pairs_of_similar_shingles(spark, sample):
+@pytest.mark.parametrize("members", [20_000, 2])
+def test_near_duplicate_stage_finds_all_pairs_of_similar_shingles(spark, sample, monkeypatch, members):
+    """Buckets whole, and split into parts of two."""
     import corpus_pipeline as cp
+    from palaver.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "PART_MEMBERS", members)
 
     rng, texts = random.Random(8), [r.text for r in sample.limit(60).collect()]
     for k in range(40):  # edited copies around the threshold, and a chain of edits
