@@ -172,7 +172,9 @@ def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]],
     The terms (some dozens) are broadcast and joined on the trigram; an alternative is met by a key that has all its
     trigrams, a clause by any alternative, a rule by all its clauses.
     """
-    terms = index.sparkSession.createDataFrame(query_terms(queries, each), "trigram string, kind string, clause int, alternative int, need int")
+    names = ("trigram", "kind", "clause", "alternative", "need")
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, term, strict=True)]) for term in query_terms(queries, each)])
+    terms = index.sparkSession.range(1).select(F.inline(rows))
     met = index.join(F.broadcast(terms), "trigram")
     alternatives = met.groupBy("key", "kind", "clause", "alternative").agg(F.countDistinct("trigram").alias("n"), F.first("need").alias("need")).filter("n = need")
     clauses = alternatives.groupBy("key", "kind").agg(F.countDistinct("clause").alias("n"))
