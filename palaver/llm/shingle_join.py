@@ -47,7 +47,7 @@ BROADCAST_KEYS = 500_000
 #: Bits of the bitmaps that rule out pairs.
 PARITY_BITS = 1024
 #: Digests of texts that a task remembers to drop copies, and entries that it hands on together.
-SEEN_TEXTS, ENTRIES = 200_000, 200_000
+SEEN_TEXTS, ENTRIES = 50_000, 100_000
 EPS = 1e-9
 
 
@@ -228,13 +228,12 @@ def sets_of(texts: DataFrame, size: int) -> DataFrame:
 
 
 def within(pairs: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose columns x and y satisfy *test*, without these columns."""
+    """The pairs (a, b) whose other columns satisfy *test*, without these columns; bytes are read in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [n for n in b.schema.names if n not in ("a", "b")]
-            columns = [b.column(n).to_pylist() for n in names]
-            keep = pa.array([test(dict(zip(names, row, strict=True))) for row in zip(*columns, strict=True)], pa.bool_())
+            rest = {n: b.column(n) for n in b.schema.names if n not in ("a", "b")}
+            keep = pa.array([test({n: c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for n, c in rest.items()}) for i in range(b.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(keep)
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -258,7 +257,7 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, thr
     most = (1 - threshold) / (1 + threshold)
 
     def may(r) -> bool:
-        apart = (int.from_bytes(r["x"], "big") ^ int.from_bytes(r["y"], "big")).bit_count()
+        apart = (int.from_bytes(r["x"].to_pybytes(), "big") ^ int.from_bytes(r["y"].to_pybytes(), "big")).bit_count()
         return apart <= (r["n_x"] + r["n_y"]) * most + EPS
 
     def alike(r) -> bool:
