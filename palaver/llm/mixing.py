@@ -31,6 +31,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
 SEED = 17
+#: Sources up to which what is known of them is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 ROWS_PER_BUCKET = 20_000
 
 
@@ -89,6 +91,11 @@ def sized(docs: DataFrame, seed: int, id_col: str = "doc_id") -> dict[str, Colum
     return {"doc_id": F.col(id_col), "source": F.col("source").cast("string"), "size": word_count(text), "u": uniform(seed, F.col(id_col), text)}
 
 
+def per_source(table: DataFrame) -> DataFrame:
+    """A written table of one row a source, to be joined: broadcast if it is small, so that no document moves."""
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
 def source_cuts(rows: DataFrame, weights: tuple, share: float, most: float, rows_per_bucket: int) -> DataFrame:
     """(source, source_size, target, whole, rest, width, edge, cut): how often documents of a source are taken.
 
@@ -99,8 +106,7 @@ def source_cuts(rows: DataFrame, weights: tuple, share: float, most: float, rows
     targets = source_targets(rows, weights, share, most).withColumn("whole", F.floor(expected + F.lit(1e-12)))
     targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     targets = materialize(targets.withColumn("width", F.least(F.lit(1.0), F.lit(4.0 * rows_per_bucket) / F.col("source_rows"))))
-    # one row per source, joined by the planner as its measured size allows
-    ranked = placed(rows.filter("size > 0").withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(F.col("source"))))
+    ranked = placed(rows.filter("size > 0").withColumnRenamed("source", "of").join(per_source(targets), F.col("of").eqNullSafe(F.col("source"))))
     totals = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     reached = totals.withColumn("before", before).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
@@ -123,7 +129,7 @@ def placed(rows: DataFrame) -> DataFrame:
 
 def with_copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """The rows (with size, u, source and doc_id) joined with their source's cut, and copies, taken and order_rank."""
-    held = cuts.withColumnRenamed("source", "c_source")
+    held = per_source(cuts.withColumnRenamed("source", "c_source"))
     joined = placed(rows.join(held, F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source"))
     key = F.struct("order_rank", "doc_id", "size")
     in_edge = (F.col("bucket") == F.col("edge")) & F.coalesce(key <= F.col("cut"), F.lit(False))
