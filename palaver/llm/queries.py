@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, secret_scan, simhash, toxicity
+from palaver.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, packing, secret_scan, simhash, toxicity
 from palaver.llm.common import load
 
 
@@ -256,6 +257,13 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 """
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens",
+    )
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -269,6 +277,7 @@ def queries() -> dict:
         "op9_html_extraction": op9_html_extraction,
         "op10_simhash": op10_simhash,
         "op11_filter_audit": op11_filter_audit,
+        "op12_packing": op12_packing,
     }
 
 
