@@ -48,7 +48,7 @@ OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequen
 #: The splitting rule and the only special token of the tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where one of these stands, a blank may belong to a run of white space: the text is tokenised whole.
-RUNS = re.compile("  | \n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+RUNS = re.compile("  | \n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 SENTENCE_ENDS = tuple(s.encode() for s in (".", "!", "?", "…", "。", "！", "？"))
 
 

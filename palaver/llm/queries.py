@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, packing, secret_scan, simhash, toxicity
+from palaver.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, license_scan, line_dedup, mixing, packing, secret_scan, simhash, spelling, toxicity
 from palaver.llm.common import load
 
 
@@ -264,6 +264,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(load(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -278,6 +282,7 @@ def queries() -> dict:
         "op10_simhash": op10_simhash,
         "op11_filter_audit": op11_filter_audit,
         "op12_packing": op12_packing,
+        "op13_spelling": op13_spelling,
     }
 
 
