@@ -15,8 +15,14 @@ same words count once).  From these counts the wrapper says what each place is:
   an advert, a menu, a notice, a form, a sidebar, a footer or comments (``INSIDE_WORDS``).
 * menu: more than half of the place's varying characters stand in links, and it is outside the story, which is the
   deepest container that holds more than half of the varying characters outside links.
-* outside: where the wrapper has regions (``REGION_TAGS``, ``REGION_WORDS``) with varying text, all places beside them;
-  else no place is, and the whole page less template, frame and menus is its main text.
+* outside: where the wrapper has regions (``REGION_TAGS``, ``REGION_WORDS``) with varying text, all places beside them; else,
+  from ``CONSTANT_PAGES`` pages on, all places beside the story and the headings around it, on pages of which the story holds
+  a third of the text or more; else no place is, and the whole page less template, frame and menus is its main text.
+
+Names (semantic tags, classes, ids, roles) correct this evidence and are not needed for it: with ``names=False`` they are not
+interpreted at all, only compared when pages are aligned, and scripts, styles, forms and heads still go, as no text of the page.
+On the 2,500 pages of sf0.1 (60 hosts) that gives the same text for 99.3 %, on the 250 of sf0.01 (58 hosts) for 89 %: four pages of a
+host tell less, and names decide there.
 
 Pages are then aligned once more, and the texts of content places come out in page order.  Nodes that the shape lacks are
 content where their surroundings are, and judged by tag and words alone.
@@ -96,17 +102,27 @@ _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Tags that name a role of what they hold; without names each is a container like any other.
+NAMING_TAGS = frozenset("article main nav footer aside header section menu dialog".split())
+
+
 class Node:
     __slots__ = ("tag", "words", "label", "children", "shape", "regions")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children, self.shape, self.regions = tag, [], None, None
-        names = " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)) if "=" in attrs else ""
-        self.words = frozenset(w.lower() for w in _WORDS.findall(names)) | {x.lower() for x in names.split() if x.isalpha()} if names else frozenset()
+        said = " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)) if "=" in attrs else ""
+        self.words = frozenset(w.lower() for w in _WORDS.findall(said)) | {x.lower() for x in said.split() if x.isalpha()} if said else frozenset()
         self.label = f"{tag} {' '.join(sorted(self.words))}" if self.words else tag
 
+    def nameless(self) -> None:
+        """Keep the label, which pages are aligned by, and forget what it says."""
+        self.words = frozenset()
+        if self.tag in NAMING_TAGS:
+            self.tag = "div"
 
-def parse(text: str | None) -> Node:
+
+def parse(text: str | None, names: bool = True) -> Node:
     """A tree of nodes; children are nodes and decoded strings."""
     text = text or ""
     root = Node("html")
@@ -153,6 +169,11 @@ def parse(text: str | None) -> Node:
         elif name not in VOID and not m["attrs"].rstrip().endswith("/"):
             stack.append(node)
     say(text[at:])
+    todo = [] if names else [root]
+    while todo:
+        node = todo.pop()
+        node.nameless()
+        todo += [c for c in node.children if isinstance(c, Node)]
     return root
 
 
@@ -308,12 +329,13 @@ class Wrapper:
         self.template: dict[int, set[int]] = {}
         for place, mark in template:
             self.template.setdefault(place, set()).add(mark)
-        kinds = kinds or {}
-        self.regions, self.menus = frozenset(kinds.get("regions", ())), frozenset(kinds.get("menus", ()))
+        self.kinds = kinds or {}
+        self.regions, self.menus = frozenset(self.kinds.get("regions", ())), frozenset(self.kinds.get("menus", ()))
+        self.story, self.names = self.kinds.get("story"), self.kinds.get("names", True)
 
     def to_json(self) -> str:
         marks = [(p, m) for p, ms in sorted(self.template.items()) for m in sorted(ms)]
-        return json.dumps([self.labels, self.parents, marks, {"regions": sorted(self.regions), "menus": sorted(self.menus)}])
+        return json.dumps([self.labels, self.parents, marks, self.kinds])
 
     @staticmethod
     def from_json(text: str) -> Wrapper:
@@ -328,19 +350,19 @@ class Wrapper:
             todo += [(mine.children[i], its.children[j]) for i, j in align(mine.children, its.children, memo)]
 
 
-def induce(pages: list[str | None]) -> Wrapper | None:
+def induce(pages: list[str | None], names: bool = True) -> Wrapper | None:
     """The shape of some pages of one host; pages with the same words count once."""
     merged, seen, memo = None, set(), {}
     held = []  # slots stay while their identity is a key
     for p in pages:
-        root = parse(p)
+        root = parse(p, names)
         words = tuple(extract_blocks(root, None))
         if words not in seen:
             seen.add(words)
             tree = slot_tree([root])
             held.append((tree, merged))
             merged = tree if merged is None else merge(merged, tree, memo)
-    return merged and Wrapper(*flatten(merged))
+    return merged and Wrapper(*flatten(merged), kinds={"names": names})
 
 
 # -- what the places are --------------------------------------------------------------------------
@@ -374,7 +396,7 @@ def line_text(node: Node) -> tuple[str, int]:
 
 def page_marks(html: str | None, wrapper: Wrapper) -> tuple[int, list[tuple[int, int | None, int, int]]]:
     """A mark of the page's words, and (place, mark of a text, its characters, those in links), each once; (place, None, 0, 0) for the place."""
-    root = parse(html)
+    root = parse(html, wrapper.names)
     words = text_mark("\n".join(extract_blocks(root, None)))
     found: dict[tuple[int, int | None], tuple[int, int]] = {}
     for place, nodes in wrapper.aligned(root):
@@ -387,12 +409,14 @@ def page_marks(html: str | None, wrapper: Wrapper) -> tuple[int, list[tuple[int,
     return words, [(p, m, *n) for (p, m), n in found.items()]
 
 
-def classify(wrapper: Wrapper, template: list[tuple[int, int]], varying: dict[int, tuple[int, int]]) -> Wrapper:
-    """The wrapper with its template texts, regions and menus; *varying*: characters of other texts by place, and those in links."""
+def classify(wrapper: Wrapper, template: list[tuple[int, int]], varying: dict[int, tuple[int, int]], pages: int = 0) -> Wrapper:
+    """The wrapper with its template texts, regions, story and menus; *varying*: characters of other texts by place, and those in links; *pages*: how many the host has."""
     n = len(wrapper.labels)
     nodes = [Node(x.partition(" ")[0]) for x in wrapper.labels]
     for node, label in zip(nodes, wrapper.labels, strict=True):
         node.words = frozenset(label.split()[1:])
+        if not wrapper.names:
+            node.nameless()
     for place in range(1, n):
         nodes[wrapper.parents[place]].children.append(nodes[place])
     linked, open_, inside = [False] * n, [True] * n, [False] * n
@@ -430,7 +454,11 @@ def classify(wrapper: Wrapper, template: list[tuple[int, int]], varying: dict[in
         if block and place not in around and not within[place] and story and (all_[place] - plain[place]) * 2 > all_[place]:
             menus.append(place)
     regions = [r for r in regions if all_[r]]
-    return Wrapper(wrapper.labels, wrapper.parents, template, {"regions": regions, "menus": menus})
+    up = wrapper.parents[story]
+    while story and up > 0 and nodes[up].tag not in FRAME and not any(nodes[c.place].tag in CONTAINERS for c in wrapper.slots[up].children if c.place != story):
+        story, up = up, wrapper.parents[up]  # headings and the like beside it
+    found = story if story and not regions and pages >= CONSTANT_PAGES else None
+    return Wrapper(wrapper.labels, wrapper.parents, template, {"regions": sorted(regions), "menus": sorted(menus), "story": found, "names": wrapper.names})
 
 
 # -- extraction -----------------------------------------------------------------------------------
@@ -449,7 +477,8 @@ def extract_blocks(root: Node, wrapper: Wrapper | None) -> list[str]:
     template: dict[int, set[int]] = {}
     menus: set[int] = set()
     regions: list[Node] = []
-    if wrapper is not None and (wrapper.template or wrapper.menus or wrapper.regions):
+    story: list[Node] = []
+    if wrapper is not None and (wrapper.template or wrapper.menus or wrapper.regions or wrapper.story):
         for place, nodes in wrapper.aligned(root):
             if place in wrapper.template:
                 template.update((id(n), wrapper.template[place]) for n in nodes)
@@ -457,6 +486,10 @@ def extract_blocks(root: Node, wrapper: Wrapper | None) -> list[str]:
                 menus.update(map(id, nodes))
             if place in wrapper.regions:
                 regions += nodes
+            if place == wrapper.story:
+                story += nodes
+    if story and sum(map(characters, story)) * 3 >= characters(root):
+        regions = story
     regions = [r for r in regions if has_text(r)] or [r for r in find_regions(root) if has_text(r)] or [root]
     chosen = {id(r) for r in regions}
     blocks: list[str] = []
@@ -502,8 +535,20 @@ def has_text(node: Node) -> bool:
     return False
 
 
+def characters(node: Node) -> int:
+    """Characters of text outside links and what is no text of the page."""
+    total, todo = 0, [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                total += len(squeeze(c))
+            elif c.tag != "a" and not no_article_text(c, True):
+                todo.append(c)
+    return total
+
+
 def extract(html: str | None, wrapper: Wrapper | None = None) -> str:
-    return "\n".join(extract_blocks(parse(html), wrapper))
+    return "\n".join(extract_blocks(parse(html, wrapper is None or wrapper.names), wrapper))
 
 
 # -- operators ------------------------------------------------------------------------------------
@@ -517,7 +562,7 @@ def hosted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
 
 
-def induce_wrappers(pages: DataFrame, references: int = REFERENCES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def induce_wrappers(pages: DataFrame, references: int = REFERENCES, url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
     """(host, wrapper as JSON), the shape alone: at most *references* pages of a host meet in one task."""
     rows = hosted(pages, url_col, html_col).withColumn("hash", F.xxhash64("host", "html"))
     chosen = rows.select("host", "hash").groupBy("host", F.pmod("hash", F.lit(references)).alias("bucket")).agg(F.min("hash").alias("hash"))
@@ -527,7 +572,7 @@ def induce_wrappers(pages: DataFrame, references: int = REFERENCES, url_col: str
     def run(pdf):
         import pandas as pd
 
-        wrapper = induce(pdf.sort_values("hash")["html"].tolist())
+        wrapper = induce(pdf.sort_values("hash")["html"].tolist(), names)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [wrapper.to_json()]})
 
     return refs.groupBy("host").applyInPandas(run, "host string, wrapper string")
@@ -578,25 +623,25 @@ def fill_wrappers(wrappers: DataFrame, counted: DataFrame) -> DataFrame:
     constant = (F.col("pages") >= CONSTANT_PAGES) & (F.col("pages") > F.col("having") * TEMPLATE_SHARE)
     per = texts.groupBy("host", "place").agg(
         F.collect_list(F.when(constant, F.col("mark"))).alias("marks"), F.sum(F.when(~constant, F.col("pages") * F.col("chars")).otherwise(0)).alias("chars"),
-        F.sum(F.when(~constant, F.col("linked")).otherwise(0)).alias("linked"),
+        F.sum(F.when(~constant, F.col("linked")).otherwise(0)).alias("linked"), F.max("having").alias("having"),
     )
-    listed = per.groupBy("host").agg(F.collect_list(F.struct("place", "marks", "chars", "linked")).alias("places"))
+    listed = per.groupBy("host").agg(F.collect_list(F.struct("place", "marks", "chars", "linked")).alias("places"), F.max("having").alias("pages"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw, places in zip(b.column("wrapper").to_pylist(), b.column("places").to_pylist(), strict=True):
+            for raw, places, pages in zip(b.column("wrapper").to_pylist(), b.column("places").to_pylist(), b.column("pages").to_pylist(), strict=True):
                 template = [(p["place"], m) for p in places or [] for m in p["marks"]]
-                out.append(classify(Wrapper.from_json(raw), template, {p["place"]: (p["chars"], p["linked"]) for p in places or []}).to_json())
+                out.append(classify(Wrapper.from_json(raw), template, {p["place"]: (p["chars"], p["linked"]) for p in places or []}, pages or 0).to_json())
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
 
     return wrappers.join(listed, "host", "left").mapInArrow(fill, "host string, wrapper string")
 
 
-def extract_pages(pages: DataFrame, references: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text."""
+def extract_pages(pages: DataFrame, references: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """One row per page: page_id, url, text.  *names*: whether tags, classes, ids and roles that name a part of the page are interpreted."""
     spark = pages.sparkSession
-    shapes = materialize(induce_wrappers(pages, references, url_col, html_col))
+    shapes = materialize(induce_wrappers(pages, references, url_col, html_col, names))
     small = (shapes.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
     rows = hosted(pages, url_col, html_col)
     held = spark.sparkContext.broadcast(dict(shapes.toLocalIterator())) if small else None
