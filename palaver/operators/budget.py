@@ -58,13 +58,20 @@ def message_cost(text: Column) -> Column:
     return tokens(text) + S.MESSAGE_TOKENS
 
 
-def token_budgets(messages: DataFrame, total: int, system_tokens: int, overhead: int) -> DataFrame:
-    """Content tokens, the shares of the effective budget, and whether a session passes unchanged."""
+def token_budgets(messages: DataFrame, total: int, system_tokens: int, overhead: int, prompt_tokens: DataFrame | None = None) -> DataFrame:
+    """Content tokens, the shares of the effective budget, and whether a session passes unchanged.
+
+    *prompt_tokens*: session_id, current_tokens as the host has counted them; the larger number decides.
+    """
     eff = total - system_tokens
     per = messages.groupBy("session_id").agg(F.sum(message_cost(F.col("content"))).alias("content_tokens"))
+    known = F.col("content_tokens")
+    if prompt_tokens is not None:
+        per = per.join(prompt_tokens.groupBy("session_id").agg(F.max("current_tokens").alias("current_tokens")), "session_id", "left")
+        known = F.greatest(known, F.coalesce("current_tokens", F.lit(0)))
     return per.select(
         "session_id", "content_tokens", F.lit(eff).cast("long").alias("effective"), F.lit(int(eff * S.TAIL_RATIO)).cast("long").alias("tail_budget"),
-        F.lit(int(eff * S.RETRIEVED_RATIO)).cast("long").alias("retrieved_budget"), (F.col("content_tokens") + overhead < total).alias("pass_through"),
+        F.lit(int(eff * S.RETRIEVED_RATIO)).cast("long").alias("retrieved_budget"), (known + overhead < total).alias("pass_through"),
     )
 
 
@@ -152,9 +159,9 @@ def memory_hint(stats: DataFrame, threshold: int = S.TAIL_FLOOR, short: str = "M
 
 
 def dependency_usage(selected: DataFrame, n: int = 5) -> DataFrame:
-    """The share of the best n that the dependency graph raised."""
+    """The share of the best n that the dependency graph raised, and how many there were."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "event_id"))
-    return selected.withColumn("r", rank).filter(F.col("r") <= n).groupBy("query_id").agg(F.avg(F.when(F.coalesce("bonus", F.lit(0.0)) > 0, 1.0).otherwise(0.0)).alias("ratio"))
+    return selected.withColumn("r", rank).filter(F.col("r") <= n).groupBy("query_id").agg(F.avg(F.when(F.coalesce("bonus", F.lit(0.0)) > 0, 1.0).otherwise(0.0)).alias("ratio"), F.count(F.lit(1)).alias("n"))
 
 
 def hit_metric(hits: Column) -> Column:

@@ -8,43 +8,56 @@ bounded state per query and task before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver import schemas as S
-from palaver.functions.vector import cosine, l2_similarity
+from palaver.functions.vector import dot, l2_similarity, norm
 
 BROADCAST_QUERIES = 4096
 
 
+def measured(rows: DataFrame, vector: str, metric: str) -> DataFrame:
+    """Rows with their vector's norm as ``__<vector>``, so that no pair computes it again; for cosines those without one are left out."""
+    if metric != "cosine":
+        return rows.filter(F.col(vector).isNotNull())
+    return rows.withColumn(f"__{vector}", norm(F.col(vector))).filter(F.col(f"__{vector}") > 0)
+
+
+def similarity(query: str, vector: str, metric: str, query_norm: str, vector_norm: str) -> Column:
+    if metric != "cosine":
+        return l2_similarity(F.col(query), F.col(vector))
+    return dot(F.col(query), F.col(vector)) / (F.col(query_norm) * F.col(vector_norm))
+
+
 def score_pairs(queries: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
     """(query_id, query session, vector row, similarity) of a stated query set against all vectors.
 
-    Queries come in blocks of at most BROADCAST_QUERIES; each block is one array per task's row.
+    Queries come in blocks of at most BROADCAST_QUERIES; each block is one array per task's row.  For the best k alone,
+    :mod:`palaver.operators.knn` does not form all pairs.
     """
     blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    similarity = cosine if metric == "cosine" else l2_similarity
+    asked, given = measured(queries, "query", metric), measured(vectors, "embedding", metric)
     parts = []
     for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         held = mine.agg(F.collect_list(F.struct(*mine.columns)).alias("qs"))  # bounded by the block
-        rows = vectors.join(F.broadcast(held)).select("*", F.explode("qs").alias("q")).drop("qs")
-        parts.append(rows.withColumn("similarity", similarity(F.col("q.query"), F.col("embedding"))).drop("embedding"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        rows = given.join(F.broadcast(held)).select("*", F.explode("qs").alias("q")).drop("qs")
+        parts.append(rows.withColumn("similarity", similarity("q.query", "embedding", metric, "q.__query", "__embedding")).drop("embedding", "__embedding"))
+    out = reduce(DataFrame.unionByName, parts)
     rest = [c for c in queries.columns if c != "query"]
-    return out.select(*[F.col(f"q.{c}").alias(c) for c in rest], *[c for c in out.columns if c not in ("q",)]).filter("similarity IS NOT NULL")
+    return out.select(*[F.col(f"q.{c}").alias(c) for c in rest], *[c for c in out.columns if c != "q"])
 
 
 def score_in_sessions(queries: DataFrame, vectors: DataFrame, wanted: str, metric: str = "cosine") -> DataFrame:
     """V3, V4: as :func:`score_pairs`, of each query with the vectors of its own sessions alone (*wanted*: a column of queries)."""
-    mine = queries.withColumn("session_id", F.col(wanted)).filter("session_id IS NOT NULL")
+    mine = measured(queries.withColumn("session_id", F.col(wanted)).filter("session_id IS NOT NULL"), "query", metric)
     mine = F.broadcast(mine) if queries.count() <= BROADCAST_QUERIES else mine
-    similarity = cosine if metric == "cosine" else l2_similarity
-    rows = vectors.join(mine, "session_id").withColumn("similarity", similarity(F.col("query"), F.col("embedding")))
-    return rows.drop("query", "embedding").filter("similarity IS NOT NULL")
+    rows = measured(vectors, "embedding", metric).join(mine, "session_id")
+    return rows.withColumn("similarity", similarity("query", "embedding", metric, "__query", "__embedding")).drop("query", "embedding", "__query", "__embedding")
 
 
 def top_k(scored: DataFrame, k: int | None, by: str = "similarity", key: str = "query_id") -> DataFrame:

@@ -64,8 +64,11 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], at: str, ts:
     return done.select("__row.*", F.col(f"__best.{value}").alias(out))
 
 
-def segment_manifest(events: DataFrame, history: DataFrame, limit: int | None = None) -> DataFrame:
-    """Per segment its count, range, events by type, first and last user snippet, goal at its end."""
+def segment_manifest(events: DataFrame, history: DataFrame, limit: int | None = None, tags: DataFrame | None = None) -> DataFrame:
+    """Per segment its count, range, events by type, first and last user snippet, goal at its end.
+
+    *tags*: session_id and topic_tags as the session's enrichment has them; every segment of the session gets these.
+    """
     user, at = F.col("type") == "user_message", F.struct("ts", "event_id")
     base = events.groupBy("session_id", "segment_id").agg(
         F.count(F.lit(1)).alias("event_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
@@ -76,7 +79,8 @@ def segment_manifest(events: DataFrame, history: DataFrame, limit: int | None =
     rank = F.row_number().over(session().orderBy(F.col("last_ts").desc(), F.col("segment_id").desc()))
     out = with_goal.withColumn("rank", rank)
     out = out.filter(F.col("rank") <= limit) if limit else out
-    return out.withColumns({"first_user": F.left("first_user", F.lit(200)), "last_user": F.left("last_user", F.lit(200))})
+    out = out.withColumns({"first_user": F.left("first_user", F.lit(200)), "last_user": F.left("last_user", F.lit(200))})
+    return out if tags is None else out.join(tags.select("session_id", "topic_tags"), "session_id", "left")
 
 
 def segment_skeleton(events: DataFrame, most: int = 15, head: int = 5) -> DataFrame:

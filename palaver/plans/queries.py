@@ -15,7 +15,12 @@ from palaver.functions import enrichment as enr
 from palaver.functions import text as tx
 from palaver.functions import vector as vc
 from palaver.operators import budget as bd
+from palaver.operators import cascade as cs
+from palaver.operators import centroids as cn
+from palaver.operators import folds as fd
 from palaver.operators import graph as gr
+from palaver.operators import knn
+from palaver.operators import lineage as ln
 from palaver.operators import retrieval as rt
 from palaver.operators import sessions as ss
 from palaver.operators import state as st
@@ -23,6 +28,9 @@ from palaver.operators import timeline as tl
 from palaver.plans import assembly as asm
 from palaver.sources import fixtures as fx
 from palaver.sources import messages as ms
+from palaver.sources import reindex as rx
+from palaver.sources.buckets import BucketTable
+from palaver.streaming import ordered
 from palaver.streaming import pipelines as pipes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +107,24 @@ def knn_l2(spark, sf_dir):
     return found(rt.search(vector_queries(spark, sf_dir), fx.vectors(spark, sf_dir), "all", 10, "l2"))
 
 
+@query(ranked_sql("true", 10), VEC, PAIRS)
+def knn_pruned(spark, sf_dir):
+    """As knn_global, through an index of pivots."""
+    return found(knn.search(vector_queries(spark, sf_dir), knn.build_index(fx.vectors(spark, sf_dir)), 10))
+
+
+@query(ranked_sql("true", 10, "l2"), VEC, PAIRS)
+def knn_l2_pruned(spark, sf_dir):
+    """V2 through the index."""
+    return found(knn.search(vector_queries(spark, sf_dir), knn.build_index(fx.vectors(spark, sf_dir), "l2"), 10))
+
+
+@query(ranked_sql("session_id <> q_session", 3), VEC, PAIRS)
+def probe_pruned(spark, sf_dir):
+    """R9, J12 through the index: vectors of the query's own session do not count for its bound."""
+    return found(knn.search(vector_queries(spark, sf_dir), knn.build_index(fx.vectors(spark, sf_dir)), 3, others_only=True))
+
+
 @query(
     "SELECT session_id, pos - 1 AS pos, round(avg(x), 6) AS mean, count(*) AS n FROM (SELECT session_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM vec) GROUP BY ALL HAVING count(*) >= 3",
     VEC,
@@ -108,6 +134,38 @@ def segment_centroid(spark, sf_dir):
     return c.select("session_id", F.col("n").alias("n"), F.posexplode("centroid").alias("pos", "mean")).select("session_id", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"), "n")
 
 
+@query(
+    """SELECT session_id, pos, round(avg(x), 6) AS mean, count(*) AS n FROM (SELECT session_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM vec)
+      GROUP BY session_id, pos HAVING count(*) >= 3""",
+    VEC,
+)
+def incremental_centroid(spark, sf_dir):
+    """A5, ST9: centroids from a stored table that took the vectors in three batches, the second one twice."""
+    v = fx.vectors(spark, sf_dir)
+    table = cn.CentroidTable(spark, gr.shared_path(spark, "centroids"), "session_id")
+    for batch in (0, 1, 1, 2):
+        table.apply(batch, v.filter(F.col("event_id") % 3 == batch))
+        table.vacuum()
+    try:
+        means = gr.cut(cn.means(table.read(), "session_id").filter("centroid IS NOT NULL"))
+    finally:
+        table.remove()
+    return means.select("session_id", "n", F.posexplode("centroid").alias("pos", "mean")).select("session_id", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"), "n")
+
+
+@query(
+    f"""SELECT event_id, n, round(CASE WHEN n >= {S.COLD_START} THEN greatest(0, least(1, (1 - dot / (sqrt(vv) * sqrt(mm))) / 2)) ELSE 0 END, 6) AS drift FROM (
+      SELECT event_id, n, sum(x * m) AS dot, sum(x * x) AS vv, sum(m * m) AS mm FROM (
+        SELECT event_id, x, avg(x) OVER w AS m, count(*) OVER w AS n FROM (SELECT event_id, session_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM vec)
+        WINDOW w AS (PARTITION BY session_id, pos ORDER BY event_id ROWS BETWEEN {S.CENTROID_WINDOW} PRECEDING AND 1 PRECEDING)) GROUP BY event_id, n)""",
+    VEC,
+)
+def window_drift(spark, sf_dir):
+    """Each vector's drift from the mean of the last 200 of its session before it."""
+    rows = cn.window_centroids(fx.vectors(spark, sf_dir), "session_id", ["event_id"])
+    return rows.select("event_id", "n", F.round(vc.drift(F.col("embedding"), F.col("centroid")), 6).alias("drift"))
+
+
 @query(
     """SELECT v.event_id, round(greatest(0, least(1, (1 - list_dot_product(v.embedding, m) / (sqrt(list_dot_product(v.embedding, v.embedding)) * sqrt(list_dot_product(m, m)))) / 2)), 6) AS drift,
        round(0.4 * greatest(0, least(1, (1 - list_dot_product(v.embedding, m) / (sqrt(list_dot_product(v.embedding, v.embedding)) * sqrt(list_dot_product(m, m)))) / 2)), 6) AS score
@@ -137,6 +195,15 @@ def scored_candidates(spark, sf_dir, rate: float = 0.0001, mode: str | None = "g
     return rt.composite(rt.score_pairs(vector_queries(spark, sf_dir), detailed), fx.AS_OF, rate, mode)
 
 
+def own_candidates(spark, sf_dir, kind: str) -> DataFrame:
+    """(query_id, event_id, score, tokens): each query's events of one type in its own session, by an equi-join on the session."""
+    events = fx.event_log(spark, sf_dir).filter(F.col("type") == kind)
+    vectors = fx.vectors(spark, sf_dir).select("event_id", "embedding", "session_id")
+    detailed = rt.with_details(vectors, events, ["ts", "type", "content"])
+    rows = rt.composite(rt.score_in_sessions(vector_queries(spark, sf_dir), detailed, "q_session"), fx.AS_OF, 0.0001)
+    return rows.select("query_id", "event_id", "score", ms.tokens(F.col("content")).alias("tokens"))
+
+
 SCORED = f"""
 w(mode, ws, wr, wd, wt) AS (VALUES {', '.join(f"('{m}', {a}, {b}, {c}, {d})" for m, (a, b, c, d) in S.MODE_WEIGHTS.items())}),
 cand AS (SELECT p.query_id, p.event_id, p.similarity, p.session_id = p.q_session AS own, e.session_id, e.ts, e.type, e.content,
@@ -219,8 +286,7 @@ def widen_fallback(spark, sf_dir):
 )
 def clean_query_fallback(spark, sf_dir):
     """A thin pool, by tokens, is joined by plain similarity hits; the pool: user messages of the query's own session."""
-    scored = scored_candidates(spark, sf_dir)
-    pool = scored.filter("v_session = q_session AND type = 'user_message'").select("query_id", "event_id", "score", ms.tokens(F.col("content")).alias("tokens"))
+    pool = own_candidates(spark, sf_dir, "user_message")
     more = rt.search(vector_queries(spark, sf_dir), fx.vectors(spark, sf_dir), "all", 15)
     more = more.select("query_id", "event_id", F.col("similarity").alias("score"), F.lit(0).cast("long").alias("tokens"))
     return rt.widen_if_thin(pool, more, F.lit(400), S.THIN_CLEAN, None, "similarity").select("query_id", "event_id", F.round("score", 6).alias("score"), "score_source")
@@ -253,9 +319,64 @@ def graph_boost(spark, sf_dir):
 def metrics(spark, sf_dir):
     """Usage among the best five; the session's parity stands in for a bonus."""
     rows = scored_candidates(spark, sf_dir).withColumn("bonus", F.when(F.col("session_id") % 2 == 0, 1.0))
-    ratio = bd.dependency_usage(rows)
-    n = rows.groupBy("query_id").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("n"))
-    return ratio.join(n, "query_id").select("query_id", F.round("ratio", 6).alias("ratio"), F.round(bd.hit_metric(F.col("n")), 6).alias("hits"))
+    return bd.dependency_usage(rows).select("query_id", F.round("ratio", 6).alias("ratio"), F.round(bd.hit_metric(F.col("n")), 6).alias("hits"))
+
+
+CASCADE_BUDGET, CASCADE_K = 350, 15
+#: Vectors with their events; the session is the vector's, a segment an event's k modulo 4, the query its first vector, the message its last.
+CASCADE = f"""
+p AS (SELECT v.session_id, v.event_id, v.embedding, 'g' || (k % 4) AS segment_id, ts, type, content FROM vec v JOIN ev e ON e.event_id = v.event_id),
+a AS (SELECT session_id, arg_max(segment_id, struct_pack(a := ts, b := event_id)) AS cur, arg_min(embedding, event_id) AS query, arg_max(embedding, event_id) AS clean, count(*) AS n FROM p GROUP BY session_id),
+s AS (SELECT p.*, cur, list_dot_product(query, embedding) / (sqrt(list_dot_product(query, query)) * sqrt(list_dot_product(embedding, embedding))) AS sq,
+    list_dot_product(clean, embedding) / (sqrt(list_dot_product(clean, clean)) * sqrt(list_dot_product(embedding, embedding))) AS sc, len(content) // 4 AS tk,
+    0.2 * exp(-0.0001 * (epoch_us(TIMESTAMP '{fx.AS_OF}') - epoch_us(ts)) / 60e6) + 0.1 * CASE type WHEN 'decision' THEN 1.0 WHEN 'user_message' THEN 0.8 WHEN 'tool_output' THEN 0.6 ELSE 0.5 END AS rest FROM p JOIN a USING (session_id)),
+prot AS (SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM p) WHERE r <= 20),
+near AS (SELECT * FROM s WHERE segment_id = cur QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sq DESC, event_id) <= {CASCADE_K}),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sq DESC, event_id) <= {CASCADE_K}),
+one AS (SELECT session_id, event_id, tk, 0.6 * sq + rest AS score, stage FROM (SELECT *, 'segment' AS stage FROM near UNION ALL SELECT *, 'session' FROM best b
+    WHERE b.session_id NOT IN (SELECT session_id FROM near GROUP BY 1 HAVING count(*) >= {S.MIN_CANDIDATES}) AND b.event_id NOT IN (SELECT event_id FROM near)) WHERE event_id NOT IN (SELECT event_id FROM prot)),
+poor AS (SELECT session_id FROM a LEFT JOIN (SELECT session_id, count(*) AS c, sum(tk) AS t FROM one GROUP BY 1) USING (session_id) WHERE coalesce(c, 0) < {S.MIN_CANDIDATES} OR coalesce(t, 0) < {int(CASCADE_BUDGET * S.THIN_DEDUP)}),
+two AS (SELECT * FROM one UNION ALL SELECT session_id, event_id, tk, 0.6 * sq + rest, 'segments' FROM best WHERE session_id IN (SELECT * FROM poor) AND event_id NOT IN (SELECT event_id FROM one) AND event_id NOT IN (SELECT event_id FROM prot)),
+still AS (SELECT session_id FROM a LEFT JOIN (SELECT session_id, sum(tk) AS t FROM two GROUP BY 1) USING (session_id) WHERE coalesce(t, 0) < {int(CASCADE_BUDGET * S.THIN_CLEAN)}),
+clear AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sc DESC, event_id) <= {CASCADE_K})"""
+
+
+def cascade_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    events = fx.event_log(spark, sf_dir).select("event_id", "ts", "type", "content", F.concat(F.lit("g"), (F.col("k") % 4).cast("string")).alias("segment_id"))
+    pool = fx.vectors(spark, sf_dir).select("event_id", "session_id", "embedding").join(events, "event_id")
+    last = F.struct("ts", "event_id")
+    asked = pool.groupBy("session_id").agg(
+        F.max_by("segment_id", last).alias("segment_id"), F.min_by("embedding", "event_id").alias("query"), F.max_by("embedding", "event_id").alias("clean"), F.count(F.lit(1)).alias("n")
+    )
+    back = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
+    protected = pool.select("session_id", "event_id", "ts").withColumn("back", back).filter("back <= 20")
+    return asked.withColumn("mode", F.lit("general")), pool, protected
+
+
+@query(
+    """SELECT session_id, event_id, stage, round(score, 6) AS score FROM (SELECT session_id, event_id, stage, score FROM two UNION ALL
+      SELECT session_id, event_id, 'message', sc FROM clear WHERE session_id IN (SELECT * FROM still) AND event_id NOT IN (SELECT event_id FROM two) AND event_id NOT IN (SELECT event_id FROM prot))""",
+    EV, VEC, CASCADE,
+)
+def staged_candidates(spark, sf_dir):
+    """What each stage of a turn's search adds, U1, R8, U2 and U3 one after the other."""
+    asked, pool, protected = cascade_inputs(spark, sf_dir)
+    rows = cs.staged_search(asked, pool, protected, CASCADE_BUDGET, fx.AS_OF, 0.0001, k=CASCADE_K)
+    return rows.select("session_id", "event_id", "stage", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT session_id, event_id, from_session, round(similarity, 6) AS similarity, rank FROM (SELECT a.session_id, v.event_id, v.session_id AS from_session, sim AS similarity,
+        row_number() OVER (PARTITION BY a.session_id ORDER BY sim DESC, v.event_id) AS rank FROM a JOIN LATERAL (SELECT *, list_dot_product(a.clean, o.embedding) / (sqrt(list_dot_product(a.clean, a.clean)) * sqrt(list_dot_product(o.embedding, o.embedding))) AS sim
+        FROM vec o WHERE o.session_id <> a.session_id) v ON true WHERE a.n <= (SELECT avg(n) FROM a)) WHERE rank <= 3""",
+    EV, VEC, CASCADE,
+)
+def new_session_probe(spark, sf_dir):
+    """The best hits of other sessions, for sessions of no more events than the mean."""
+    asked, pool, _ = cascade_inputs(spark, sf_dir)
+    most = int(asked.agg(F.floor(F.avg("n"))).first()[0] or 0)
+    rows = cs.probe(asked, asked.select("session_id", "n"), knn.build_index(fx.vectors(spark, sf_dir)), 3, most)
+    return rows.select("session_id", "event_id", "from_session", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 # -- messages and text ----------------------------------------------------------------------------
@@ -583,6 +704,25 @@ def recovered_state(spark, sf_dir):
     return st.recovered_state(fx.history(spark, sf_dir))
 
 
+@query(
+    "SELECT session_id, array_to_string(arg_max(s, n), '|') AS stack, count(*) - 1 AS answers FROM fold GROUP BY session_id",
+    EV,
+    "h AS (SELECT session_id, 'd' || (k % 9) AS a, 'd' || (k * 7 % 11) AS b, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS n FROM ev WHERE type = 'user_message')",
+    """fold(session_id, n, s) AS (SELECT DISTINCT session_id, 0, []::VARCHAR[] FROM h UNION ALL SELECT session_id, n, CASE WHEN len(t) > 5 THEN t[len(t) - 4:] ELSE t END FROM (
+      SELECT session_id, n, CASE WHEN list_contains(t, b) THEN t ELSE list_append(t, b) END AS t FROM (
+        SELECT h.session_id, h.n, b, CASE WHEN list_contains(s, a) THEN s ELSE list_append(s, a) END AS t FROM fold f JOIN h ON h.session_id = f.session_id AND h.n = f.n + 1)))""",
+    recursive=True,
+)
+def decision_stacks(spark, sf_dir):
+    """The last five different decisions of each session after answers of two decisions each, in blocks of turns."""
+    made = lambda x: F.struct(F.concat(F.lit("d"), x.cast("string")).alias("decision"), F.lit("").alias("rationale"))
+    users = fx.event_log(spark, sf_dir).filter("type = 'user_message'")
+    answers = users.select("session_id", F.col("event_id").alias("turn"), F.array(made(F.col("k") % 9), made(F.col("k") * 7 % 11)).alias("decisions"))
+    stacks = fd.decision_stacks(answers, 10_000)
+    counts = answers.groupBy("session_id").agg(F.count(F.lit(1)).alias("answers"))
+    return stacks.join(counts, "session_id").select("session_id", F.array_join(F.transform("decision_stack", lambda d: d["decision"]), "|").alias("stack"), "answers")
+
+
 @query("SELECT doc_id, CASE WHEN len(text) > 200 THEN CASE WHEN len(string_split(text, '. ')) > 2 THEN string_split(text, '. ')[1] || '. ... ' || string_split(text, '. ')[-1] ELSE left(text, 200) || '...' END ELSE text END AS goal FROM documents")
 def state_compression(spark, sf_dir):
     """ST6: the sentence rule over long texts."""
@@ -650,6 +790,24 @@ def lineage_chain(spark, sf_dir):
     return gr.lineage_chain(ids, fx.lineage(spark, sf_dir))
 
 
+SEEDS = "SELECT conv_id FROM conversations WHERE conv_id % 100 = 0"
+
+
+@query(
+    f"SELECT DISTINCT session_id, member FROM (SELECT s AS session_id, m AS member FROM up UNION ALL SELECT m, s FROM up UNION ALL SELECT conv_id, conv_id FROM conversations) WHERE session_id IN ({SEEDS})",
+    LIN, UP, recursive=True,
+)
+def seeded_chains(spark, sf_dir):
+    """G5 for the sessions whose id 100 divides, walked over the stored links."""
+    seeds = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).filter("session_id % 100 = 0").distinct()
+    table = ln.LineageTable(spark, gr.shared_path(spark, "lineage"))
+    try:
+        table.build(fx.lineage(spark, sf_dir))
+        return gr.cut(ln.chains_of(table, seeds))
+    finally:
+        table.remove()
+
+
 @query("SELECT m AS old_session_id, max(s) AS current_id FROM up GROUP BY m", LIN, UP, recursive=True)
 def resolve_session(spark, sf_dir):
     return gr.resolve_sessions(fx.lineage(spark, sf_dir))
@@ -815,6 +973,24 @@ def stale_vectors(spark, sf_dir):
     return ms.stale_vectors(v, "m0")
 
 
+@query("SELECT event_id, 'hashed-64' AS embedding_model_id, 64 AS dim FROM ev", EV)
+def reembedded_vectors(spark, sf_dir):
+    """Two thirds of the events have a vector, half of these of a still older model; afterwards every event has one of the new model."""
+    events = fx.event_log(spark, sf_dir).select("event_id", "session_id", "segment_id", "type", "content", "token_estimate")
+    old = enr.embed_events(events.filter("event_id % 3 <> 0"), enr.HashedEmbedder(8), "hashed-8")
+    old = old.withColumn("embedding_model_id", F.when(F.col("event_id") % 3 == 1, F.lit("hashed-8")).otherwise(F.lit("hashed-4")))
+    table = BucketTable(spark, gr.shared_path(spark, "vectors"), "event_id", 8)
+    try:
+        table.write(old.select(*rx.VECTOR_COLUMNS), 0)
+        for run in (1, 1, 2):  # again, and once more with nothing left to do
+            rx.reembed(table, events, enr.HashedEmbedder(), "hashed-64", run, at_once=4)
+            table.vacuum()
+        rows = table.read()
+        return gr.cut(rows.select("event_id", "embedding_model_id", F.size("embedding").alias("dim")))
+    finally:
+        table.remove()
+
+
 @query()
 def embedded_events(spark, sf_dir):
     """S12, V8, X1 with the offline embedder."""
@@ -857,7 +1033,7 @@ def dedup_fallback(spark, sf_dir):
     scored = scored_candidates(spark, sf_dir).withColumn("tokens", ms.tokens(F.col("content")))
     cols = ["query_id", "event_id", "score", "tokens"]
     more = rt.top_k(scored.select(*cols), 25, by="score").drop("rank")
-    pool = scored.filter("v_session = q_session AND type = 'decision'").select(*cols)
+    pool = own_candidates(spark, sf_dir, "decision")
     return rt.widen_if_thin(pool, more, F.lit(1000), S.THIN_DEDUP, S.MIN_CANDIDATES, "wide").select("query_id", "event_id", "score_source")
 
 
@@ -909,5 +1085,49 @@ def stream_live_state(spark, sf_dir):
     return ms.latest_by_key(rows, ["session_id"], ["batch"]).drop("batch")
 
 
+def arrive(spark, rows: DataFrame, folder: str, days: int = 8) -> DataFrame:
+    """*rows* as a stream of files, one after the other: each has about so many days, up to two days late and in no order; the last one moves time on."""
+    day = F.datediff("ts", F.lit("2024-01-01")) + F.pmod(F.xxhash64("id"), F.lit(3))
+    dealt = gr.cut(rows.withColumn("batch", F.floor(day / days)))
+    for b in sorted(r[0] for r in dealt.select("batch").distinct().collect()):
+        dealt.filter(F.col("batch") == b).drop("batch").orderBy(F.xxhash64("id")).coalesce(1).write.mode("append").parquet(folder)
+    end = dealt.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"))
+    mark = end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    mark.withColumn("id", F.lit(-1).cast(rows.schema["id"].dataType)).coalesce(1).write.mode("append").parquet(folder)
+    return pipes.read_events(spark, folder, rows.schema, files=1)
+
+
+#: The snapshot rule row by row, in order of time.
+SNAPSHOT_FOLD = f"""
+h AS (SELECT session_id, id, ts, goal, intent_label, CASE WHEN id % 2 = 0 THEN ts END AS act, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS n FROM hist),
+fold AS (SELECT session_id, n, id, true AS kept, goal, intent_label, ts FROM h WHERE n = 1
+  UNION ALL SELECT session_id, n, id, k, CASE WHEN k THEN goal ELSE f_goal END, CASE WHEN k THEN intent_label ELSE f_label END, CASE WHEN k THEN ts ELSE f_ts END
+  FROM (SELECT h.*, f.goal AS f_goal, f.intent_label AS f_label, f.ts AS f_ts, h.goal IS DISTINCT FROM f.goal OR h.intent_label IS DISTINCT FROM f.intent_label
+      OR h.ts >= f.ts + INTERVAL {S.KEEPALIVE_SECONDS} SECOND OR coalesce(h.act > f.ts, false) AS k FROM fold f JOIN h ON h.session_id = f.session_id AND h.n = f.n + 1))"""
+
+
+@query("SELECT session_id, id, goal, intent_label FROM fold WHERE kept", EV, HIST, SNAPSHOT_FOLD, recursive=True)
+def stream_snapshot_log(spark, sf_dir):
+    """ST3 live: commits arrive late and in no order; timers fold them once the watermark has passed."""
+    folder = stream_folder(spark)
+    h = fx.history(spark, sf_dir).withColumn("current_step", F.col("goal"))
+    commits = h.withColumn("activity_ts", F.when(F.col("id") % 2 == 0, F.col("ts")).cast("timestamp")).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = arrive(spark, commits, f"{folder}/commits").withColumn("session_id", F.coalesce("session_id", F.lit(-1)))
+    ordered.start(ordered.live_snapshots(stream, "3 days"), f"{folder}/log", f"{folder}/offsets").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/log").filter("id >= 0")
+    return rows.select(F.col("session_id").cast("long").alias("session_id"), "id", "goal", "intent_label")
+
+
+@query("SELECT session_id, from_event_id, to_event_id, edge_type FROM edges", EV, EDGES)
+def stream_graph_edges(spark, sf_dir):
+    """W3, G2 live: the same edges as graph_edges, from events that arrive late and in no order."""
+    folder = stream_folder(spark)
+    events = fx.event_log(spark, sf_dir).select("session_id", F.col("event_id").alias("id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "type")
+    stream = arrive(spark, events, f"{folder}/events").withColumn("type", F.coalesce("type", F.lit("tool_call")))
+    ordered.start(ordered.live_edges(stream, "3 days"), f"{folder}/edges", f"{folder}/offsets").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/edges")
+    return rows.select(*[F.col(c).cast("long").alias(c) for c in ("session_id", "from_event_id", "to_event_id")], "edge_type")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_pack(spark, sf_dir)

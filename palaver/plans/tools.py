@@ -14,6 +14,7 @@ from palaver.operators import graph as gr
 from palaver.operators import retrieval as rt
 from palaver.operators import state as st
 from palaver.operators import timeline as tl
+from palaver.operators.lineage import LineageTable, chains_of
 
 #: Rows that one JSON answer carries at most, as a guard of the driver; DataFrames are not limited.
 ANSWER_ROWS = 1000
@@ -51,12 +52,15 @@ class MemoryTools:
     session_id: object
     embedder: Embedder
     edges: DataFrame | None = None
-    #: saved states: session_id, goal
+    #: saved states: session_id, goal, perhaps topic_tags
     states: DataFrame | None = None
+    #: stored links; with them a chain is walked from the session alone
+    links: LineageTable | None = None
 
     def chain(self) -> DataFrame:
         own = self.events.sparkSession.createDataFrame([(self.session_id,)], self.events.select("session_id").schema)
-        return gr.lineage_chain(own, self.lineage).select(F.col("member").alias("session_id"))
+        found = gr.lineage_chain(own, self.lineage) if self.links is None else chains_of(self.links, own)
+        return found.select(F.col("member").alias("session_id"))
 
     def context_search(self, query: str, k: int = 5, segment: str = "all", session="current") -> DataFrame:
         """The best hits; session is 'current' (with its lineage), 'all', an id or a list of ids."""
@@ -100,9 +104,10 @@ class MemoryTools:
         return near.join(self.events, near["node"] == self.events["event_id"]).select("event_id", "depth", "edge_type", "ts", "type", clip(F.col("content"), 200).alias("snippet"))
 
     def list_segments(self, limit: int = 10) -> DataFrame:
-        """B18."""
+        """B18; with the session's topic tags where its saved state has some."""
         mine = F.col("session_id") == self.session_id
-        return tl.segment_manifest(self.events.filter(mine), self.history.filter(mine), limit)
+        tags = self.states.filter(mine).select("session_id", "topic_tags") if self.states is not None and "topic_tags" in self.states.columns else None
+        return tl.segment_manifest(self.events.filter(mine), self.history.filter(mine), limit, tags)
 
     def get_goal_history(self, limit: int = 20) -> DataFrame:
         """B19."""
