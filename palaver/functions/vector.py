@@ -30,7 +30,8 @@ def l2_similarity(a: Column, b: Column) -> Column:
 
 def drift(message: Column, centroid: Column) -> Column:
     """V6: in 0..1; 0 without a centroid."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - cosine(message, centroid)) / 2)), F.lit(0.0))
+    away = (1 - cosine(message, centroid)) / 2
+    return F.when(away.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), away))).otherwise(0.0)  # greatest and least pass over nulls
 
 
 def drift_score(embedding: Column, entity: Column, explicit: Column) -> Column:

@@ -97,6 +97,11 @@ def test_cosine_skips_zero_vectors(spark):
     assert got == [0.0, 1.0, None]
 
 
+def test_no_drift_without_a_centroid(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.0], [-1.0, 0.0]), (3, [0.0, 0.0], [1.0, 0.0]), (4, [1.0, 0.0], [1.0, 0.0])], "i int, v array<double>, c array<double>")
+    assert {r.i: r.d for r in rows.select("i", vc.drift(F.col("v"), F.col("c")).alias("d")).collect()} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 0.0}
+
+
 def test_centroid_needs_three(spark):
     df = spark.createDataFrame([("a", [1.0, 3.0])] * 2 + [("b", [float(i), 0.0]) for i in range(3)], "k string, embedding array<float>")
     got = {r.k: r.centroid for r in vc.centroids(df, ["k"]).collect()}
