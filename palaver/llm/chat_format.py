@@ -11,7 +11,7 @@ backslashes there get one more), which :func:`unescape` takes away again.
 
 Edge cases: null texts and roles count as empty; turns follow by turn (null first), then role and text,
 repeated rows included; a conversation without assistant turns has one example without a target; a null
-conv_id is a conversation; an empty table gives no rows; further columns are ignored.
+conv_id is a conversation; a very long text stands whole in every example that has it as context; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

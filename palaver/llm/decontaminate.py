@@ -15,7 +15,7 @@ that it compiles to about 13 bytes a word and its vocabulary.  One block is broa
 several, what a pass over the documents found is written to the shared folder before the next block is read.
 
 Edge cases: null texts have no words; items without words have no windows; a null item_id is written as an
-empty string; repeated items with one id count once; repeated rows are rows of their own; an empty benchmark
+empty string; repeated items with one id count once; repeated rows are rows of their own; a very long text is indexed whole, in its shard; an empty benchmark
 leaves every document clean; an empty table gives no rows; further columns pass through
 :func:`remove_contamination` and are ignored by :func:`find_contamination`.
 """

@@ -6,7 +6,7 @@ rows.  The candidates, at most ``1/support`` of them, are counted exactly; the v
 broadcast and resolved without any shuffle of their rows, and only the rest is shuffled by digest.
 
 Edge cases: a null text counts as empty; a null ``doc_id`` ranks below every other; of rows that
-repeat a ``doc_id`` within a group exactly one is kept; an empty table gives no rows; further input
+repeat a ``doc_id`` within a group exactly one is kept; a very long text is hashed whole and is a row like any other; an empty table gives no rows; further input
 columns are ignored by :func:`resolve_duplicates` and pass through :func:`drop_duplicates_exact`.
 """
 

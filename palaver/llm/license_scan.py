@@ -10,8 +10,8 @@ Only the neighbourhoods of seed words are aligned.  A template's seeds are words
 it may lack, so any place with enough coverage holds a seed.  After a find, its words are set aside and
 the rest is searched again, so repeated notices are all found; of overlapping finds the longest stays.
 
-Edge cases: null texts count as empty; a text without a license has no spans and coverage 0; repeated rows stay
-rows of their own; an empty table gives no rows; further columns are ignored.
+Edge cases: null texts count as empty; a text without a license has no spans and coverage 0; a very long text is read whole,
+but only the neighbourhoods of seed words are aligned; repeated rows stay rows of their own; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

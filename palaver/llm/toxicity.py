@@ -20,7 +20,7 @@ chosen by a hash of their id, of which the driver keeps the distinct words; a di
 
 Edge cases: null and wordless texts score the lowest value, above 0; without labels of both classes every
 document gets that score; repeated label rows count once, and an id with differing labels is not used;
-null ids are scored and never used for training; an empty table gives no rows; further columns are
+null ids are scored and never used for training; a very long text is scored by all of its words; an empty table gives no rows; further columns are
 ignored by :func:`score_documents` and pass through :func:`drop_toxic`.
 """
 
