@@ -84,12 +84,20 @@ def asks_about(text: Column, names: Column) -> Column:
 
 
 def intent(switch: Column, contradiction: Column, drift: Column, question: Column) -> Column:
-    """The first signal decides."""
+    """F8: the first signal decides."""
     return (
         F.when(switch | contradiction, "SWITCH").when(drift > S.DRIFT_THRESHOLD, "NEW_TASK").when(question, "CLARIFICATION").otherwise("CONTINUATION")
     )
 
 
+def signals(switch: Column, contradiction: Column, drift: Column, question: Column) -> Column:
+    """what a message's intent was decided from, and the intent."""
+    return F.struct(
+        switch.alias("is_switch"), contradiction.alias("contradicts"), drift.alias("drift"), (drift > S.DRIFT_THRESHOLD).alias("drifts"), question.alias("asks_about_output"),
+        intent(switch, contradiction, drift, question).alias("intent"),
+    )
+
+
 def mode(text: Column, last_tool: Column) -> Column:
     """The retrieval mode of a message."""
     low, tool = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(last_tool, F.lit("")))

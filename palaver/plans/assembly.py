@@ -40,19 +40,20 @@ def current_messages(messages: DataFrame) -> DataFrame:
 
 
 def turns(messages: DataFrame, states: DataFrame, drifts: DataFrame | None = None) -> DataFrame:
-    """Per session the current message with its intent, mode and query text.  drifts: session_id, drift."""
+    """Per session the current message with its signals, intent, mode and query text.  drifts: session_id, drift."""
     replies = messages.filter("role = 'assistant'").groupBy("session_id").agg(F.max_by("content", "msg_index").alias("reply"))
     rows = current_messages(messages).join(replies, "session_id", "left").join(states, "session_id", "left")
     rows = rows.withColumn("drift", F.lit(0.0)) if drifts is None else rows.join(drifts.select("session_id", "drift"), "session_id", "left")
     rows = rows.withColumns({"names": tx.entities(F.col("reply")), "drift": F.coalesce("drift", F.lit(0.0))})
     against = tx.contradicts(F.col("message"), F.col("names"))
-    rows = rows.withColumn("intent", tx.intent(tx.is_switch(F.col("message")), against, F.col("drift"), tx.asks_about(F.col("message"), F.col("names"))))
+    rows = rows.withColumn("signals", tx.signals(tx.is_switch(F.col("message")), against, F.col("drift"), tx.asks_about(F.col("message"), F.col("names"))))
+    rows = rows.withColumn("intent", F.col("signals.intent"))
     mode = F.when(F.col("intent") == "CLARIFICATION", "clarification").otherwise(tx.mode(F.col("message"), F.col("last_tool")))
     text = lambda c: F.coalesce(c, F.lit(""))
     query = tx.query_text(
         text(F.col("goal")), text(F.col("current_step")), text(F.col("last_tool_output_summary")), F.col("names"), F.col("message"), F.col("intent"), F.col("message")
     )
-    return rows.select("session_id", "msg_index", "message", "intent", "drift", mode.alias("mode"), query.alias("query_text"), "goal", "current_step")
+    return rows.select("session_id", "msg_index", "message", "signals", "intent", "drift", mode.alias("mode"), query.alias("query_text"), "goal", "current_step")
 
 
 def message_drifts(current: DataFrame, events: DataFrame, vectors: DataFrame, window: int = S.CENTROID_WINDOW, least: int = S.COLD_START) -> DataFrame:

@@ -145,4 +145,19 @@ def test_drift_is_that_of_the_message(spark):
     current = asm.current_messages(said).withColumn("vector", embed_column(HashedEmbedder())(F.col("message")))
     drifts = asm.message_drifts(current, work, embed_events(work, HashedEmbedder(), "m"))
     got = {r.session_id: r for r in asm.turns(said, st.live_state(work), drifts).collect()}
+    assert got["other"].signals.drifts and not got["other"].signals.is_switch and got["other"].signals.intent == "NEW_TASK" and not got["same"].signals.drifts
     assert got["same"].drift < 0.2 < got["other"].drift and got["same"].intent == "CONTINUATION" and got["other"].intent == "NEW_TASK"
+
+
+def test_segments_carry_the_sessions_tags(spark):
+    from palaver.plans.tools import MemoryTools
+    from palaver.sources import fixtures as fx
+
+    folder = "/root/testdata/sf0.001"
+    log, history = fx.event_log(spark, folder), fx.history(spark, folder)
+    session = log.groupBy("session_id").count().orderBy(F.col("count").desc(), "session_id").first().session_id
+    states = spark.createDataFrame([(session, "goal", ["spark", "joins"])], "session_id long, goal string, topic_tags array<string>")
+    tools = MemoryTools(log, fx.vectors(spark, folder), history, fx.lineage(spark, folder), session, HashedEmbedder(), states=states)
+    rows = tools.list_segments(3).collect()
+    assert rows and all(r.topic_tags == ["spark", "joins"] for r in rows)
+    assert "topic_tags" not in MemoryTools(log, fx.vectors(spark, folder), history, fx.lineage(spark, folder), session, HashedEmbedder()).list_segments(3).columns
