@@ -26,6 +26,7 @@ from palaver.operators import sessions as ss
 from palaver.operators import state as st
 from palaver.operators import timeline as tl
 from palaver.plans import assembly as asm
+from palaver.sources import cursor, trace_sink
 from palaver.sources import fixtures as fx
 from palaver.sources import messages as ms
 from palaver.sources import reindex as rx
@@ -1129,5 +1130,41 @@ def stream_graph_edges(spark, sf_dir):
     return rows.select(*[F.col(c).cast("long").alias(c) for c in ("session_id", "from_event_id", "to_event_id")], "edge_type")
 
 
+@query("SELECT session_id::VARCHAR AS session_id, msg_index, role, content FROM msg", MSG)
+def stream_buffers(spark, sf_dir):
+    """A buffer of JSON lines for each conversation, read as a stream by cursors; a second run of the stream finds nothing new."""
+    folder = stream_folder(spark)
+    buffers = f"{folder}/buffers"
+    lines = fx.messages(spark, sf_dir).select("session_id", "msg_index", F.to_json(F.struct("role", "content")).alias("line"))
+
+    def put(rows):
+        system, root = cursor.file_system(buffers)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{rows['session_id'].iloc[0]}.jsonl") as f:
+            f.write("".join(line + "\n" for line in rows.sort_values("msg_index")["line"]).encode())
+        return rows[["session_id"]].head(1)
+
+    lines.groupBy("session_id").applyInPandas(put, "session_id long").write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(cursor.MessageBuffers)
+    for _ in range(2):
+        stream = spark.readStream.format("message_buffers").load(buffers)
+        stream.writeStream.format("parquet").option("path", f"{folder}/log").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    place = F.row_number().over(W.partitionBy("session_id").orderBy("at")) - 1
+    return spark.read.parquet(f"{folder}/log").select("session_id", place.alias("msg_index"), "role", "content")
+
+
+@query("SELECT event_id::VARCHAR AS turn_id, session_id::VARCHAR AS session_id, segment_id, token_estimate::INT AS budget FROM ev WHERE type = 'user_message'", EV)
+def traced_turns(spark, sf_dir):
+    """A row a turn through the rotating sink, in two jobs, and back."""
+    path = f"{stream_folder(spark)}/trace"
+    users = fx.event_log(spark, sf_dir).filter("type = 'user_message'").withColumns({"turn_id": F.col("event_id").cast("string"), "budget": F.col("token_estimate")})
+    shape = spark.createDataFrame([], S.TRACE).schema
+    rows = users.select("event_id", *[(F.col(f.name) if f.name in users.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
+    spark.dataSource.register(trace_sink.TraceSink)
+    for half in (0, 1):
+        rows.filter(F.col("event_id") % 2 == half).drop("event_id").write.format("turn_trace").option("max_bytes", 1 << 40).mode("append").save(path)
+    return trace_sink.read_rotated(spark, path).select("turn_id", "session_id", "segment_id", "budget")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_pack(spark, sf_dir)

@@ -42,6 +42,8 @@ class Range(InputPartition):
 def file_system(path: str):
     from pyarrow import fs
 
+    if path.startswith("file:"):  # Hadoop writes one slash or three
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
