@@ -26,6 +26,34 @@ class Settings:
     enrichment_every: int = S.ENRICH_EVERY
     checkpoint_calls: int = S.CHECKPOINT_CALLS
     memory_tools: tuple[str, ...] = S.MEMORY_TOOLS
+    memory_hint: bool = True
+    goal_trail: int = S.GOAL_TRAIL
+    drift_threshold: float = S.DRIFT_THRESHOLD
+    #: 0: the mean of all vectors of the segment
+    centroid_window: int = S.CENTROID_WINDOW
+    summary_threshold: int = S.SUMMARY_THRESHOLD
+    summary_tokens: int = S.SUMMARY_TOKENS
+    overhead_start: int = S.OVERHEAD_START
+    trace_bytes: int = 10 << 20
+    trace_generations: int = 3
+    embedding_endpoint: str = ""
+    embedding_model: str = ""
+    embedding_key: str = ""
+    embedding_timeout: float = 60.0
+    reranker_endpoint: str = ""
+    reranker_model: str = "rerank"
+    reranker_key: str = ""
+    reranker_timeout: float = 10.0
+    #: 0: all stay
+    reranker_top_k: int = 0
+    enrichment_enabled: bool = True
+    enrichment_boundary: bool = True
+    enrichment_turns: int = S.ENRICH_TURNS
+    enricher_endpoint: str = ""
+    enricher_model: str = ""
+    enricher_key: str = ""
+    enricher_timeout: float = 30.0
+    enricher_tokens: int = 1500
 
     @property
     def budget(self) -> int:

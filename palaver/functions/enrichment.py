@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palaver import schemas as S
 from palaver.functions.text import embeddable, summarize
 
 
@@ -94,9 +95,9 @@ def embed_column(embedder: Embedder, batch: int = 16):
     return run
 
 
-def embed_events(events: DataFrame, embedder: Embedder, model: str) -> DataFrame:
+def embed_events(events: DataFrame, embedder: Embedder, model: str, threshold: int = S.SUMMARY_THRESHOLD, summary: int = S.SUMMARY_TOKENS) -> DataFrame:
     """Vectors of embeddable events (P4), long tool outputs as their summary (F10); null vectors are not stored."""
-    said = F.when(F.col("type") == "tool_output", summarize(F.col("content"))).otherwise(F.col("content"))
+    said = F.when(F.col("type") == "tool_output", summarize(F.col("content"), threshold, summary)).otherwise(F.col("content"))
     some = events.filter(embeddable(F.col("content")))
     rows = some.select("event_id", "session_id", "segment_id", "type", F.col("token_estimate").alias("token_count"), embed_column(embedder)(said).alias("embedding"))
     return rows.filter("embedding IS NOT NULL").withColumn("embedding_model_id", F.lit(model))

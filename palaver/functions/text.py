@@ -83,18 +83,18 @@ def asks_about(text: Column, names: Column) -> Column:
     return is_question(text) & F.coalesce(F.exists(names, lambda e: F.contains(low, F.lower(e))), F.lit(False))
 
 
-def intent(switch: Column, contradiction: Column, drift: Column, question: Column) -> Column:
+def intent(switch: Column, contradiction: Column, drift: Column, question: Column, threshold: float = S.DRIFT_THRESHOLD) -> Column:
     """F8: the first signal decides."""
     return (
-        F.when(switch | contradiction, "SWITCH").when(drift > S.DRIFT_THRESHOLD, "NEW_TASK").when(question, "CLARIFICATION").otherwise("CONTINUATION")
+        F.when(switch | contradiction, "SWITCH").when(drift > threshold, "NEW_TASK").when(question, "CLARIFICATION").otherwise("CONTINUATION")
     )
 
 
-def signals(switch: Column, contradiction: Column, drift: Column, question: Column) -> Column:
+def signals(switch: Column, contradiction: Column, drift: Column, question: Column, threshold: float = S.DRIFT_THRESHOLD) -> Column:
     """what a message's intent was decided from, and the intent."""
     return F.struct(
-        switch.alias("is_switch"), contradiction.alias("contradicts"), drift.alias("drift"), (drift > S.DRIFT_THRESHOLD).alias("drifts"), question.alias("asks_about_output"),
-        intent(switch, contradiction, drift, question).alias("intent"),
+        switch.alias("is_switch"), contradiction.alias("contradicts"), drift.alias("drift"), (drift > threshold).alias("drifts"), question.alias("asks_about_output"),
+        intent(switch, contradiction, drift, question, threshold).alias("intent"),
     )
 
 

@@ -39,14 +39,14 @@ def current_messages(messages: DataFrame) -> DataFrame:
     return said.groupBy("session_id").agg(F.max_by(F.struct("msg_index", clean.alias("message")), "msg_index").alias("c")).select("session_id", "c.*")
 
 
-def turns(messages: DataFrame, states: DataFrame, drifts: DataFrame | None = None) -> DataFrame:
+def turns(messages: DataFrame, states: DataFrame, drifts: DataFrame | None = None, threshold: float = S.DRIFT_THRESHOLD) -> DataFrame:
     """Per session the current message with its signals, intent, mode and query text.  drifts: session_id, drift."""
     replies = messages.filter("role = 'assistant'").groupBy("session_id").agg(F.max_by("content", "msg_index").alias("reply"))
     rows = current_messages(messages).join(replies, "session_id", "left").join(states, "session_id", "left")
     rows = rows.withColumn("drift", F.lit(0.0)) if drifts is None else rows.join(drifts.select("session_id", "drift"), "session_id", "left")
     rows = rows.withColumns({"names": tx.entities(F.col("reply")), "drift": F.coalesce("drift", F.lit(0.0))})
     against = tx.contradicts(F.col("message"), F.col("names"))
-    rows = rows.withColumn("signals", tx.signals(tx.is_switch(F.col("message")), against, F.col("drift"), tx.asks_about(F.col("message"), F.col("names"))))
+    rows = rows.withColumn("signals", tx.signals(tx.is_switch(F.col("message")), against, F.col("drift"), tx.asks_about(F.col("message"), F.col("names")), threshold))
     rows = rows.withColumn("intent", F.col("signals.intent"))
     mode = F.when(F.col("intent") == "CLARIFICATION", "clarification").otherwise(tx.mode(F.col("message"), F.col("last_tool")))
     text = lambda c: F.coalesce(c, F.lit(""))
@@ -57,12 +57,12 @@ def turns(messages: DataFrame, states: DataFrame, drifts: DataFrame | None = Non
 
 
 def message_drifts(current: DataFrame, events: DataFrame, vectors: DataFrame, window: int = S.CENTROID_WINDOW, least: int = S.COLD_START) -> DataFrame:
-    """V6: (session_id, drift) of each current message (session_id, msg_index, vector) from the last vectors before it in its session's current segment."""
+    """V6: (session_id, drift) of each current message (session_id, msg_index, vector) from the last *window* vectors (0: all) before it in its session's current segment."""
     now = tl.latest_segment(events)
     rows = events.join(now, ["session_id", "segment_id"], "left_semi").select("event_id", "session_id", "ts", F.col("msg_index").alias("at"))
     rows = rows.join(current.select("session_id", "msg_index"), "session_id").filter("at < msg_index").join(vectors.select("event_id", "embedding"), "event_id")
     back = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
-    last = rows.withColumn("back", back).filter(F.col("back") <= window)
+    last = rows.withColumn("back", back).filter(F.col("back") <= window) if window else rows
     means = cn.means(cn.partials(last.select("event_id", "session_id", "embedding"), "session_id"), "session_id", least)
     return current.join(means, "session_id", "left").select("session_id", vc.drift(F.col("vector"), F.col("centroid")).alias("drift"))
 
@@ -77,14 +77,16 @@ def system_blocks(states: DataFrame, events: DataFrame, settings: Settings, line
     spark = events.sparkSession
     if lineage is None:
         lineage = spark.createDataFrame([], "old_session_id string, new_session_id string")
-    hint = bd.memory_hint(tl.session_stats(events, lineage), settings.tail_floor).select("session_id", F.lit(HINT).alias("pos"), F.col("hint").alias("block"))
     state = F.concat(F.lit("[EXECUTION STATE]\n"), F.to_json(F.struct(*[c for c in states.columns if c != "session_id"])))
-    blocks = [hint, st.compress_state(states, S.STATE_CAP_TOKENS).select("session_id", F.lit(STATE).alias("pos"), state.alias("block"))]
+    blocks = [st.compress_state(states, S.STATE_CAP_TOKENS).select("session_id", F.lit(STATE).alias("pos"), state.alias("block"))]
+    if settings.memory_hint:
+        hint = bd.memory_hint(tl.session_stats(events, lineage), settings.tail_floor)
+        blocks.append(hint.select("session_id", F.lit(HINT).alias("pos"), F.col("hint").alias("block")))
     calls = tl.memory_streaks(events.filter("type = 'tool_call'"), F.coalesce(F.col("tool_name").isin(*settings.memory_tools), F.lit(False)), settings.checkpoint_calls)
     due = calls.groupBy("session_id").agg(F.max_by(F.struct("checkpoint", "streak"), F.struct("ts", "event_id")).alias("l")).filter("l.checkpoint")
     due = due.select("session_id", F.col("l.streak").alias("calls"))
     if history is not None:
-        blocks.append(bd.goal_trail(tl.recent_unique_goals(history, S.GOAL_TRAIL)).select("session_id", F.lit(TRAIL).alias("pos"), "block"))
+        blocks.append(bd.goal_trail(tl.recent_unique_goals(history, settings.goal_trail)).select("session_id", F.lit(TRAIL).alias("pos"), "block"))
         goals = tl.recent_unique_goals(history, 2).groupBy("session_id").agg(F.max_by("goal", "id").alias("goal"), F.min_by("goal", "id").alias("prior"))
     else:
         goals = states.select("session_id", "goal", F.lit(None).cast("string").alias("prior"))
@@ -124,9 +126,9 @@ def assemble_turns(
     long = gr.cut(long)
     work, states = gr.cut(events.join(long, "session_id", "left_semi")), gr.cut(states.join(long, "session_id", "left_semi"))
     talk = messages.join(long, "session_id", "left_semi")
-    vectors = gr.cut(embed_events(work, embedder, "assembly"))
+    vectors = gr.cut(embed_events(work, embedder, "assembly", settings.summary_threshold, settings.summary_tokens))
     said = gr.cut(current_messages(talk).withColumn("vector", embed_column(embedder)(F.col("message"))))
-    asked = gr.cut(turns(talk, states, message_drifts(said, work, vectors)))
+    asked = gr.cut(turns(talk, states, message_drifts(said, work, vectors, settings.centroid_window), settings.drift_threshold))
     wanted = asked.join(said.select("session_id", F.col("vector").alias("clean")), "session_id").join(tl.latest_segment(work), "session_id")
     wanted = wanted.withColumn("query", embed_column(embedder)(F.col("query_text")))
     bonus = gr.dependency_bonus(tl.anchors(work, 20), gr.derive_edges(work), settings.decay, settings.max_depth).select("event_id", "bonus")
@@ -138,8 +140,8 @@ def assemble_turns(
         wanted, pool.drop("msg_index").join(bonus, "event_id", "left"), protected, int(total * settings.retrieved_ratio), as_of, settings.recency_lambda, settings.min_candidates, settings.top_k or None
     )
     pool = pool.join(asked.select("session_id", "query_text"), "session_id").withColumn("query_id", F.col("session_id"))
-    if reranker is not None:
-        pool = rerank_groups(pool.select("query_id", "session_id", "query_text", "event_id", "type", "content", "score"), reranker)
+    if reranker is not None and settings.reranker_enabled:
+        pool = rerank_groups(pool.select("query_id", "session_id", "query_text", "event_id", "type", "content", "score"), reranker, settings.reranker_top_k or None)
     if settings.top_k:
         pool = rt.top_k(pool, settings.top_k, by="score").drop("rank")
     packed = bd.pack_retrieved(pool, int(total * settings.retrieved_ratio))
@@ -172,7 +174,7 @@ def assemble_turns(
     return built.unionByName(same)
 
 
-def due_enrichments(commits: DataFrame, every: int = S.ENRICH_EVERY) -> DataFrame:
+def due_enrichments(commits: DataFrame, every: int = S.ENRICH_EVERY, on_boundary: bool = True) -> DataFrame:
     """Commits (session_id, turn, segment, boundary, ok) at which enrichment runs.
 
     It runs every so many turns after its last success, or at a boundary in a new segment; only success moves
@@ -186,7 +188,7 @@ def due_enrichments(commits: DataFrame, every: int = S.ENRICH_EVERY) -> DataFram
             for r in pdf.itertuples(index=False):
                 if r.session_id != session:
                     session, last, seen = r.session_id, -1, None
-                run = r.turn >= 1 and (r.turn - max(last, 0) >= every or (bool(r.boundary) and r.segment != seen))
+                run = r.turn >= 1 and (0 < every <= r.turn - max(last, 0) or (on_boundary and bool(r.boundary) and r.segment != seen))
                 if run and bool(r.ok):
                     last, seen = r.turn, r.segment
                 keep.append(run)

@@ -26,6 +26,7 @@ from palaver.operators import sessions as ss
 from palaver.operators import state as st
 from palaver.operators import timeline as tl
 from palaver.plans import assembly as asm
+from palaver.plans import host
 from palaver.sources import cursor, trace_sink
 from palaver.sources import fixtures as fx
 from palaver.sources import messages as ms
@@ -404,7 +405,15 @@ def questions(spark, sf_dir):
     return fx.messages(spark, sf_dir).select("session_id", "msg_index", tx.is_question(F.col("content")).alias("is_question"))
 
 
-@query()
+@query(
+    f"""SELECT session_id, msg_index, array_to_string(list_filter(list_transform(kept, lambda t, i: CASE WHEN list_position(list_transform(kept, lambda u: lower(u)), lower(t)) = i THEN t END), lambda t: t IS NOT NULL)[1:30], '|') AS entities
+      FROM (SELECT session_id, msg_index, list_filter(list_transform(found, lambda t: regexp_replace(trim(t, ' ' || chr(9) || chr(10) || chr(13)), '^[.,;:!?()\\[\\]{{}}<>]+|[.,;:!?()\\[\\]{{}}<>]+$', '', 'g')),
+          lambda t: len(t) >= 2 AND lower(t) NOT IN {sql_list(S.STOPWORDS)}) AS kept
+        FROM (SELECT session_id, msg_index, list_concat(regexp_extract_all(said, '`([^`\\n]{{2,40}})`', 1), regexp_extract_all(said, '"([^"\\n]{{2,40}})"', 1),
+            regexp_extract_all(said, chr(39) || '([^' || chr(39) || '\\n]{{2,40}})' || chr(39), 1), regexp_extract_all(regexp_replace(said, '[\\p{{L}}\\p{{N}}_]*[^\\P{{L}}A-Za-zА-Яа-яЁё][\\p{{L}}\\p{{N}}_]*', '.', 'g'), '\\b[A-ZА-ЯЁ][A-Za-zА-Яа-яЁё0-9_-]{{2,}}\\b')) AS found
+          FROM (SELECT session_id, msg_index, coalesce(content, '') AS said FROM msg)))""",
+    MSG,
+)
 def entities(spark, sf_dir):
     return fx.messages(spark, sf_dir).select("session_id", "msg_index", F.array_join(tx.entities(F.col("content")), "|").alias("entities"))
 
@@ -512,6 +521,23 @@ def enrichment_due(spark, sf_dir):
     return tl.enrichment_runs(fx.messages(spark, sf_dir), 2).select("session_id", "msg_index", "turn")
 
 
+@query(
+    """SELECT session_id, turn, segment_id, history FROM due JOIN (SELECT session_id, string_agg('[' || type || '] ' || line, chr(10) ORDER BY back DESC) AS history
+        FROM (SELECT session_id, type, back, CASE WHEN len(content) > 800 THEN left(content, 600) || ' ...[truncated]... ' || right(content, 200) ELSE content END AS line
+          FROM (SELECT session_id, type, trim(content) AS content, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM ev) WHERE back <= 20 AND content <> '') GROUP BY ALL) USING (session_id)""",
+    EV,
+    "given AS (SELECT session_id, min(segment_id) AS last FROM ev WHERE seq = 3 AND session_id % 2 = 0 GROUP BY ALL)",
+    "cur AS (SELECT session_id, count(*) FILTER (type = 'user_message') AS turn, arg_max(segment_id, seq) AS segment_id, arg_min(segment_id, seq) AS first FROM ev GROUP BY ALL)",
+    """due AS (SELECT session_id, turn, segment_id FROM cur LEFT JOIN given USING (session_id)
+      WHERE turn >= 1 AND (turn - CASE WHEN last IS NULL THEN 0 ELSE 2 END >= 5 OR segment_id <> coalesce(last, first)))""",
+)
+def enrichment_requests(spark, sf_dir):
+    """Histories of the sessions that are due; every second session had an answer at its second turn, in the segment of its third event."""
+    events = fx.event_log(spark, sf_dir)
+    answers = events.filter("seq = 3 AND session_id % 2 = 0").select("session_id", F.lit(2).cast("long").alias("turn"), "segment_id")
+    return host.due_histories(events, host.due_sessions(events, answers, S.ENRICH_EVERY), S.ENRICH_TURNS)
+
+
 # -- timelines ------------------------------------------------------------------------------------
 
 
@@ -1000,7 +1026,20 @@ def embedded_events(spark, sf_dir):
     return rows.select("event_id", "session_id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
 
 
-@query()
+@query(
+    "SELECT session_id, msg_index, segment::INT AS segment FROM fold",
+    VEC,
+    "numbered AS (SELECT session_id, event_id::INT AS msg_index, embedding, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS n FROM vec)",
+    "cells AS (SELECT session_id, n, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS d FROM numbered)",
+    "sums AS (SELECT session_id, n, list(total ORDER BY d) AS run FROM (SELECT session_id, n, d, sum(x) OVER (PARTITION BY session_id, d ORDER BY n) AS total FROM cells) GROUP BY ALL)",
+    f"""fold AS (SELECT session_id, n, msg_index, 1 AS segment, 1::BIGINT AS start FROM numbered WHERE n = 1
+      UNION ALL SELECT session_id, n, msg_index, segment + cut::INT, CASE WHEN cut THEN n ELSE start END
+      FROM (SELECT v.session_id, v.n, v.msg_index, f.segment, f.start, v.n - f.start >= {S.COLD_START} AND {S.DRIFT_WEIGHTS[0]} * least(1, greatest(0, (1 - list_cosine_similarity(v.embedding,
+            list_transform(a.run, lambda x, i: x - CASE WHEN b.run IS NULL THEN 0 ELSE b.run[i] END))) / 2)) > 0.2 AS cut
+        FROM fold f JOIN numbered v ON v.session_id = f.session_id AND v.n = f.n + 1 JOIN sums a ON a.session_id = f.session_id AND a.n = f.n
+        LEFT JOIN sums b ON b.session_id = f.session_id AND b.n = greatest(f.start, f.n + 1 - {S.CENTROID_WINDOW}) - 1))""",
+    recursive=True,
+)
 def drift_segments(spark, sf_dir):
     """ST8, drift mode, over vectors in id order with the label as session."""
     v = fx.vectors(spark, sf_dir).select("session_id", F.col("event_id").alias("msg_index"), "embedding")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palaver import schemas as S
 
@@ -19,13 +22,34 @@ def event_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def json_value(text: Column) -> Column:
-    """F16: a string as a JSON literal in ASCII; other characters as the escapes of their UTF-16 units."""
-    listed = F.to_json(F.array(text))
-    literal = F.substr(listed, F.lit(2), F.length(listed) - 2)
-    units = F.regexp_extract_all(F.hex(F.encode(literal, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+def ascii_json(text: Column) -> Column:
+    """JSON text in ASCII; other characters as the escapes of their UTF-16 units."""
+    control = text  # digits of control characters in lower case
+    for digit in "ABCDEF":
+        control = F.regexp_replace(control, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    text = F.when(text.rlike(r"\\u00[01][A-F]"), control).otherwise(text)
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
     shown = F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
-    return F.when(literal.rlike(r"[^\x00-\x7F]"), F.array_join(shown, "")).otherwise(literal)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(shown, "")).otherwise(text)
+
+
+def json_value(value: Column, kind: T.DataType = T.StringType()) -> Column:
+    """F16: a value as JSON in ASCII; in objects and lists a space follows each colon and comma outside of strings."""
+    listed = F.to_json(F.array(value))
+    literal = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        literal = F.regexp_replace(literal, r'\G((?:"(?:[^"\\]++|\\.)*+"|[^",:]++)*+[,:])', "$1 ")
+    return ascii_json(literal)
+
+
+def function_json(call: Column, kind: T.StructType) -> Column:
+    """F16: a call's function with all its fields in their order; name and arguments always, others where they are given."""
+    parts = []
+    for f in kind.fields:
+        value = call["function"][f.name]
+        part = F.concat(F.lit(json.dumps(f.name) + ": "), json_value(value, f.dataType))
+        parts.append(part if f.name in ("name", "arguments") else F.when(value.isNotNull(), part))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
@@ -43,10 +67,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         .when(F.col("role") == "assistant", "assistant_message")
         .when(F.col("role") == "tool", "tool_output")
     )
-    # the call's function as JSON text with a space after each colon and comma
-    function = F.concat(
-        F.lit('{"name": '), json_value(F.col("call.function.name")), F.lit(', "arguments": '), json_value(F.col("call.function.arguments")), F.lit("}")
-    )
+    function = function_json(F.col("call"), messages.schema["tool_calls"].dataType.elementType["function"].dataType)
     content = F.when(called, function).otherwise(F.col("content"))
     sub = F.coalesce("pos", F.lit(0))
     estimate = F.when(called, F.floor(tokens(F.col("content")) / F.size("tool_calls"))).otherwise(tokens(F.col("content")))

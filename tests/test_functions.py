@@ -454,3 +454,20 @@ def test_snapshot_rule(spark):
     commits = df.select("session_id", "id", F.timestamp_seconds("at").alias("ts"), "goal", F.lit("x").alias("current_step"), F.lit(None).cast("string").alias("intent_label"), F.timestamp_seconds("act").alias("activity_ts"))
     # 3 is old enough, 4 differs, 5 had activity since 4, 7 differs; 6 had none after 5
     assert sorted(r.id for r in st.snapshot_log(commits).collect()) == [1, 3, 4, 5, 7, 9]
+
+
+def test_function_json_has_all_keys(spark):
+    """F16: further fields and nested ones in their order, as json.dumps writes them (a map from Python has no order in the JVM)."""
+    kind = "array<struct<id:string,function:struct<name:string,strict:boolean,arguments:string,parameters:struct<a:array<int>,`b c`:map<string,string>>>>>"
+    schema = f"session_id string, msg_index int, role string, content string, name string, tool_calls {kind}"
+    text = 'a "q", \\u001B \x1b \x0f é \U0001f600: {"k":1}'
+    full = {"name": "f", "strict": True, "arguments": text, "parameters": {"a": [1, 2], "b c": {"x:y,é": 'z, "w": \\\\'}}}
+    less = {"name": "g", "arguments": "{}"}
+    rows = [("s", 0, "assistant", None, None, [("1", (full["name"], True, text, ([1, 2], full["parameters"]["b c"]))), ("2", ("g", None, "{}", None))])]
+    got = ms.parse_messages(spark.createDataFrame(rows, schema)).orderBy("sub_index").collect()
+    assert [r.content for r in got] == [json.dumps(full), json.dumps(less)]
+
+
+def test_settings_reach_assembly():
+    s = load_settings({"goal_trail": 2}, {"PALAVER_DRIFT_THRESHOLD": "0.5", "PALAVER_MEMORY_HINT": "off", "PALAVER_RERANKER_TOP_K": "7"}, {"enricher_endpoint": "http://e"})
+    assert (s.goal_trail, s.drift_threshold, s.memory_hint, s.reranker_top_k, s.enricher_endpoint) == (2, 0.5, False, 7, "http://e")
