@@ -41,3 +41,19 @@ def test_stacks_equal_the_sequential_fold(spark, block_turns, parts, names):
         r = got[s]
         assert [tuple(d) for d in r.decision_stack] == state["stack"] and r.decision_summary == state["summary"]
         assert (r.intent_label, r.topic_tags) == (state["label"], state["tags"])
+
+
+def test_rounds_do_not_grow_with_the_blocks_of_a_session(spark, monkeypatch):
+    """Sessions of few turns far apart are one block; one of 40 blocks that no guess settles ends after ROUNDS rounds all the same."""
+    cuts, plainly = [], folds.cut
+    monkeypatch.setattr(folds, "cut", lambda df: cuts.append(1) or plainly(df))
+    far = [(s, turn * 1_000_000, None, None, [(f"d{(turn * 7 + i) % 11}", "") for i in range(2)]) for s in ("a", "b") for turn in range(30)]
+    got = folds.decision_stacks(spark.createDataFrame(far, ANSWERS)).collect()
+    assert len(cuts) == 3 and {r.session_id: [tuple(d) for d in r.decision_stack] for r in got} == {s: x["stack"] for s, x in plain(far).items()}
+    same = [("c", turn, None, None, [(f"d{(turn + turn // 40) % 4 + (9 if turn > 190 else 0)}", "")]) for turn in range(200)] + [("c", 0, None, None, [("first", ""), ("second", "")])]
+    cuts.clear()
+    got = folds.decision_stacks(spark.createDataFrame(same + far, ANSWERS).repartition(3), 5).collect()
+    assert len(cuts) <= 3 + 2 * folds.ROUNDS
+    assert {r.session_id: [tuple(d) for d in r.decision_stack] for r in got} == {s: x["stack"] for s, x in plain(same + far).items()}
+    in_order = folds.decision_stacks(spark.createDataFrame(same + far, ANSWERS).repartition(3), 5, rounds=0).collect()
+    assert sorted(map(repr, in_order)) == sorted(map(repr, got))
