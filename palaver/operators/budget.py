@@ -54,6 +54,13 @@ def pack_retrieved(candidates: DataFrame, budget: Column | int, key: str = "quer
     return rows.withColumn("used", F.sum("chunk_tokens").over(order.rowsBetween(*SO_FAR))).drop("header", "run", "misfits", "budget")
 
 
+def most_chunks(candidates: DataFrame, budget: int) -> int:
+    """How many of the best rows of a query :func:`pack_retrieved` may look at: as many of the shortest chunk as fit, and the first misfit."""
+    chunk = F.concat(chunk_header(F.col("type"), F.col("event_id")), F.coalesce("content", F.lit("")))
+    least = candidates.agg(F.min(tokens(chunk))).first()[0] or 1
+    return budget // max(1, least) + 1
+
+
 def message_cost(text: Column) -> Column:
     return tokens(text) + S.MESSAGE_TOKENS
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions.vector import rows_of
 from palaver.operators.graph import cut
 from palaver.operators.retrieval import top_k
 
@@ -40,19 +41,6 @@ MOST_PIVOTS, SAMPLE, CELL_ROWS, BLOCK = 256, 8192, 50_000, 2048
 SLACK = 1e-7
 
 
-def rows_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, matrix) of the vectors of an Arrow list column that are *width* long and hold no null."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets, flat = column.offsets.to_numpy(), column.values
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    lengths = np.diff(offsets)
-    good = np.flatnonzero((lengths == width) & ~np.asarray(column.is_null()))
-    matrix = values[offsets[good][:, None] + np.arange(width)[None, :]] if len(good) else np.empty((0, width))
-    finite = np.isfinite(matrix).all(axis=1)
-    return good[finite], matrix[finite]
-
-
 def in_space(matrix: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have a place, places)."""
     if metric == "l2":

@@ -1,63 +1,39 @@
 """Ranked retrieval.
 
-Queries are the small side: they are broadcast only up to ``BROADCAST_QUERIES`` rows and otherwise meet the
-vectors block by block; the vectors are scanned, never moved whole.  A search within sessions is an equi-join on the
-session, so no other pair is formed.  Details join the vectors before these meet queries, not each pair.  Top-k keeps a
-bounded state per query and task before the shuffle.
+Queries meet vectors in block products (:mod:`palaver.operators.blocks`); neither side is held whole.  A search within
+sessions lets the vectors of a session meet its own queries, so no other pair is formed.  Details join the vectors before
+these meet queries, not each pair.  The best k keep a bounded state per query and task before the shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver import schemas as S
-from palaver.functions.vector import dot, l2_similarity, norm
-
-BROADCAST_QUERIES = 4096
-
+from palaver.operators import blocks
 
-def measured(rows: DataFrame, vector: str, metric: str) -> DataFrame:
-    """Rows with their vector's norm as ``__<vector>``, so that no pair computes it again; for cosines those without one are left out."""
-    if metric != "cosine":
-        return rows.filter(F.col(vector).isNotNull())
-    return rows.withColumn(f"__{vector}", norm(F.col(vector))).filter(F.col(f"__{vector}") > 0)
+#: What a score adds to the similarity, in the order of the weights of a mode.
+TERMS = ("recency", "bonus", "type_weight")
 
 
-def similarity(query: str, vector: str, metric: str, query_norm: str, vector_norm: str) -> Column:
-    if metric != "cosine":
-        return l2_similarity(F.col(query), F.col(vector))
-    return dot(F.col(query), F.col(vector)) / (F.col(query_norm) * F.col(vector_norm))
+def sides(queries: DataFrame, vectors: DataFrame, wanted: str | None) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors as :func:`blocks.met` takes them; *wanted*: the column of queries that names the session whose vectors they meet."""
+    asked = F.struct(*[c for c in queries.columns if c != "query"]).alias("q")
+    given = F.struct(*[c for c in vectors.columns if c != "embedding"]).alias("v")
+    group = (F.lit(0), F.lit(0)) if wanted is None else (F.col(wanted), F.col("session_id"))
+    return queries.select(group[0].alias("g"), asked, F.col("query").alias("vector")), vectors.select(group[1].alias("g"), given, F.col("embedding").alias("vector"))
 
 
 def score_pairs(queries: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(query_id, query session, vector row, similarity) of a stated query set against all vectors.
-
-    Queries come in blocks of at most BROADCAST_QUERIES; each block is one array per task's row.  For the best k alone,
-    :mod:`palaver.operators.knn` does not form all pairs.
-    """
-    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    asked, given = measured(queries, "query", metric), measured(vectors, "embedding", metric)
-    parts = []
-    for b in range(blocks):
-        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = mine.agg(F.collect_list(F.struct(*mine.columns)).alias("qs"))  # bounded by the block
-        rows = given.join(F.broadcast(held)).select("*", F.explode("qs").alias("q")).drop("qs")
-        parts.append(rows.withColumn("similarity", similarity("q.query", "embedding", metric, "q.__query", "__embedding")).drop("embedding", "__embedding"))
-    out = reduce(DataFrame.unionByName, parts)
-    rest = [c for c in queries.columns if c != "query"]
-    return out.select(*[F.col(f"q.{c}").alias(c) for c in rest], *[c for c in out.columns if c != "q"])
+    """(query_id, query session, vector row, similarity) of a stated query set against all vectors, all pairs."""
+    return blocks.met(*sides(queries, vectors, None), None, metric).drop("mode", "score")
 
 
 def score_in_sessions(queries: DataFrame, vectors: DataFrame, wanted: str, metric: str = "cosine") -> DataFrame:
     """V3, V4: as :func:`score_pairs`, of each query with the vectors of its own sessions alone (*wanted*: a column of queries)."""
-    mine = measured(queries.withColumn("session_id", F.col(wanted)).filter("session_id IS NOT NULL"), "query", metric)
-    mine = F.broadcast(mine) if queries.count() <= BROADCAST_QUERIES else mine
-    rows = measured(vectors, "embedding", metric).join(mine, "session_id")
-    return rows.withColumn("similarity", similarity("query", "embedding", metric, "__query", "__embedding")).drop("query", "embedding", "__query", "__embedding")
+    return blocks.met(*sides(queries, vectors, wanted), None, metric).drop("mode", "score")
 
 
 def top_k(scored: DataFrame, k: int | None, by: str = "similarity", key: str = "query_id") -> DataFrame:
@@ -73,13 +49,13 @@ def search(queries: DataFrame, vectors: DataFrame, scope: str, k: int, metric: s
     scope: 'session' (queries carry q_session), 'sessions' (q_sessions, an array; empty finds nothing),
     'other' (not q_session) or 'all'.
     """
-    if scope == "session":
-        return top_k(score_in_sessions(queries, vectors, "q_session", metric), k)
+    others, wanted = None, {"session": "q_session", "sessions": "q_one"}.get(scope)
     if scope == "sessions":
-        each = queries.withColumn("q_one", F.explode(F.array_distinct("q_sessions")))
-        return top_k(score_in_sessions(each, vectors, "q_one", metric).drop("q_one"), k)
-    scored = score_pairs(queries, vectors, metric)
-    return top_k(scored.filter("session_id <> q_session") if scope == "other" else scored, k)
+        queries = queries.withColumn("q_one", F.explode(F.array_distinct("q_sessions")))
+    elif scope == "other":
+        queries, others = queries.filter("q_session IS NOT NULL"), ("q_session", "session_id")
+    found = blocks.met(*sides(queries, vectors, wanted), k or None, metric, others)
+    return top_k(found.drop("mode", "score", "q_one"), k)
 
 
 def recency(ts: Column, as_of: str, rate: float = S.RECENCY_LAMBDA) -> Column:
@@ -96,10 +72,24 @@ def type_weight(kind: Column) -> Column:
     return out
 
 
+def with_terms(rows: DataFrame, as_of: str, rate: float = S.RECENCY_LAMBDA) -> DataFrame:
+    """Rows with what does not depend on a query, unless they have it: recency, type_weight and bonus."""
+    parts = {"recency": lambda: recency(F.col("ts"), as_of, rate), "type_weight": lambda: type_weight(F.col("type")), "bonus": lambda: F.lit(0.0)}
+    return rows.withColumns({name: made() for name, made in parts.items() if name not in rows.columns})
+
+
+def best_composite(queries: DataFrame, vectors: DataFrame, k: int, as_of: str, rate: float = S.RECENCY_LAMBDA, mode: str | None = "general") -> DataFrame:
+    """The k best rows of each query (and mode) by :func:`composite`, without forming all pairs; ``rank`` says their order."""
+    rows = with_terms(vectors, as_of, rate).withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+    modes = {mode: S.MODE_WEIGHTS[mode]} if mode else S.MODE_WEIGHTS
+    found = blocks.met(*sides(queries, rows, None), k, terms=TERMS, modes=dict(modes))
+    rank = F.row_number().over(W.partitionBy("query_id", "mode").orderBy(F.col("score").desc(), "event_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def composite(rows: DataFrame, as_of: str, rate: float = S.RECENCY_LAMBDA, mode: str | None = "general") -> DataFrame:
     """The weighted sum for one mode, or for all modes (mode None) as rows."""
-    parts = {"recency": recency(F.col("ts"), as_of, rate), "type_weight": type_weight(F.col("type"))}
-    rows = rows.withColumns(parts if "bonus" in rows.columns else parts | {"bonus": F.lit(0.0)})
+    rows = with_terms(rows, as_of, rate)
     of = {mode: S.MODE_WEIGHTS[mode]} if mode else S.MODE_WEIGHTS
     weights = F.array(*[F.struct(F.lit(m).alias("mode"), *[F.lit(x).alias(n) for x, n in zip(w, "srdt", strict=True)]) for m, w in of.items()])
     rows = rows.withColumn("w", F.explode(weights))
