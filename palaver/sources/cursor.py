@@ -1,7 +1,9 @@
 """Message buffers as a streaming source with a cursor per buffer.
 
 A host keeps the messages of a session in a buffer that grows, and now and then begins anew with a shorter one.  Here a
-buffer is a file of JSON lines below the source's path, named after its session.  The offset of the stream is the cursor of
+buffer is a file of JSON lines below the source's path, named after its session.  Where sessions are many, a buffer holds those
+of many sessions, each line with its ``session_id``, so that buffers, cursors and tasks grow with the bytes and not with the sessions
+(:func:`write_buffers`).  The offset of the stream is the cursor of
 every buffer, in bytes up to its last whole line; a buffer that is shorter than its cursor is read again from its start.
 Only the ends of buffers are looked at on the driver; lines are read by tasks, each of a range of at most ``RANGE`` bytes,
 cut at lines.  The stream's checkpoint keeps the cursors, so a message is handed on once, also after a restart.
@@ -10,7 +12,7 @@ cut at lines.  The stream's checkpoint keeps the cursors, so a message is handed
     spark.readStream.format("message_buffers").load("/shared/buffers")
 
 Paths are those of pyarrow's file systems (local and shared folders, hdfs://, s3://).  Lines that are not JSON objects are left
-out.  One row a message: session_id, at (the line's first byte, which orders a buffer), role, content, name.
+out.  One row a message: session_id (the line's, else the buffer's), at (the line's first byte, which orders a buffer), role, content, name.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RANGE = 32 << 20
@@ -87,6 +92,21 @@ def read_lines(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
             at += len(line)
 
 
+def write_buffers(lines: DataFrame, path: str) -> None:
+    """Write lines (session_id, msg_index, line) as one buffer a task, each session in one buffer and in order."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():06d}.jsonl") as f:
+            for batch in batches:
+                f.write("".join(line + "\n" for line in batch.column(0).to_pylist()).encode())
+        yield from ()
+
+    dealt = lines.repartition("session_id").sortWithinPartitions("session_id", "msg_index").select("line")
+    dealt.mapInArrow(put, "line string").write.format("noop").mode("overwrite").save()
+
+
 class BufferReader:
     def __init__(self, path: str, width: int = RANGE):
         self.path, self.width = path, width
@@ -114,7 +134,8 @@ class BufferReader:
             except ValueError:
                 continue
             if isinstance(message, dict):
-                yield (part.session, at, *(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in map(message.get, FIELDS)))
+                named = message.get("session_id")
+                yield (part.session if named is None else str(named), at, *(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in map(message.get, FIELDS)))
 
 
 class StreamReader(BufferReader, DataSourceStreamReader):

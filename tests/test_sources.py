@@ -211,3 +211,16 @@ def test_a_long_chain_is_walked(spark, tmp_path):
     table = ln.LineageTable(spark, f"{tmp_path}/l", 4)
     table.build(lineage)
     assert ln.chains_of(table, spark.createDataFrame([(15,)], "session_id long")).count() == 31
+
+
+def test_buffers_of_many_sessions(spark, tmp_path):
+    """Buffers, and so cursors and tasks, do not grow with the sessions; lines say whose they are."""
+    lines = spark.range(600).selectExpr("id % 200 AS session_id", "id DIV 200 AS msg_index", "to_json(struct(cast(id % 200 AS string) AS session_id, 'user' AS role, cast(id AS string) AS content)) AS line")
+    cursor.write_buffers(lines.repartition(3), str(tmp_path))
+    assert 0 < len(cursor.buffers(str(tmp_path))) <= 4
+    spark.dataSource.register(cursor.MessageBuffers)
+    rows = spark.read.format("message_buffers").load(str(tmp_path)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.session_id, r["at"])):
+        got.setdefault(int(r.session_id), []).append(int(r.content))
+    assert got == {s: [s, s + 200, s + 400] for s in range(200)}
