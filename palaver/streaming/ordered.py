@@ -1,7 +1,7 @@
 """Stateful streams that need their rows in order: the live snapshot log and the live edges (ST3, W3, G2).
 
 Both rules look at the row before, so a late row would change what was said about later ones.  Rows therefore wait in the
-state of their session, each with an event-time timer, until the watermark has passed them: no earlier row can come any more,
+state of their session, under an event-time timer for the earliest of them, until the watermark has passed them: no earlier row can come any more,
 and they are folded in order of time and id.  What is kept besides is one row a session, so the state is bounded by what
 arrives within the delay.  Output is appended and never revised, whatever the micro-batches were.
 
@@ -48,10 +48,13 @@ class InOrder(StatefulProcessor):
             new = [tuple(None if v is None else int(v) if i < 2 else str(v) for i, v in enumerate(r)) for r in batch[["at", "id", *self.fields]].itertuples(index=False)]
             if new:
                 self.waiting.appendList(new)
-            for due in {-(-r[0] // 1000) for r in new}:
-                self.handle.registerTimer(due)
+                self.wake(new)
         return iter(())
 
+    def wake(self, rows: list[tuple]) -> None:
+        """One timer for the earliest of *rows*; when it fires, it sees to all that are due and to the next timer."""
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
@@ -61,6 +64,7 @@ class InOrder(StatefulProcessor):
         rest = [r for r in rows if r[0] > passed]
         if rest:
             self.waiting.put(rest)
+            self.wake(rest)
         else:
             self.waiting.clear()
         kept, out = tuple(self.state.get()) if self.state.exists() else None, []

@@ -79,3 +79,47 @@ def test_edges_equal_the_batch_rule_and_survive_a_restart(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
     assert spark.conf.get(ordered.PROVIDER) != ordered.ROCKS
     assert spark.read.parquet(f"{tmp_path}/edges").filter(F.col("from_event_id").isNull()).count() == 0
+
+
+def test_a_key_waits_under_one_timer_a_batch():
+    """Timers do not grow with the rows that wait; the one that fires sets the next."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows = None
+
+        def exists(self):
+            return self.rows is not None
+
+        def get(self):
+            return self.rows
+
+        def appendList(self, new):
+            self.rows = (self.rows or []) + list(new)
+
+        def put(self, new):
+            self.rows = list(new)
+
+        update = put
+
+        def clear(self):
+            self.rows = None
+
+    class Clock:
+        now = 0
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    timers, rule, clock = [], ordered.EdgeRule(), Clock()
+    rule.handle, rule.waiting, rule.state = clock, Held(), Held()
+    rows = pd.DataFrame({"at": [i * 1000 for i in range(1, 51)], "id": range(1, 51), "event_id": [str(i) for i in range(1, 51)], "type": ["tool_call", "tool_output"] * 25})
+    assert list(rule.handleInputRows(("s",), iter([rows]), clock)) == [] and timers == [1]
+    clock.now = 30
+    assert sum(len(f) for f in rule.handleExpiredTimer(("s",), clock, None)) == 15 and timers == [1, 31]
+    clock.now = 99
+    assert sum(len(f) for f in rule.handleExpiredTimer(("s",), clock, None)) == 10 and timers == [1, 31] and not rule.waiting.exists()
