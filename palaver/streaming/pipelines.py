@@ -5,18 +5,16 @@ Offsets and state live in the query's checkpoint folder, which must be on shared
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from palaver.functions.text import clip, strip
 
 STATE_OUT = "session_id string, goal string, current_step string, last_tool string, last_tool_output_summary string, turn_count long"
 #: A field is kept with the place (time in microseconds, event) of what it was taken from.
 FIELDS = ("goal", "current_step", "last_tool", "last_tool_output_summary")
-STATE_KEPT = ", ".join(f"{f} string, {f}_ts long, {f}_event string" for f in FIELDS) + ", turn_count long"
 #: The partition column of an ingested log.
 DAY = "ingest_day"
 
@@ -55,7 +53,7 @@ def start_ingest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def fold_state(state: dict, rows: pd.DataFrame) -> dict:
-    """ST1 for some events of one session, in any order: state holds (place, value) for each field, and turn_count.
+    """ST1 row by row, which :func:`live_states` is tested against: some events of one session, in any order; state holds (place, value) for each field, and turn_count.
 
     A place is (time, event); the goal is that of the earliest user message, the other fields those of the latest event.
     """
@@ -82,35 +80,37 @@ def fold_state(state: dict, rows: pd.DataFrame) -> dict:
 
 
 def live_states(events: DataFrame, idle: str = "30 days") -> DataFrame:
-    """ST1 as a stateful operator: the session's state after each micro-batch that touches it.
+    """ST1 as a streaming aggregate: what the micro-batches so far say of a session, in parts by the span of time (*idle* long) of its events.
 
-    Events may come late and in any order, as each field knows the place it was taken from.  The watermark is *idle* behind
-    the latest event: what is older still is dropped, and a session whose last event it has passed is forgotten; its last
-    state has been handed on.
+    A part has the session, the start of its span (since), each field with the place it was taken from, and turn_count.  A
+    micro-batch hands on the parts that it touches as they are from then on; :func:`session_states` joins them.  Events may come late
+    and in any order, as each field knows its place.  The watermark is *idle* behind the latest event: what belongs to a span that
+    it has passed is dropped, and the part is forgotten; its last form has been handed on.  An event without a time is an error.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        state: dict = {}
-        if held.exists:
-            *kept, state["turn_count"] = held.get
-            for f, value, at, event in zip(FIELDS, kept[::3], kept[1::3], kept[2::3], strict=True):
-                if at is not None:
-                    state[f] = ((at, event), value)
-        for rows in batches:
-            state = fold_state(state, rows)
-        flat: list = []
-        for f in FIELDS:
-            (at, event), value = state.get(f, ((None, None), None))
-            flat += [value, at, event]
-        held.update((*flat, state.get("turn_count", 0)))
-        last = max((at // 1000 for at in flat[1::3] if at is not None), default=0)
-        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame([{"session_id": str(key[0]), **{f: state[f][1] if f in state else None for f in FIELDS}, "turn_count": state.get("turn_count", 0)}])
-
     key = F.format_string("%020d", "event_id") if dict(events.dtypes)["event_id"] in ("bigint", "int") else F.col("event_id").cast("string")
-    ts = F.col("ts").cast("timestamp")
-    narrow = events.select("session_id", key.alias("event_key"), ts.alias("ts"), F.unix_micros(ts).alias("at"), "type", "content", "tool_name")
-    return narrow.withWatermark("ts", idle).groupBy("session_id").applyInPandasWithState(update, STATE_OUT, STATE_KEPT, "update", GroupStateTimeout.EventTimeTimeout)
+    ts = F.coalesce(F.col("ts").cast("timestamp"), F.raise_error(F.lit("an event of a live state has no ts")).cast("timestamp"))
+    narrow = events.select("session_id", key.alias("event_key"), ts.alias("ts"), "type", "content", "tool_name").withWatermark("ts", idle)
+    place, text, kind = F.struct(F.unix_micros("ts").alias("at"), F.col("event_key").alias("event")), F.coalesce("content", F.lit("")), F.col("type")
+    bare = strip(text)
+    user, call = (kind == "user_message") & (bare != ""), kind == "tool_call"
+    reply, output = (kind == "assistant_message") & (text != ""), (kind == "tool_output") & (text != "")
+    step = F.when(user, F.left(bare, F.lit(300))).when(reply, F.left(text, F.lit(200)))
+    found = {
+        "goal": (user, F.left(bare, F.lit(500))), "current_step": (user | reply, step), "last_tool": (call, F.col("tool_name")),
+        "last_tool_output_summary": (output, clip(text, 100, "...")),
+    }
+    rows = narrow.select("session_id", "ts", user.alias("turn"), *[F.when(of, F.struct(place.alias("place"), value.alias("value"))).alias(f) for f, (of, value) in found.items()])
+    parts = rows.groupBy("session_id", F.window("ts", idle).alias("span")).agg(*_best(), F.coalesce(F.sum(F.col("turn").cast("long")), F.lit(0)).alias("turn_count"))
+    return parts.select(F.col("session_id").cast("string").alias("session_id"), F.col("span.start").alias("since"), *FIELDS, "turn_count")
+
+
+def _best() -> list[Column]:
+    """Of each field the earliest (goal) or the latest (others) that has a place."""
+    return [(F.min_by if f == "goal" else F.max_by)(f, f"{f}.place").alias(f) for f in FIELDS]
+
+
+def session_states(parts: DataFrame) -> DataFrame:
+    """STATE_OUT: the state of each session from what :func:`live_states` has handed on, in one or more forms of each part."""
+    newest = parts.groupBy("session_id", "since").agg(*_best(), F.max("turn_count").alias("turn_count"))  # a part's turns only grow
+    whole = newest.groupBy("session_id").agg(*_best(), F.sum("turn_count").alias("turn_count"))
+    return whole.select("session_id", *[F.col(f"{f}.value").alias(f) for f in FIELDS], "turn_count")
