@@ -20,17 +20,15 @@ executor's partitions are read and cut again to the same windows, as long as the
 table, not the output of a shuffle.  ``sequence_id`` is the partition's number in the upper bits and the window's in the lower.
 
 Tokens are those of the given tokenizer file.  Its vocabulary is handed to tiktoken, which merges byte pairs by rank with the
-same result, and what stands between single blanks is tokenised once per distinct form and task (``MEMO`` of them at most).
+same result, a whole text in one call.
 
-Edge cases: a null or empty text is its end token alone; a very long text is tokenised in one piece after the other and
-runs through as many windows as it needs; repeated rows and ids are documents of their own; null ids stay null; an empty
+Edge cases: a null or empty text is its end token alone; a very long text runs through as many windows as it needs; repeated rows and ids are documents of their own; null ids stay null; an empty
 table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,13 +40,11 @@ from pyspark.sql import DataFrame
 
 WINDOW, END_TOKEN = 2048, 1
 SENTENCE_CUT, HARD_CUT, HARD_EVERY, WINDOW_COST = 4.0, 32.0, 64, 8.0
-#: Tokens after which the windows that are certain are handed on; forms that a task remembers.
-HAND_ON, MEMO = 1 << 18, 400_000
+#: Tokens after which the windows that are certain are handed on.
+HAND_ON = 1 << 18
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: The splitting rule and the only special token of the tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Where one of these stands, a blank may belong to a run of white space: the text is tokenised whole.
-RUNS = re.compile("  | \n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 SENTENCE_ENDS = tuple(s.encode() for s in (".", "!", "?", "…", "。", "！", "？"))
 
 
@@ -70,24 +66,9 @@ class Encoder:
         self.closes, self.opens, self.breaks = (np.zeros(size, bool) for _ in range(3))
         for t, i in self.tokens.items():
             self.closes[i], self.opens[i], self.breaks[i] = t.rstrip(b"\"')]}").endswith(SENTENCE_ENDS), t[:1].isspace(), b"\n" in t
-        self.memo: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return self.core.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-
-    def after_blank(self, form: str) -> bytes:
-        got = self.memo.get(form)
-        if got is None:
-            got = self.plain(" " + form)
-            if len(self.memo) < MEMO and len(form) < 64:
-                self.memo[form] = got
-        return got
 
     def ids(self, text: str) -> np.ndarray:
-        if RUNS.search(text):
-            return np.frombuffer(self.plain(text), "<u4")
-        first, *rest = text.split(" ")
-        return np.frombuffer(self.plain(first) + b"".join(map(self.after_blank, rest)), "<u4")
+        return self.core.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """How many tokens stand before each place at which a sentence has ended."""

@@ -98,6 +98,20 @@ def coder():
     return packing.Encoder(TOKENIZER)
 
 
+def test_a_text_is_tokenised_in_one_call(coder, tokenizer, monkeypatch):
+    """A call a distinct word cost more than the merges."""
+    calls, core = [], coder.core
+
+    class Counted:
+        def encode_to_numpy(self, text, **given):
+            calls.append(text)
+            return core.encode_to_numpy(text, **given)
+
+    monkeypatch.setattr(coder, "core", Counted())
+    text = " ".join(f"w{i}ord  {i}\n né</s>" for i in range(500))
+    assert coder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids and calls == [text]
+
+
 def padding(n, window=packing.WINDOW):
     return 0 if n & (n - 1) == 0 else window - n
 
