@@ -31,23 +31,66 @@ class Enricher(Protocol):
     def enrich(self, history: str) -> str | None: ...
 
 
+def crc_table() -> np.ndarray:
+    crc = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        crc = np.where(crc & 1, (crc >> 1) ^ np.uint32(0xEDB88320), crc >> 1)
+    return crc
+
+
+CRC = crc_table()
+
+
+def trigram_hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, CRC-32 of its UTF-8) of every run of three characters within a piece; pieces have three or more."""
+    raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+    starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    sizes = np.array([len(p) for p in pieces])
+    inside, ends = np.ones(len(starts) - 1, bool), np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    first = np.flatnonzero(inside)
+    at, size = starts[first], starts[first + 3] - starts[first]
+    crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+    for k in range(int(size.max(initial=0))):
+        on = slice(None) if k < 3 else np.flatnonzero(size > k)
+        crc[on] = CRC[(crc[on] ^ raw[at[on] + k]) & 0xFF] ^ (crc[on] >> 8)
+    return np.repeat(np.arange(len(pieces)), sizes)[first], ~crc
+
+
 class HashedEmbedder:
     """Character trigrams hashed into a unit vector."""
 
+    #: Texts that are handed over at once, and characters that are hashed at once.
+    batch, block = 256, 1 << 16
+
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def embed(self, texts):
-        out = []
-        for t in texts:
-            v = np.zeros(self.dim)
+        counts = np.zeros((len(texts), self.dim))
+        rows: list[int] = []
+        pieces: list[str] = []
+        held = 0
+        for row, t in enumerate(texts):
             low = f" {t.lower()} "
-            for i in range(len(low) - 2):
-                h = zlib.crc32(low[i : i + 3].encode())
-                v[h % self.dim] += 1 if h & 0x10000 else -1
-            n = np.linalg.norm(v)
-            out.append((v / n).astype(np.float32).tolist() if n else None)
-        return out
+            for at in range(0, len(low) - 2, self.block):
+                rows.append(row)
+                pieces.append(low[at : at + self.block + 2])
+                held += len(pieces[-1])
+                if held >= self.block:
+                    self.count(counts, rows, pieces)
+                    rows, pieces, held = [], [], 0
+        if pieces:
+            self.count(counts, rows, pieces)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        units = (counts / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+        return [u.tolist() if n else None for u, n in zip(units, norms, strict=True)]
+
+    def count(self, counts: np.ndarray, rows: list[int], pieces: list[str]) -> None:
+        of, h = trigram_hashes(pieces)
+        cells = (np.array(rows)[of] - rows[0]) * self.dim + h % self.dim
+        got = np.bincount(cells, np.where(h & 0x10000, 1.0, -1.0), (rows[-1] - rows[0] + 1) * self.dim)
+        counts[rows[0] : rows[-1] + 1] += got.reshape(-1, self.dim)
 
 
 class OverlapReranker:
@@ -78,21 +121,34 @@ class Breaker:
             return [None] * len(texts)
 
 
-def embed_column(embedder: Embedder, batch: int = 16):
-    """A vectorised function from text to vector; blank texts give null."""
+def floats(vector) -> np.ndarray | list | None:
+    """A vector in four bytes a number; one with gaps as it is."""
+    return vector if vector is None or any(x is None for x in vector) else np.asarray(vector, np.float32)
+
+
+def embed_column(embedder: Embedder, batch: int = 16, rows: int = 1024):
+    """A vectorised function from text to vector; blank texts give null.
+
+    So many texts are handed over at once, or as many as an embedder of no service names as its ``batch``; a task hands on *rows* vectors at a time
+    and holds no more.  The function counts as not deterministic, as services are: a filter on its result then stays behind it, instead of
+    running it once more in a second worker of each task.
+    """
+    batch = getattr(embedder, "batch", batch)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            filled = [i for i, t in enumerate(s) if isinstance(t, str) and t.strip()]
-            out: list = [None] * len(s)
-            for at in range(0, len(filled), batch):
-                part = filled[at : at + batch]
-                for i, v in zip(part, embedder.embed([s.iloc[i] for i in part]), strict=True):
-                    out[i] = v
-            yield pd.Series(out)
-
-    return run
+        for whole in texts:
+            for start in range(0, max(1, len(whole)), rows):
+                s = whole.iloc[start : start + rows]
+                filled = [i for i, t in enumerate(s) if isinstance(t, str) and t.strip()]
+                out: list = [None] * len(s)
+                for at in range(0, len(filled), batch):
+                    part = filled[at : at + batch]
+                    for i, v in zip(part, embedder.embed([s.iloc[i] for i in part]), strict=True):
+                        out[i] = floats(v)
+                yield pd.Series(out, dtype=object)
+
+    return run.asNondeterministic()
 
 
 def embed_events(events: DataFrame, embedder: Embedder, model: str, threshold: int = S.SUMMARY_THRESHOLD, summary: int = S.SUMMARY_TOKENS) -> DataFrame:

@@ -134,6 +134,49 @@ def test_answers_are_normalized_and_merged(spark):
     assert [d.decision for d in row.decision_stack] == ["d1", "d2", "d3", "d4", "d9"]
 
 
+def test_hashed_vectors_equal_the_plain_form(monkeypatch):
+    import zlib
+
+    import numpy as np
+
+    def plain(t, dim):
+        v, low = np.zeros(dim), f" {t.lower()} "
+        for i in range(len(low) - 2):
+            h = zlib.crc32(low[i : i + 3].encode())
+            v[h % dim] += 1 if h & 0x10000 else -1
+        n = np.linalg.norm(v)
+        return (v / n).astype(np.float32).tolist() if n else None
+
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "\u0130stanbul \U0001f600\U0001f600\U0001f601 \u4e2d\u6587", "x" * 500] + ["".join(rng.choice("ab \u00e9\u20ac\U0001f600Z") for _ in range(rng.randrange(300))) for _ in range(60)]
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(enr.HashedEmbedder, "block", block)
+        for dim in (8, 64):
+            assert enr.HashedEmbedder(dim).embed(texts) == [plain(t, dim) for t in texts]
+    assert enr.HashedEmbedder().embed([]) == []
+
+
+def test_a_text_is_embedded_once(spark):
+    """The filter on the vectors stays behind the function that makes them, and vectors are handed on in bounded pieces."""
+    df = spark.range(3000).select(F.col("id").alias("event_id"), F.lit("s").alias("session_id"), F.lit("g").alias("segment_id"), F.lit("user_message").alias("type"),
+        F.concat(F.lit("some text "), F.col("id")).alias("content"), F.lit(1).alias("token_estimate")).coalesce(1)
+    rows = enr.embed_events(df, enr.HashedEmbedder(), "m")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.event_id: r.embedding for r in rows.collect()}
+    assert len(got) == 3000 and all(got[i] == enr.HashedEmbedder().embed([f"some text {i}"])[0] for i in (0, 1023, 1024, 2999))
+    seen: list = []
+
+    class Gaps:
+        def embed(self, texts):
+            seen.append(len(texts))
+            return [[1.0, None] if t == "some text 1" else [0.5] for t in texts]
+
+    import pandas as pd
+
+    pieces = list(enr.embed_column(Gaps()).func(iter([pd.Series([f"some text {i}" for i in range(2500)])])))
+    assert [len(p) for p in pieces] == [1024, 1024, 452] and max(seen) == 16 and pieces[0][1] == [1.0, None]
+
+
 def test_embedder_and_breaker(spark):
     df = spark.createDataFrame([("hello world",), (" ",), (None,)], "t string")
     got = [r[0] for r in df.select(enr.embed_column(enr.HashedEmbedder())(F.col("t"))).collect()]
