@@ -122,9 +122,9 @@ def assemble_turns(
     long = budgets.filter(~F.col("pass_through")).select("session_id")
     if resumed is not None:
         long = long.unionByName(resumed.select("session_id").join(budgets, "session_id", "left_semi")).distinct()
-    # written once: later steps read them several times
+    # written once: later steps read them several times; dealt anew, as a small file of long texts is one task to read and to embed
     long = gr.cut(long)
-    work, states = gr.cut(events.join(long, "session_id", "left_semi")), gr.cut(states.join(long, "session_id", "left_semi"))
+    work, states = gr.cut(events.join(long, "session_id", "left_semi").repartition("event_id")), gr.cut(states.join(long, "session_id", "left_semi"))
     talk = messages.join(long, "session_id", "left_semi")
     vectors = gr.cut(embed_events(work, embedder, "assembly", settings.summary_threshold, settings.summary_tokens))
     said = gr.cut(current_messages(talk).withColumn("vector", embed_column(embedder)(F.col("message"))))

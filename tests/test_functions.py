@@ -134,6 +134,15 @@ def test_answers_are_normalized_and_merged(spark):
     assert [d.decision for d in row.decision_stack] == ["d1", "d2", "d3", "d4", "d9"]
 
 
+def test_names_are_extracted_once(spark):
+    """Extraction stood inside the lambda that removes repeats, so it was run again for every name."""
+    text = " ".join(f"Name{i % 40} NAME{i % 40} `code {i}`" for i in range(60))
+    df = spark.createDataFrame([(text,), (None,), ("",), ("Only Alpha and alpha, ALPHA",)], "t string").select(tx.entities(F.col("t")).alias("e"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 4
+    got = [r.e for r in df.collect()]
+    assert got[0] == [f"code {i}" for i in range(30)] and got[1:3] == [[], []] and got[3].count("Alpha") == 1 and "ALPHA" not in got[3]
+
+
 def test_hashed_vectors_equal_the_plain_form(monkeypatch):
     import zlib
 
