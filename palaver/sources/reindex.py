@@ -13,31 +13,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.enrichment import Embedder, embed_events
+from palaver.functions.text import embeddable
 from palaver.sources.buckets import BucketTable
 from palaver.sources.messages import reindex_rows
 
 VECTOR_COLUMNS = ["event_id", "session_id", "segment_id", "type", "token_count", "embedding", "embedding_model_id"]
 
 
+def changed_buckets(table: BucketTable, events: DataFrame, of: dict[int, int], due: list[int], model: str) -> list[int]:
+    """Those of the *due* buckets that hold vectors of other models or lack some; ids and models alone are read, texts for their length."""
+    mine = events.filter(table.bucket().isin(due))
+    old = table.read(of)
+    if old is None:
+        changed = mine.filter(embeddable(F.col("content"))).select("event_id")
+    else:
+        old = old.select("event_id", "embedding_model_id")
+        changed = reindex_rows(mine, old, model).select("event_id").unionByName(old.filter(F.col("embedding_model_id") != model).select("event_id"))
+    return sorted(r[0] for r in changed.select(table.bucket().alias("b")).distinct().collect())  # of the table's buckets
+
+
 def reembed(table: BucketTable, events: DataFrame, embedder: Embedder, model: str, run: int, at_once: int = 8) -> list[int]:
-    """Bring *table* to one model; returns the buckets that this call wrote.  Runs have growing numbers; a repeated run has the same one."""
+    """Bring *table* to one model; returns the buckets that this call wrote.  Runs have growing numbers; a repeated run has the same one.
+
+    Events are read once to find what is due and once more for each *at_once* buckets that are written: hand on a table, or a view
+    that is written down, and not one that is costly to compute.
+    """
     known, written = table.newest(), []
     due = [b for b in range(table.buckets) if known.get(b, -1) < run]
-    for at in range(0, len(due), at_once):
-        group = due[at : at + at_once]
+    if not due:
+        return []
+    todo = changed_buckets(table, events, {b: known[b] for b in due if b in known}, due, model)
+    for at in range(0, len(todo), at_once):
+        group = todo[at : at + at_once]
         mine = events.filter(table.bucket().isin(group))
         old = table.read({b: known[b] for b in group if b in known})
-        if old is None:
-            new = embed_events(mine, embedder, model).select(*VECTOR_COLUMNS)
-            changed = new
-        else:
-            missing = reindex_rows(mine, old, model)
-            new = embed_events(missing, embedder, model).select(*VECTOR_COLUMNS)
-            stale = old.filter(F.col("embedding_model_id") != model).select("event_id")
-            changed = missing.select("event_id").unionByName(stale)
+        new = embed_events(mine if old is None else reindex_rows(mine, old, model), embedder, model).select(*VECTOR_COLUMNS)
+        if old is not None:
             new = old.filter(F.col("embedding_model_id") == model).select(*VECTOR_COLUMNS).unionByName(new)
-        buckets = sorted(r[0] for r in changed.select(table.bucket().alias("b")).distinct().collect())  # of the group
-        if buckets:
-            table.write(new.filter(table.bucket().isin(buckets)), run)
-            written += buckets
-    return written
+        table.write(new, run)
+        written += group
+    now = table.newest()
+    return [b for b in written if now.get(b) == run]

@@ -168,6 +168,28 @@ def test_a_run_that_was_cut_short_is_finished(spark, tmp_path):
     assert {r.embedding_model_id for r in rows} == {"new"} and {len(r.embedding) for r in rows} == {64}
 
 
+class Counting(HashedEmbedder):
+    """Counts the texts that it is given, in all tasks."""
+
+    def __init__(self, given):
+        super().__init__()
+        self.given = given
+
+    def embed(self, texts):
+        self.given.add(len(texts))
+        return super().embed(texts)
+
+
+def test_a_run_embeds_each_text_once(spark, tmp_path):
+    """Which buckets change is found from ids and models, not by embedding."""
+    given, events = spark.sparkContext.accumulator(0), log(spark)
+    table = BucketTable(spark, f"{tmp_path}/v", "event_id", 6)
+    assert sorted(reindex.reembed(table, events, Counting(given), "new", 1, at_once=2)) == list(range(6))
+    assert given.value == 119 and table.read().count() == 119
+    assert reindex.reembed(table, events, Counting(given), "new", 2, at_once=2) == [] and given.value == 119
+    assert sorted(reindex.reembed(table, events, Counting(given), "newer", 3, at_once=4)) == list(range(6)) and given.value == 238
+
+
 def test_buckets_without_stale_vectors_are_left_alone(spark, tmp_path):
     events = log(spark)
     table = BucketTable(spark, f"{tmp_path}/v", "event_id", 6)
